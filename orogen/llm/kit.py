@@ -130,7 +130,7 @@ class TextView:
         return range_hashes(prefix_hashes(self.data), self.starts, self.ends)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cuts a batch into runs of rows with about ``most`` bytes of text (one row at least)."""
     column = batch.column(batch.schema.get_field_index(text))
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
-BLOCK = 1024
+BLOCK = 512
 BITS = ["b0", "b1", "b2", "b3"]
 _SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, tiles array<long>"
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import line_dedup, mixing, ngram_join, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,39 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go: counts and the digest of what stays."""
+    out = line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents"), least=10)
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the subword-bag model, and its fold."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base rules and the verdict by distribution divergence."""
+    out = quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", *quality.BASE, "base_failed", "kept", "class_distance", "word_distance")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability and draw."""
+    out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "doc.source", "doc.lang", "topic", "n_tokens", "probability", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_best_fit_packing, op9_mix_sources)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op9_mix_sources": mixing.oracle(),
+}
