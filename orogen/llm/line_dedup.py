@@ -125,7 +125,7 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, batches: int = 4, fano
     frequent = runs.frequent_keys()
 
     hits = keyed.select("r1", "r2", F.explode("keys").alias("k")).select("r1", "r2", "k.*").join(frequent, KEY, "left_semi")
-    hits = hits.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct(*KEY)).alias("gone"))
+    hits = hits.groupBy("r1", "r2").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
     lines, gone = lines_of(F.col("doc.text")), F.col("gone")
     kept = F.filter(lines, lambda x: ~F.array_contains(gone, digest(line_key(x))) | (line_key(x) == ""))
     out = rows.join(hits, ["r1", "r2"], "left").select("doc", F.size(lines).cast("long").alias("n_lines"), F.when(gone.isNotNull(), kept).alias("some"))

@@ -4,9 +4,13 @@ Each document gives two histograms: code points by character class, and words
 by a short list of common words for each language, with one slot for all
 other words. References are the sums of the histograms of all documents of a
 language that pass the base rules; a language with little text is compared
-with the reference over all languages. A document is kept when it passes
-the base rules and, from ``guard`` words up, both distances stay under their
-limits. Distances are square roots of the base-2 divergence, from 0 to 1.
+with the reference over all languages. A document is kept when it passes the base rules
+and its distances stay under their limits. Distances are square roots of the
+base-2 divergence, from 0 to 1.
+
+Minimum-length guards: the base rules ask for 50 words; the word histogram is
+judged from ``guard`` words up, with a limit of ``most_common`` plus ``slack``
+over the root of the number of words, as short texts vary more.
 
 Base rules: fewer than 50 words fail; so do texts of which more than half the
 words lie in 3-word windows that occur twice or more.
@@ -154,7 +158,7 @@ def _reference(rows: DataFrame, by: list[Column]) -> DataFrame:
     return out.select(*[c for c in out.columns if c == "key"], "mass", F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"common{i}" for i in range(len(WORDS) + 1)]).alias("ref_common"))
 
 
-def quality_rules(docs: DataFrame, guard: int = 50, most_classes: float = 0.32, most_common: float = 0.5, least_mass: int = 20_000, store: Workspace | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0, least_mass: int = 20_000, store: Workspace | None = None) -> DataFrame:
     """(doc, base counts, base_failed, class_distance, word_distance, kept) of every row.
 
     ``doc`` holds the input columns but the text.
@@ -169,5 +173,6 @@ def quality_rules(docs: DataFrame, guard: int = 50, most_classes: float = 0.32,
     judged = rows.join(store.save(own, "own"), "key", "left")
     judged = judged.withColumn("class_distance", js_distance(F.col("classes"), F.coalesce("ref_classes", general["classes"])))
     judged = judged.withColumn("word_distance", js_distance(F.col("common"), F.coalesce("ref_common", general["common"])))
-    odd = (F.col("n_words") >= guard) & ((F.col("class_distance") > most_classes) | (F.col("word_distance") > most_common))
+    limit = most_common + slack / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
+    odd = (F.col("class_distance") > most_classes) | ((F.col("n_words") >= guard) & (F.col("word_distance") > limit))
     return judged.select("doc", *BASE, "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible sketches of every text and its edited text, and their likeness."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's calibrated probability and draw."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_best_fit_packing, op9_mix_sources)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_best_fit_packing, op8_document_fingerprints, op9_mix_sources)
 }
 
 ORACLES: dict[str, str] = {
