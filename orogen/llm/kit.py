@@ -15,6 +15,7 @@ Text views
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,11 @@ class Workspace:
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let go of finished steps: Spark removes a shuffle's files when the driver's JVM collects it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a table that no returned plan reads any more."""
         jvm = self.spark._jvm

@@ -11,13 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: best containment and place of each."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.9: doc_id, n_shingles, component_id."""
     return ngram_join.similarity_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
@@ -45,6 +50,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, kept by deltas."""
+    return token_counts.maintained(_table(spark, sf_dir, "documents"))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invertible sketches of every text and its edited text, and their likeness."""
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
@@ -56,8 +66,25 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "doc.source", "doc.lang", "topic", "n_tokens", "probability", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in 50-byte strings of smaller documents go: counts, spans and the digest of what stays."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_line_dedup, op4_toxicity, op5_quality_rules, op6_best_fit_packing, op8_document_fingerprints, op9_mix_sources)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_ngram_jaccard_join,
+        op3_line_dedup,
+        op4_toxicity,
+        op5_quality_rules,
+        op6_best_fit_packing,
+        op7_token_counts,
+        op8_document_fingerprints,
+        op9_mix_sources,
+        op10_suffix_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
