@@ -7,10 +7,10 @@ cell has a count, the xor of its digests and the xor of their check hashes.
 
 Two versions' sketches subtract cell by cell: what both hold cancels. Peeling then
 takes cells with count 1 or -1 whose check fits, removes their digests
-everywhere, and repeats. If cells remain, the attempt failed, and both
-versions are sketched again with more blocks of cells (a digest's hash names its block), twice as
-many at each retry. The recovered digests are the exact difference. After the
-last retry the difference is counted from the digests themselves.
+everywhere, and repeats. If cells remain, the attempt failed, and both versions
+are sketched again in blocks, a digest's hash naming its block; a block that still
+fails is sketched again as four. The recovered digests are the exact difference.
+After the last retry a block's difference is counted from its digests.
 
 Likeness is 1 - difference / (paragraphs of both); two texts without
 paragraphs are alike (1). The fingerprint is the one-block sketch with the
@@ -34,8 +34,8 @@ from pyspark.sql.window import Window
 
 from .kit import Workspace
 
-LONG, GROUPS, WIDTH, ROUNDS = 160, 3, 8, 12
-LOAD, RETRIES = 5, 4
+LONG, GROUPS, WIDTH, ROUNDS = 2000, 3, 8, 12
+LOAD, RETRIES = 8, 3
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,29 +66,44 @@ def _cell(count: Column, key: Column, proof: Column) -> Column:
     return F.struct(count.cast("int").alias("c"), key.alias("k"), proof.alias("h"))
 
 
-def sketch(digests: Column, blocks: Column) -> Column:
-    """Cells of a set of digests: an array of blocks, each of GROUPS x WIDTH cells."""
+def split(sets: Column, bits: Column, shift: int) -> Column:
+    """Each set of digests in 2^bits sets by the hash bits above ``shift``."""
+    fan = F.pow(F.lit(2.0), bits).cast("int")
 
-    def group(own: Column, g: int) -> Column:
+    def part(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), fan - 1), lambda b: F.filter(own, lambda d: F.shiftrightunsigned(d, shift).bitwiseAND((fan - 1).cast("long")) == b))
+
+    return F.when(bits == 0, sets).otherwise(F.flatten(F.transform(sets, part)))
+
+
+def blocks(digests: Column, bits: Column) -> Column:
+    """2^bits sets of digests, at most 2^12, four bits at a time: the work grows with the
+    number of digests and the logarithm of the number of blocks."""
+    sets = F.array(digests)
+    for k in range(3):
+        sets = split(sets, F.greatest(F.lit(0), F.least(F.lit(4), bits - 4 * k)), 16 + 4 * k)
+    return sets
+
+
+def sketch(digests: Column) -> Column:
+    """The cells of a set of digests, GROUPS x WIDTH of them."""
+
+    def group(g: int) -> Column:
         def cell(p: Column) -> Column:
-            return bind(F.filter(own, lambda d: place(d, g) == p), lambda got: _cell(F.size(got), _xor(got, lambda d: d), _xor(got, check)))
+            return bind(F.filter(digests, lambda d: place(d, g) == p), lambda got: F.when(F.size(got) == 0, _empty()).otherwise(_cell(F.size(got), _xor(got, lambda d: d), _xor(got, check))))
 
         return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), cell)
 
-    def block(b: Column) -> Column:
-        own = F.filter(digests, lambda d: F.pmod(F.shiftrightunsigned(d, 20), blocks) == b)
-        return bind(own, lambda x: F.concat(*(group(x, g) for g in range(GROUPS))))
+    return F.concat(*(group(g) for g in range(GROUPS)))
+
 
-    return F.transform(F.sequence(F.lit(0), blocks - 1), block)
+def _empty() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """The sketch of the symmetric difference, counts signed."""
-
-    def cells(x: Column, y: Column) -> Column:
-        return F.zip_with(x, y, lambda p, q: _cell(p["c"] - q["c"], p["k"].bitwiseXOR(q["k"]), p["h"].bitwiseXOR(q["h"])))
-
-    return F.zip_with(a, b, cells)
+    return F.zip_with(a, b, lambda p, q: _cell(p["c"] - q["c"], p["k"].bitwiseXOR(q["k"]), p["h"].bitwiseXOR(q["h"])))
 
 
 def peel(cells: Column) -> Column:
@@ -102,12 +117,16 @@ def peel(cells: Column) -> Column:
         return F.array_distinct(F.transform(fits, lambda c: F.struct(c["c"].alias("c"), c["k"].alias("k"))))
 
     def without(x: Column, gone: Column) -> Column:
-        def cell(c: Column, i: Column) -> Column:
-            here = F.filter(gone, lambda d: (place(d["k"], 0) == i) | (place(d["k"], 1) + WIDTH == i) | (place(d["k"], 2) + 2 * WIDTH == i))
-            signs = lambda got: F.aggregate(got, F.lit(0), lambda a, d: a + d["c"])
-            return bind(here, lambda got: F.when(F.size(got) == 0, c).otherwise(_cell(c["c"] - signs(got), c["k"].bitwiseXOR(_xor(got, lambda d: d["k"])), c["h"].bitwiseXOR(_xor(got, lambda d: check(d["k"]))))))
+        signs = lambda got: F.aggregate(got, F.lit(0), lambda a, d: a + d["c"])
 
-        return F.transform(x, cell)
+        def group(g: int) -> Column:
+            def cell(c: Column, i: Column) -> Column:
+                here = F.filter(gone, lambda d: place(d["k"], g) == i)
+                return bind(here, lambda got: F.when(F.size(got) == 0, c).otherwise(_cell(c["c"] - signs(got), c["k"].bitwiseXOR(_xor(got, lambda d: d["k"])), c["h"].bitwiseXOR(_xor(got, lambda d: check(d["k"]))))))
+
+            return F.transform(F.slice(x, g * WIDTH + 1, WIDTH), cell)
+
+        return F.concat(*(group(g) for g in range(GROUPS)))
 
     def turn(s: Column, _: Column) -> Column:
         step = bind(pure(s["cells"]), lambda gone: F.when(F.size(gone) == 0, state(s["cells"], s["found"], F.lit(False))).otherwise(state(without(s["cells"], gone), s["found"] + F.size(gone), F.lit(True))))
@@ -117,36 +136,62 @@ def peel(cells: Column) -> Column:
     return bind(done, lambda s: F.struct(F.size(F.filter(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0))).alias("left"), s["found"].alias("found")))
 
 
-def difference(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
-    """The size of the symmetric difference of two digest sets, by peeling."""
+def _blocks_of_both(a: Column, b: Column) -> Column:
+    """Blocks of both sets, as many as keep about LOAD digests of the larger set in each."""
+    most = F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double")
+    bits = F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD)))).cast("int")
+    return F.zip_with(blocks(a, bits), blocks(b, bits), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
-    def outcome(diff: Column) -> Column:
-        parts = F.transform(diff, peel)
-        left = lambda x: F.aggregate(x, F.lit(0), lambda s, p: s + p["left"])
-        found = lambda x: F.aggregate(x, F.lit(0), lambda s, p: s + p["found"])
-        return bind(parts, lambda x: F.struct((left(x) == 0).alias("whole"), found(x).alias("found")))
 
-    most = F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double")
-    base = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD)))).cast("int")
+def _unless(settled: Column) -> Callable[[Column], Column]:
+    return lambda _: ~settled
 
-    def attempt(s: Column, level: Column) -> Column:
-        blocks = (base * F.pow(F.lit(2.0), level)).cast("int")
-        return F.when(s["whole"], s).otherwise(bind(blocks, lambda n: outcome(subtract(sketch(a, n), sketch(b, n)))))
 
-    first = outcome(subtract(a_sketch, b_sketch))
-    tried = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), first, attempt)
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return bind(tried, lambda s: F.when(s["whole"], s["found"]).otherwise(exact))
+def _in_four(shift: int) -> Callable[[Column], Column]:
+    four = lambda own: split(F.array(own), F.lit(2), shift)
+    return lambda p: F.zip_with(four(p["a"]), four(p["b"]), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
-def likeness(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - difference(a, b, a_sketch, b_sketch) / F.greatest(total, F.lit(1)))
+def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns behind inline(), so that no expression is copied into later ones."""
+    kept = [F.col(c) for c in rows.columns if c not in columns]
+    return rows.select(F.inline(F.array(F.struct(*kept, *(c.alias(k) for k, c in columns.items())))))
+
+
+def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """Adds a likeness for each name -> (digests, sketch, other digests, other sketch).
+
+    The first attempt subtracts the one-block sketches. A pair that keeps cells is sketched in
+    blocks; each retry sketches the blocks that failed as four. What the last retry leaves
+    is counted from the digests.
+    """
+    first = {n: peel(subtract(F.col(x), F.col(y))) for n, (_, x, _, y) in pairs.items()}
+    rows = _fixed(rows, **{f"{n}_try": c for n, c in first.items()})
+    whole = {n: F.col(f"{n}_try.left") == 0 for n in pairs}
+    rows = _fixed(
+        rows,
+        **{f"{n}_found": F.when(whole[n], F.col(f"{n}_try.found")).otherwise(F.lit(0)) for n in pairs},
+        **{f"{n}_open": F.filter(_blocks_of_both(F.col(a), F.col(b)), _unless(whole[n])) for n, (a, _, b, _) in pairs.items()},
+    )
+    for retry in range(RETRIES):
+        rows = _fixed(rows, **{f"{n}_open": F.transform(f"{n}_open", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(subtract(sketch(p["a"]), sketch(p["b"]))).alias("r"))) for n in pairs})
+        found, left = {}, {}
+        for n in pairs:
+            done = F.aggregate(f"{n}_open", F.lit(0), lambda s, p: s + F.when(p["r"]["left"] == 0, p["r"]["found"]).otherwise(F.lit(0)))
+            found[f"{n}_found"] = F.col(f"{n}_found") + done
+            failed = F.filter(f"{n}_open", lambda p: p["r"]["left"] != 0)
+            left[f"{n}_open"] = F.flatten(F.transform(failed, _in_four(28 + 2 * retry)))
+        rows = _fixed(rows, **found, **left)
+    for n, (a, _, b, _) in pairs.items():
+        rest = F.aggregate(f"{n}_open", F.lit(0), lambda s, p: s + F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"])))
+        total = F.size(a) + F.size(b)
+        rows = rows.withColumn(n, F.when(total == 0, F.lit(1.0)).otherwise(1.0 - (F.col(f"{n}_found") + rest) / F.greatest(total, F.lit(1))))
+    return rows.drop(*(f"{n}_{x}" for n in pairs for x in ("try", "found", "open")))
 
 
 def as_text(digests: Column, cells: Column, whole: Column) -> Column:
     """The fingerprint: text hash, number of paragraphs, cells in hexadecimal."""
-    parts = F.transform(F.flatten(cells), lambda c: F.concat(F.hex(c["c"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(F.pmod(c["h"], F.lit(1 << 32))), 8, "0")))
+    parts = F.transform(cells, lambda c: F.concat(F.hex(c["c"]), F.lit("."), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(F.pmod(c["h"], F.lit(1 << 32))), 8, "0")))
     return F.concat_ws(":", F.lpad(F.hex(whole), 16, "0"), F.size(digests).cast("string"), F.array_join(parts, ""))
 
 
@@ -188,6 +233,7 @@ def fingerprints(docs: DataFrame, store: Workspace | None = None) -> DataFrame:
     rows = rows.select("doc_id", "n_chars", "whole", "digests", "next_digests", F.xxhash64("edited").alias("edited_whole"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("edited")).alias("edited_digests"))
     rows = store.save(rows, "digests")
     sides = {"": "digests", "edited_": "edited_digests", "next_": "next_digests"}
-    rows = rows.withColumns({f"{k}cells": sketch(F.col(v), F.lit(1)) for k, v in sides.items()})
-    near = {f"near_{k}": likeness(F.col("digests"), F.col(f"{k}_digests"), F.col("cells"), F.col(f"{k}_cells")) for k in ("edited", "next")}
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("digests"), F.col("cells"), F.col("whole")).alias("fingerprint"), as_text(F.col("edited_digests"), F.col("edited_cells"), F.col("edited_whole")).alias("edited_fingerprint"), *(c.alias(k) for k, c in near.items()))
+    rows = _fixed(rows, **{f"{k}cells": sketch(F.col(v)) for k, v in sides.items()})
+    rows = with_likeness(rows, {f"near_{k}": ("digests", "cells", f"{k}_digests", f"{k}_cells") for k in ("edited", "next")})
+    shown = {f"{k}fingerprint": as_text(F.col(f"{k}digests"), F.col(f"{k}cells"), F.col(f"{k}whole")) for k in ("", "edited_")}
+    return rows.select("doc_id", "n_chars", "edited_sha256", *(c.alias(k) for k, c in shown.items()), "near_edited", "near_next")
