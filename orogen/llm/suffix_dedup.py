@@ -42,7 +42,7 @@ from .kit import U64, TextView, Workspace, mix, prefix_hashes, range_hashes, sli
 
 SPAN, GRAM = 50, 16
 WIDTH = SPAN - GRAM + 1
-BATCH_BYTES, GROUP_RUNS, GROUP_BYTES, HOT = 16_000_000, 300_000, 600_000, 4096
+BATCH_BYTES, GROUP_RUNS, GROUP_BYTES, HOT = 16_000_000, 300_000, 200_000, 32_768
 _PLACE = (1 << 31) - 1
 
 
@@ -234,17 +234,25 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
-def transform_of(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The symbol before each suffix, in order; the end mark before a text's first."""
-    return np.where(order > 0, symbols[order - 1], 0).astype(symbols.dtype)
+def transform_of(symbols: np.ndarray, order: np.ndarray, step: int) -> np.ndarray:
+    """The ``step`` symbols (1 or 2) before each suffix, in order, each text being a ring with its end mark."""
+    marks = np.flatnonzero(symbols == 0)
+    end = marks[np.searchsorted(marks, order)]
+    first = np.append(0, marks[:-1] + 1)[np.searchsorted(marks, order)]
+    before = np.where(order > first, order - 1, end)
+    if step == 1:
+        return symbols[before]
+    twice = np.where(before > first, before - 1, end)
+    return (symbols[twice].astype(np.uint16) << 8) | symbols[before]
 
 
-def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(transforms: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms: which shard each suffix comes from, and common prefixes with
-    the suffix before, up to ``depth``.
+    the suffix before, up to ``depth`` and in whole steps.
 
-    Each round deals the interleave stably by symbol. A place parts from the one before
-    it when their symbols differ or the places they came from have parted.
+    Each round deals the interleave stably by symbol, or by pair with a step of 2. A
+    place parts from the one before it when their symbols differ or the places they came
+    from have parted.
     """
     which = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     n = len(which)
@@ -253,16 +261,19 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     parted = np.zeros(n, bool)
     parted[:1] = True
     kind = np.zeros(n, np.int32)
-    for k in range(depth):
-        symbol = np.empty(n, transforms[0].dtype)
+    symbol = np.empty(n, transforms[0].dtype)
+    for k in range(0, depth, step):
         for s, t in enumerate(transforms):
             symbol[which == s] = t
         deal = np.argsort(symbol, kind="stable")
-        symbol, which, kind = symbol[deal], which[deal], kind[deal]
-        new = np.append(True, (symbol[1:] != symbol[:-1]) | (kind[1:] != kind[:-1]))
-        prefix[new & ~parted] = k
-        if (new == parted).all():  # classes no longer divide, nor will they later
+        dealt, which, kind = symbol[deal], which[deal], kind[deal]
+        new = np.empty(n, bool)
+        new[:1] = True
+        new[1:] = (dealt[1:] != dealt[:-1]) | (kind[1:] != kind[:-1])
+        fresh = new & ~parted
+        if not fresh.any():  # classes no longer divide, nor will they later
             break
+        prefix[fresh] = k
         parted = new
         kind = np.cumsum(parted, dtype=np.int32)
     return which, prefix
@@ -279,7 +290,8 @@ def _merge(shift: int, shards: int = 2):
         data = np.frombuffer(body, np.uint8)[off[0] : off[-1]]
         off = off - off[0]
         used = np.unique(data)
-        code = np.zeros(256, np.uint16 if len(used) > 255 else np.uint8)
+        step = 2 if len(used) < 256 and SPAN % 2 == 0 else 1
+        code = np.zeros(256, np.uint8 if step == 2 else np.uint16)
         code[used] = np.arange(1, len(used) + 1)
         bounds = np.searchsorted(off, np.linspace(0, len(data), shards + 1)[1:-1])
         bounds = [0, *bounds.tolist(), len(off) - 1]
@@ -290,11 +302,11 @@ def _merge(shift: int, shards: int = 2):
             ends = off[a + 1 : b + 1] - off[a]
             symbols = np.insert(code[data[off[a] : off[b]]], ends, 0)
             order = suffix_order(symbols, SPAN)
-            transforms.append(transform_of(symbols, order))
+            transforms.append(transform_of(symbols, order, step))
             string = np.repeat(np.arange(a, b), np.diff(off[a : b + 1]) + 1)
             inside = np.arange(len(symbols)) - (off[string] - off[a] + string - a)
             places.append((string[order], inside[order]))
-        which, prefix = interleave(transforms, SPAN)
+        which, prefix = interleave(transforms, SPAN, step)
         string, inside = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
         for s, (x, y) in enumerate(places):
             string[which == s], inside[which == s] = x, y
