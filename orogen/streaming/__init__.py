@@ -1 +1 @@
-"""streaming."""
+"""Streams of grid cells through the row-local operators."""
