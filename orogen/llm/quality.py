@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,19 +138,29 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {_SCHEMA}")
 
 
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("double"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / F.greatest(total, F.lit(1.0))).otherwise(F.lit(0.0)))
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of matching rows of counts, 0 to 1; an empty row has all shares 0."""
+    p = p / np.maximum(p.sum(1, keepdims=True), 1)
+    q = q / np.maximum(q.sum(1, keepdims=True), 1)
+    m = (p + q) / 2
+    terms = np.where(p > 0, p * np.log2(np.where(p > 0, p / np.where(m > 0, m, 1), 1)), 0) + np.where(q > 0, q * np.log2(np.where(q > 0, q / np.where(m > 0, m, 1), 1)), 0)
+    return np.sqrt(np.maximum(0, terms.sum(1) / 2))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length, 0 to 1."""
+def _distances(rows: DataFrame) -> DataFrame:
+    """Replaces each histogram and its reference by their distance."""
+    plain = ["doc", *BASE, "base_failed"]
+    kept = rows.select(*plain).schema
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when((x > 0) & (m > 0), x * F.log2(x / F.when(m > 0, m))).otherwise(F.lit(0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = batch.num_rows, len(plain)
+            table = [pc.list_flatten(batch.column(at + k)).to_numpy().reshape(n, -1) for k in range(4)]
+            found = [pa.array(js_distance(table[k], table[k + 2]), pa.float64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), *found], names=[*plain, "class_distance", "word_distance"])
 
-    pairs = F.zip_with(_shares(p), _shares(q), lambda a, b: term(a, (a + b) / 2) + term(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / 2))
+    return rows.select(*plain, "classes", "common", "ref_classes", "ref_common").mapInArrow(run, f"{fields}, class_distance double, word_distance double")
 
 
 def _reference(rows: DataFrame, by: list[Column]) -> DataFrame:
@@ -171,8 +182,7 @@ def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, m
     every = _reference(sound, []).first()  # one row of some hundred sums
     general = {h: F.array(*[F.lit(int(x or 0)).cast("long") for x in every[f"ref_{h}"]]) for h in ("classes", "common")}
     judged = rows.join(store.save(own, "own"), "key", "left")
-    judged = judged.withColumn("class_distance", js_distance(F.col("classes"), F.coalesce("ref_classes", general["classes"])))
-    judged = judged.withColumn("word_distance", js_distance(F.col("common"), F.coalesce("ref_common", general["common"])))
+    judged = _distances(judged.withColumns({f"ref_{h}": F.coalesce(f"ref_{h}", c) for h, c in general.items()}))
     limit = most_common + slack / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
     odd = (F.col("class_distance") > most_classes) | ((F.col("n_words") >= guard) & (F.col("word_distance") > limit))
     return judged.select("doc", *BASE, "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
