@@ -139,7 +139,7 @@ def peel(cells: Column) -> Column:
 def _blocks_of_both(a: Column, b: Column) -> Column:
     """Blocks of both sets, as many as keep about LOAD digests of the larger set in each."""
     most = F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double")
-    bits = F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD)))).cast("int")
+    bits = F.greatest(F.lit(2), F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD))))).cast("int")
     return F.zip_with(blocks(a, bits), blocks(b, bits), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 

@@ -2,9 +2,9 @@
 
 A text's bag holds, for each word in lower case, the word and its byte n-grams of 4
 and 5, word ends included, hashed to buckets. A bag is the mean of its buckets'
-embeddings; a two-class softmax reads it. Embeddings and softmax are trained
-together in numpy by Adam on mini-batches, on the driver. With two classes the
-gradient of an embedding is a multiple of u, the difference of the two
+embeddings; a two-class softmax reads it. Both are trained together in numpy on
+mini-batches, on the driver: embeddings by plain gradient steps, which grow with how
+often a bucket occurs, and the softmax by Adam. With two classes the gradient of an embedding is a multiple of u, the difference of the two
 softmax rows: one scalar a bucket and step suffices, and so it does when scoring,
 where a bucket adds its embedding's product with u. An unseen misspelling
 keeps most of its word's n-grams and so most of its score.
@@ -73,7 +73,7 @@ def scores(view: TextView, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + model.bias)))
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 8, epochs: int = 20, batch: int = 64, rate: float = 0.5, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 8, epochs: int = 20, batch: int = 64, rate: float = 300.0, seed: int = 5) -> Model:
     """Joint training of embeddings and softmax; deterministic for a given order of rows."""
     if not len(texts):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
@@ -89,14 +89,17 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
         share.append((count / size[doc]).astype(np.float32))
         first += (first[-1] + np.cumsum(np.bincount(doc, minlength=len(view.off) - 1))).tolist()
     bucket, share, first = np.concatenate(bucket), np.concatenate(share), np.array(first)
+    common = np.bincount(bucket, minlength=BUCKETS)[bucket] > 1  # what one text alone has teaches nothing
+    first = np.append(0, np.cumsum(common))[first]
+    bucket, share = bucket[common], share[common]
     embed = (rng.standard_normal((BUCKETS, dim)) * 0.01).astype(np.float32)
     head = (rng.standard_normal((2, dim)) * 0.3).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embed, head, bias)]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (head, bias)]
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        pace = rate * (1 - epoch / epochs) + 0.01
+        left = 1 - epoch / epochs + 0.02
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
             sizes = first[rows + 1] - first[rows]
@@ -105,16 +108,17 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
             b, x = bucket[at], share[at]
             u = head[1] - head[0]
             logit = np.bincount(doc, weights=x * (embed @ u)[b], minlength=len(rows)) + (bias[1] - bias[0])
-            error = ((1 / (1 + np.exp(-logit)) - labels[rows]) * weights[rows] / len(rows)).astype(np.float32)
+            error = ((1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels[rows]) * weights[rows] / len(rows)).astype(np.float32)
             pull = np.bincount(b, weights=x * error[doc], minlength=BUCKETS).astype(np.float32)
             seen = np.flatnonzero(pull)
-            step += 1
             to_head = pull[seen] @ embed[seen]
-            grads = [(seen, pull[seen, None] * u), (slice(None), np.stack([-to_head, to_head])), (slice(None), np.array([-error.sum(), error.sum()], np.float32))]
-            for p, (m, v), (where, g), speed in zip((embed, head, bias), state, grads, (pace, pace * 0.1, pace * 0.1), strict=True):
-                m[where] = 0.9 * m[where] + 0.1 * g
-                v[where] = 0.99 * v[where] + 0.01 * g * g
-                p[where] -= speed * (m[where] / (1 - 0.9**step)) / (np.sqrt(v[where] / (1 - 0.99**step)) + 1e-6)
+            embed[seen] -= rate * left * pull[seen, None] * u
+            step += 1
+            grads = (np.stack([-to_head, to_head]), np.array([-error.sum(), error.sum()], np.float32))
+            for p, (m, v), g, speed in zip((head, bias), state, grads, (0.3 * left, 0.025), strict=True):
+                m[:] = 0.9 * m + 0.1 * g
+                v[:] = 0.99 * v + 0.01 * g * g
+                p -= speed * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return Model((embed @ (head[1] - head[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -123,7 +127,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_clean: int = 2400) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold."""
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
