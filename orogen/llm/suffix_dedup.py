@@ -23,7 +23,8 @@ An anchor with more distinct runs than ``HOT`` is dealt again by hashes of its
 single spans, so no group grows with a common phrase's surroundings.
 
 Cases: null or empty text has no bytes. Repeated rows share a doc_id, so neither
-removes the other. A null doc_id neither removes nor loses bytes. Extra columns are ignored.
+removes the other; where there are any, doc_ids must lie within 42 bits. A null
+doc_id neither removes nor loses bytes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -335,7 +336,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     if not twice:
         return docs.withColumn("key", F.col("doc_id")), 0
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
-    room = F.when(F.abs("doc_id") < (1 << 42), F.col("doc_id") * (1 << 20) + number).otherwise(F.raise_error(F.lit("repeated doc_ids must lie within 42 bits")))
+    room = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.abs("doc_id") < (1 << 42), F.col("doc_id") * (1 << 20) + number).otherwise(F.raise_error(F.lit("repeated doc_ids must lie within 42 bits")))
     return docs.withColumn("key", room.cast("long")), 20
 
 
