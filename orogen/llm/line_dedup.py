@@ -63,9 +63,11 @@ class LineRuns:
         self.frequent: DataFrame = spark.createDataFrame([], "h1 long, h2 long")
         self.known = False
         self.made = 0
+        self.written: list[str] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
         name, self.made = f"run-{level}-{self.made}", self.made + 1
+        self.written.append(name)
         while len(self.levels) <= level:
             self.levels.append([])
             self.names.append([])
@@ -89,6 +91,7 @@ class LineRuns:
         if self.known:  # a run may be older than what made its key frequent
             merged = merged.join(self.frequent, KEY, "left_anti")
         name, self.made = f"merged-{self.made}", self.made + 1
+        self.written.append(name)
         merged = self.store.save(merged.withColumn("often", F.col("n") >= self.least).sortWithinPartitions(*KEY), name, by=["often"])
         found = merged.filter("often").select(*KEY)
         self.frequent, self.known = (self.frequent.unionByName(found) if self.known else found), True
@@ -103,6 +106,11 @@ class LineRuns:
             if x:
                 self.store.drop(x)
 
+    def close(self) -> None:
+        """Remove the runs of a store that takes no more batches."""
+        for name in self.written:
+            self.store.drop(name)
+
     def frequent_keys(self) -> DataFrame:
         """Every key in at least ``least`` documents of all batches so far."""
         if sum(map(len, self.levels)):
@@ -125,7 +133,10 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, batches: int = 4, fano
     frequent = runs.frequent_keys()
 
     hits = keyed.select("r1", "r2", F.explode("keys").alias("k")).select("r1", "r2", "k.*").join(frequent, KEY, "left_semi")
-    hits = hits.groupBy("r1", "r2").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
+    hits = store.save(hits.groupBy("r1", "r2").agg(F.collect_set(F.struct(*KEY)).alias("gone")), "hits")
+    runs.close()
+    store.drop("keyed")
+    store.release()
     lines, gone = lines_of(F.col("doc.text")), F.col("gone")
     kept = F.filter(lines, lambda x: ~F.array_contains(gone, digest(line_key(x))) | (line_key(x) == ""))
     out = rows.join(hits, ["r1", "r2"], "left").select("doc", F.size(lines).cast("long").alias("n_lines"), F.when(gone.isNotNull(), kept).alias("some"))

@@ -16,12 +16,13 @@ Bitmaps. Each set carries 256 parity bits of its shingle hashes. The number of
 differing bits never exceeds d, so it bounds the overlap from above. Only
 pairs within the bound get their sorted arrays intersected.
 
-Links within a tile. All sets of a tile are compared with its smallest
-document, in one distributed join; most tiles, even hot ones, become one
-component this way. In tiles that still hold several components, members are
-compared in blocks of bounded size with bitmaps, pairs of one component being
-skipped. Components therefore equal those of the full join, while pairs
-inside a group are never expanded.
+Links within a tile. A task pairs the members of a tile with the smallest of its batch, and a
+tile's group pairs these leaders with the smallest of all: the pairs are few, and a
+tile that a third of all documents share costs its group one row a batch. Most tiles,
+even hot ones, become one component this way. In tiles that still hold several
+components, members are compared in blocks of bounded size with bitmaps, pairs
+of one component being skipped. Components therefore equal those of the full join,
+while pairs inside a group are never expanded.
 
 Cases: null or empty text, or text without words: an empty set, linked with
 nothing, its own component. Fewer words than k: one shingle of all words.
@@ -36,15 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
-BLOCK = 512
+BLOCK, BATCH_TILES, GROUP_TILES = 512, 1_000_000, 300_000
 BITS = ["b0", "b1", "b2", "b3"]
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, tiles array<long>"
 
 
 class Bands:
@@ -101,21 +102,104 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
             yield rows.column(0), [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(view.first[:-1], view.first[1:], strict=True)]
 
 
-def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    bands_of = (num, den)
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of a 64-bit array, byte by byte: high bytes are mostly alike and compress well."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:n].tobytes()
+
+
+def _pack(tile: np.ndarray, doc: np.ndarray, content: np.ndarray, several: np.ndarray) -> bytes:
+    """Rows sorted by tile, as byte planes."""
+    return _planes(np.diff(tile, prepend=U64(0)), 6) + _planes(doc, 8) + _planes(content, 8) + several.astype(np.uint8).tobytes()
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
+    rows = np.frombuffer(body, np.uint8).reshape(23, -1)
+    full = [np.zeros((8, rows.shape[1]), np.uint8) for _ in range(3)]
+    full[0][:6], full[1][:], full[2][:] = rows[:6], rows[6:14], rows[14:22]
+    tile, doc, content = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in full)
+    return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, rows[22].astype(bool)
+
+
+_PLAIN = ["doc_id", "n_shingles", "k1", "k2", *BITS, "tile", "leader"]
+
+
+def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
+    """Sketches of all rows, links to look at within a batch, and packed tiles by group.
+
+    Of a batch's members of a tile, each distinct set keeps its smallest document; these are paired
+    with the smallest of all, the batch's leader, which alone goes on to the tile's group.
+    """
+
+    def plain(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["doc_id"])
+        rows = [columns.get(c, None) for c in _PLAIN]
+        return pa.RecordBatch.from_arrays([columns["group"], pa.nulls(n, pa.binary()), *(pa.nulls(n, pa.int64()) if r is None else r for r in rows)], names=["group", "body", *_PLAIN])
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        tile, doc, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((doc, content, tile))
+        tile, doc, content = tile[order], doc[order], content[order]
+        own = np.append(True, (tile[1:] != tile[:-1]) | (content[1:] != content[:-1])) if len(tile) else np.zeros(0, bool)
+        tile, doc, content = tile[own], doc[own], content[own]
+        if not len(tile):
+            return
+        first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        size = np.diff(np.append(first, len(tile)))
+        leader = np.minimum.reduceat(doc, first)
+        of = np.repeat(leader, size)
+        rest = doc != of
+        if rest.any():
+            group = pa.array((tile[rest] % U64(groups)).astype(np.int32))
+            yield plain(group=group, doc_id=pa.array(doc[rest]), tile=pa.array(as_long(tile[rest])), leader=pa.array(of[rest]))
+        lead = np.flatnonzero(~rest)
+        lead = lead[np.append(True, tile[lead][1:] != tile[lead][:-1])]
+        tile, doc, content, several = tile[lead], doc[lead], content[lead], size > 1
+        group = (mix(tile) % U64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        filled, start = np.unique(group[order], return_index=True)
+        bodies = [_pack(tile[r], doc[r], content[r], several[r]) for r in np.split(order, start[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(len(bodies), pa.int64()) for _ in _PLAIN)], names=["group", "body", *_PLAIN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, zero = Bands(*bands_of), np.zeros(4, np.uint64)
+        bands, zero = Bands(num, den), np.zeros(4, np.uint64)
+        parts, size = [], 0
         for ids, sets in _sets(batches, k):
-            tiles = [tiles_of(s, bands) for s in sets]
             bits = np.array([parity_bits(s) if len(s) else zero for s in sets])
-            keys = [np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D)]
-            ends = np.cumsum([0, *map(len, tiles)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(np.concatenate(tiles))))
-            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(as_long(x)) for x in keys), *(pa.array(as_long(np.ascontiguousarray(bits[:, j]))) for j in range(4)), listed]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", *BITS, "tiles"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCH)
+            k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
+            named = [pa.array(as_long(np.ascontiguousarray(bits[:, j]))) for j in range(4)]
+            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), **dict(zip(BITS, named, strict=True)))
+            for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
+                if doc is not None and len(s):
+                    tiles = tiles_of(s, bands) & U64((1 << 48) - 1)
+                    parts.append((tiles, np.full(len(tiles), doc, np.int64), np.full(len(tiles), content)))
+                    size += len(tiles)
+            if size >= BATCH_TILES:
+                yield from flush(parts)
+                parts, size = [], 0
+        if parts:
+            yield from flush(parts)
+
+    schema = "group int, body binary, " + ", ".join(f"{c} long" for c in _PLAIN)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A group's plain rows as they are, and its tiles' batch leaders paired with the smallest of them."""
+    out = table.filter(pc.is_null(table.column("body"))).select(_PLAIN)
+    bodies = [x for x in table.column("body").to_pylist() if x is not None]
+    if bodies:
+        tile, doc, content, several = (np.concatenate(x) for x in zip(*map(_unpack, bodies), strict=True))
+        order = np.lexsort((doc, tile))
+        tile, doc, content, several = tile[order], doc[order], content[order], several[order]
+        first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        size = np.diff(np.append(first, len(tile)))
+        several = np.logical_or.reduceat(several, first) | (np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first))
+        leader = np.repeat(doc[first], size)
+        rows = np.repeat(several, size) & (doc != leader)
+        n = int(rows.sum())
+        found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows])}
+        out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(n, pa.int64())) for c in _PLAIN})])
+    return out
 
 
 def shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
@@ -171,11 +255,11 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     size = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     units = members.join(size, "tile").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", *BITS)
+    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "leader", "component", "n_shingles", *BITS)
     units = units.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, part, own = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        ids, part, own, leader = (t.column(c).to_numpy() for c in ("doc_id", "component", "own", "leader"))
         n = t.column("n_shingles").to_numpy()
         bits = np.stack([t.column(c).to_numpy() for c in BITS], 1).view(np.uint64)
         diagonal = t.column("i")[0].as_py() == t.column("j")[0].as_py()
@@ -183,7 +267,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         a, b = [], []
         for x in left:
             ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
-            ys = ys[part[ys] != part[x]]
+            ys = ys[(part[ys] != part[x]) & (leader[ys] != ids[x]) & (ids[ys] != leader[x])]
             total = n[ys] + n[x]
             apart = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
             ys = ys[(total - apart) * (den + num) >= total * (2 * num)]
@@ -215,28 +299,33 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module's docstring."""
     store = store or Workspace(docs.sparkSession)
-    whole = store.save(sketches(docs, k, num, den), "sketch")
-    sketch = whole.filter("doc_id is not null and n_shingles > 0")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(8, size * (den - num) // (2 * (den + num) * GROUP_TILES) + 1)
+    whole = _dealt(docs, k, num, den, groups).groupBy("group").applyInArrow(_gathered, ", ".join(f"{c} long" for c in _PLAIN))
+    whole = store.save(whole, "sketch")
+    store.release()
+    every = whole.filter("tile is null").select(*_PLAIN[:-2])
+    sketch = every.filter("doc_id is not null and n_shingles > 0")
+    members = whole.filter("tile is not null").select("tile", "doc_id", "leader")
     reps = store.save(sketch.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
-
-    tiles = sketch.select("doc_id", "k1", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("doc_id").alias("leader"), F.min("k1").alias("k_lo"), F.max("k1").alias("k_hi"))
-    shared = shared.filter("k_lo <> k_hi").select("tile", "leader")
-    members = tiles.select("tile", "doc_id").join(shared, "tile").filter("doc_id <> leader")
-    members = store.save(members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "members")
+    copies = sketch.join(reps, ["n_shingles", "k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     first = verified(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), sketch, docs, k, num, den, store, "star")
-    parts = components(first, store, "parts")
+    parts = components(first.unionByName(copies), store, "parts")
 
-    placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tile")
-    bits = sketch.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", *BITS)
-    rest = store.save(placed.join(mixed, "tile", "left_semi").join(bits, "doc_id"), "rest")
+    heads = members.select("tile", F.col("leader").alias("doc_id")).distinct().withColumn("leader", F.lit(-1).cast("long"))
+    placed = members.unionByName(heads.select("tile", "doc_id", "leader")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("tile")
+    rest = store.save(placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", *BITS), "doc_id"), "rest")
     cross = store.save(_cross_pairs(rest, num, den), "cross")
     second = verified(cross, sketch, docs, k, num, den, store, "cross")
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    final = components(links, store, "final")
-
-    named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("linked"))
-    joined = whole.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id"))
+    final = components(links, store, "final").withColumnRenamed("node", "doc_id")
+
+    out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
+    for name in ("sketch", "reps", "rest", "cross", "star-links", "cross-links"):
+        store.drop(name)
+    store.release()
+    return out

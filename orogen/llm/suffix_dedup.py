@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .kit import U64, TextView, Workspace, mix, prefix_hashes, range_hashes, slices
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 22
 WIDTH = SPAN - GRAM + 1
 BATCH_BYTES, GROUP_RUNS, GROUP_BYTES, HOT = 16_000_000, 300_000, 200_000, 32_768
 _PLACE = (1 << 31) - 1
