@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .kit import Workspace
 
-LONG, GROUPS, WIDTH, ROUNDS = 2000, 3, 8, 12
+LONG, GROUPS, WIDTH, ROUNDS = 600, 3, 8, 12
 LOAD, RETRIES = 8, 3
 
 
