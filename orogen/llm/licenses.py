@@ -49,7 +49,10 @@ TEMPLATES = {
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
-_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x632BE59BD9B4E019)) | U64(1)
+_SEEDS = (mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x632BE59BD9B4E019)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+
+_NONE = np.uint32(0xFFFFFFFF)
+_ROW = np.arange(BANDS, dtype=np.uint32) << np.uint32(16)
 
 
 def folded_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ class Catalogue:
             if a == b:
                 raise ValueError(f"template {name} has no words")
             own = np.unique(hashes[a:b])
-            self.classes.setdefault(class_of(len(own)), []).append((name, own, minima(own, np.zeros(1, np.int64))[:, 0]))
+            self.classes.setdefault(class_of(len(own)), []).append((name, own, band_hashes(own).min(axis=0)))
         self.maybe = {}
         for s, rows in self.classes.items():
             table = np.zeros((BANDS, 1 << 16), bool)
@@ -93,12 +96,11 @@ class Catalogue:
             self.maybe[s] = table
 
 
-def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """BANDS x blocks: least 32-bit hashes of the blocks that begin at ``starts``."""
-    out = np.empty((BANDS, len(starts)), np.uint32)
-    for k in range(BANDS):
-        out[k] = np.minimum.reduceat(((hashes * _SEEDS[k]) >> U64(32)).astype(np.uint32), starts)
-    return out
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Shingles x BANDS: a 32-bit hash of every shingle for each band."""
+    folded = (mix(hashes) >> U64(32)).astype(np.uint32)
+    out = folded[:, None] * _SEEDS[None, :]
+    return out ^ (out >> np.uint32(15))
 
 
 def matches(texts: pa.Array, catalogue: Catalogue, least: float) -> list[tuple[int, str, float, int, int]]:
@@ -108,26 +110,32 @@ def matches(texts: pa.Array, catalogue: Catalogue, least: float) -> list[tuple[i
     if not len(hashes):
         return []
     owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    for s, rows in catalogue.classes.items():
-        blocks = np.flatnonzero(word % s == 0)
-        values = minima(hashes, blocks)
-        pair = np.append(owner[blocks][1:] == owner[blocks][:-1], False)  # the window's second block is of the same text
-        values[:, :-1] = np.where(pair[:-1], np.minimum(values[:, :-1], values[:, 1:]), values[:, :-1])
-        hit = np.zeros(len(blocks), bool)
-        for k in range(BANDS):
-            hit |= catalogue.maybe[s][k][values[k] >> 16]
-        for i in np.flatnonzero(hit):
-            text, a = int(owner[blocks[i]]), int(blocks[i])
-            b = min(a + 2 * s, int(start[text + 1]))
-            for name, own, bands in rows:
-                if not (bands == values[:, i]).any():
-                    continue
-                found = np.isin(hashes[a:b], own)
-                share = len(np.unique(hashes[a:b][found])) / len(own)
-                if share >= least:
-                    where = np.flatnonzero(found)
-                    this = (share, -int(word[a + where[0]]), int(where[-1] - where[0]) + WORDS)
-                    best[text, name] = max(best.get((text, name), this), this)
+    values, blocks, s = band_hashes(hashes), np.arange(len(hashes)), 1
+    while s <= max(catalogue.classes):
+        if s > 1:  # two blocks of half the size make one, the last of a text may stand alone
+            even = word[blocks] % s == 0
+            first = np.flatnonzero(even)
+            second = np.minimum(first + 1, len(blocks) - 1)
+            values = np.minimum(values[first], np.where(even[second, None], _NONE, values[second]))
+            blocks = blocks[first]
+        if s in catalogue.classes:
+            pair = np.append(owner[blocks][1:] == owner[blocks][:-1], False)  # the window's second block is of the same text
+            after = np.minimum(np.arange(len(blocks)) + 1, len(blocks) - 1)
+            windows = np.minimum(values, np.where(pair[:, None], values[after], _NONE))
+            hit = catalogue.maybe[s].ravel()[(windows >> np.uint32(16)) + _ROW].any(axis=1)
+            for i in np.flatnonzero(hit):
+                text, a = int(owner[blocks[i]]), int(blocks[i])
+                b = min(a + 2 * s, int(start[text + 1]))
+                for name, own, bands in catalogue.classes[s]:
+                    if not (bands == windows[i]).any():
+                        continue
+                    found = np.isin(hashes[a:b], own)
+                    share = len(np.unique(hashes[a:b][found])) / len(own)
+                    if share >= least:
+                        where = np.flatnonzero(found)
+                        this = (share, -int(word[a + where[0]]), int(where[-1] - where[0]) + WORDS)
+                        best[text, name] = max(best.get((text, name), this), this)
+        s *= 2
     return [(text, name, share, -at, span) for (text, name), (share, at, span) in sorted(best.items())]
 
 
