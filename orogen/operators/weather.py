@@ -21,15 +21,16 @@ def critical_slope(angle_deg: float = 38.0) -> float:
 
 
 def listing_step(h: np.ndarray, crit: float, rate: float) -> np.ndarray:
-    """One iteration: transfers in the order +x, -x, +z, -z."""
-    eroded = np.zeros_like(h)
-    along_x = np.maximum(0.0, h[:, 1:] - h[:, :-1] - crit) * rate
-    along_z = np.maximum(0.0, h[1:, :] - h[:-1, :] - crit) * rate
-    eroded[:, :-1] += along_x
-    eroded[:, 1:] -= along_x
-    eroded[:-1, :] += along_z
-    eroded[1:, :] -= along_z
-    return h - eroded
+    """One iteration as fluxes over cell edges: what leaves a cell less what its neighbour before it sent."""
+    change = np.zeros_like(h)
+    for axis in (1, 0):
+        flux = np.maximum(0.0, np.diff(h, axis=axis) - crit) * rate
+        edge = [(0, 0), (0, 0)]
+        edge[axis] = (0, 1)
+        change = change + np.pad(flux, edge)
+        edge[axis] = (1, 0)
+        change = change - np.pad(flux, edge)
+    return h - change
 
 
 _STEPS = ((0, -1), (0, 1), (-1, 0), (1, 0))  # west, east, north, south

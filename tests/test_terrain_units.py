@@ -229,3 +229,17 @@ def test_stream_of_cells(spark, tmp_path):
     cells.run(spark, str(tmp_path / "in"), "z int, x int, h double, slope_deg double", t, str(tmp_path / "out"), str(tmp_path / "ck"), 2).awaitTermination(60)
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("z", "x", "feature", "v").collect()))
     assert got == sorted(map(tuple, cells.masks(field, t, 2).select("z", "x", "feature", "v").collect()))
+
+
+def test_command_line(spark, tmp_path):
+    from orogen.__main__ import main
+    from orogen.plans.queries import CONFIG
+
+    (tmp_path / "c.json").write_text(json.dumps(CONFIG))
+    heights = (np.arange(48).reshape(6, 8) * 1300).astype(np.uint16)
+    (tmp_path / "h.png").write_bytes(png.encode(heights))
+    (tmp_path / "m.png").write_bytes(png.encode((heights % 256).astype(np.uint8)))
+    main([str(tmp_path / "c.json"), str(tmp_path / "h.png"), str(tmp_path / "out"), "--mask", f"Frost={tmp_path / 'm.png'}"])
+    columns = spark.read.parquet(str(tmp_path / "out/columns"))
+    assert columns.count() == 48 and columns.filter("array_contains(layers, 'Frost')").count() == int(((heights % 256) >= 128).sum())
+    assert spark.read.text(str(tmp_path / "out/script")).count() > 5
