@@ -35,11 +35,21 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python by the thousand rows, unless the session asks for other batches.
+
+    Arrow batches are counted in rows; at the default of 10,000 long texts would fill a worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Workspace:
     """A folder of intermediate tables shared by the driver and all executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
         self.root = f"{top.rstrip('/')}/ws-{uuid.uuid4().hex}"
 

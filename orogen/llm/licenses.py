@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, U64, TextView, mix, shingle_hashes, slices
+from .kit import LOWER, U64, TextView, mix, shingle_hashes, slices, small_batches
 
 WORDS, BANDS = 5, 64
 
@@ -141,6 +141,7 @@ def matches(texts: pa.Array, catalogue: Catalogue, least: float) -> list[tuple[i
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, license, containment, first_word, n_words of every match."""
+    small_batches(docs.sparkSession)
     templates = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, SPACE, U64, TextView, prefix_hashes, range_hashes, slices
+from .kit import LOWER, SPACE, U64, TextView, prefix_hashes, range_hashes, slices, small_batches
 
 BUCKETS, GRAMS = 1 << 17, (4, 5)
 
@@ -144,6 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row, over whole texts."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
