@@ -8,13 +8,14 @@ Tiles. Set sizes fall into bands, each with its own largest d, called k. The
 hash space is cut into k + 1 + s parts, so two linked sets agree exactly on at
 least s + 1 parts. A tile is (band, part, content of the part); a set enters
 one tile for each part of its band, and of the next band where it can have a
-partner there. An empty part makes a tile only for a set with more than s
-empty parts: otherwise one of the s + 1 agreeing parts is not empty. No linked
+partner there. A part of one shingle or none makes a tile only for a set with more
+than s such parts: otherwise one of the s + 1 agreeing parts has more. No linked
 pair is missed, and a tile holds sets that share all shingles of a part.
 
-Bitmaps. Each set carries 256 parity bits of its shingle hashes. The number of
-differing bits never exceeds d, so it bounds the overlap from above. Only
-pairs within the bound get their sorted arrays intersected.
+Bitmaps. Each set carries parity bits of its shingle hashes, at least twice as many as
+shingles, from 256 to 2^16; the longer of two is folded. The number of differing bits never exceeds d,
+so it bounds the overlap from above. Only pairs within the bound get their sorted
+arrays intersected.
 
 Links within a tile. A task pairs the members of a tile with the smallest of its batch, and a
 tile's group pairs these leaders with the smallest of all: the pairs are few, and a
@@ -33,6 +34,7 @@ ignored. Hashes have 64 bits; equality of whole sets uses 128.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,6 @@ from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
 BLOCK, BATCH_TILES, GROUP_TILES = 512, 1_000_000, 300_000
-BITS = ["b0", "b1", "b2", "b3"]
 
 
 class Bands:
@@ -57,6 +58,8 @@ class Bands:
         while self.top[-1] < 1 << 40:
             self.top.append(max(self.top[-1] + 1, self.top[-1] * den // num, self.top[-1] * 9 * den // (8 * num)))
         self.most = [2 * t * (den - num) // (den + num) for t in self.top]
+        load = 0.45 * (den + num) / (den - num)  # elements in a part, a little below the mean
+        self.weak = 1.3 * math.exp(-load) * (1 + load)
 
     def of(self, n: int) -> list[int]:
         """The bands whose tiles a set of size n enters."""
@@ -65,7 +68,7 @@ class Bands:
         return [j for j in both if self.most[j]]
 
     def parts(self, i: int) -> tuple[int, int]:
-        spare = 2 + self.most[i] // 200
+        spare = 2 + int(self.most[i] * self.weak)
         return self.most[i] + 1 + spare, spare
 
 
@@ -80,20 +83,38 @@ def tiles_of(elements: np.ndarray, bands: Bands) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         part, total = part[order], np.cumsum(mix(h[order] + salt), dtype=np.uint64)
         last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
-        content = np.diff(total[last], prepend=U64(0))
-        where = part[last]
-        if m - len(where) > spare:
+        content, where = np.diff(total[last], prepend=U64(0)), part[last]
+        strong = np.diff(last, prepend=-1) > 1
+        if m - strong.sum() > spare:
             empty = np.setdiff1d(np.arange(m), where)
             where, content = np.append(where, empty), np.append(content, np.zeros(len(empty), np.uint64))
+        else:
+            where, content = where[strong], content[strong]
         out.append(mix(mix(content + where.astype(np.uint64) * U64(0xA24BAED4963EE407)) ^ salt))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
-    count = np.bincount((mix(elements + U64(11)) >> U64(56)).astype(np.int64), minlength=256)
+    """Parities of the elements' hashes as uint64 words; a power of two of bits."""
+    size = 1 << min(16, max(8, (2 * len(elements) - 1).bit_length()))
+    count = np.bincount((mix(elements + U64(11)) & U64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities modulo a smaller power of two: halves fold by exclusive or."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference's size."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
         for rows, text in slices(batch):
@@ -120,7 +141,9 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, rows[22].astype(bool)
 
 
-_PLAIN = ["doc_id", "n_shingles", "k1", "k2", *BITS, "tile", "leader"]
+_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "tile": "long", "leader": "long"}
+_ARROW = {c: pa.binary() if t == "binary" else pa.int64() for c, t in _PLAIN.items()}
+_PLAIN_SCHEMA = ", ".join(f"{c} {t}" for c, t in _PLAIN.items())
 
 
 def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
@@ -132,8 +155,8 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFram
 
     def plain(**columns: pa.Array) -> pa.RecordBatch:
         n = len(columns["doc_id"])
-        rows = [columns.get(c, None) for c in _PLAIN]
-        return pa.RecordBatch.from_arrays([columns["group"], pa.nulls(n, pa.binary()), *(pa.nulls(n, pa.int64()) if r is None else r for r in rows)], names=["group", "body", *_PLAIN])
+        rows = [columns[c] if c in columns else pa.nulls(n, t) for c, t in _ARROW.items()]
+        return pa.RecordBatch.from_arrays([columns["group"], pa.nulls(n, pa.binary()), *rows], names=["group", "body", *_PLAIN])
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         tile, doc, content = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -158,16 +181,14 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFram
         order = np.argsort(group, kind="stable")
         filled, start = np.unique(group[order], return_index=True)
         bodies = [_pack(tile[r], doc[r], content[r], several[r]) for r in np.split(order, start[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(len(bodies), pa.int64()) for _ in _PLAIN)], names=["group", "body", *_PLAIN])
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(len(bodies), t) for t in _ARROW.values())], names=["group", "body", *_PLAIN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, zero = Bands(num, den), np.zeros(4, np.uint64)
-        parts, size = [], 0
+        bands, parts, size = Bands(num, den), [], 0
         for ids, sets in _sets(batches, k):
-            bits = np.array([parity_bits(s) if len(s) else zero for s in sets])
+            bits = pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
-            named = [pa.array(as_long(np.ascontiguousarray(bits[:, j]))) for j in range(4)]
-            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), **dict(zip(BITS, named, strict=True)))
+            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits)
             for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
                 if doc is not None and len(s):
                     tiles = tiles_of(s, bands) & U64((1 << 48) - 1)
@@ -179,13 +200,13 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFram
         if parts:
             yield from flush(parts)
 
-    schema = "group int, body binary, " + ", ".join(f"{c} long" for c in _PLAIN)
+    schema = f"group int, body binary, {_PLAIN_SCHEMA}"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _gathered(table: pa.Table) -> pa.Table:
     """A group's plain rows as they are, and its tiles' batch leaders paired with the smallest of them."""
-    out = table.filter(pc.is_null(table.column("body"))).select(_PLAIN)
+    out = table.filter(pc.is_null(table.column("body"))).select(list(_PLAIN))
     bodies = [x for x in table.column("body").to_pylist() if x is not None]
     if bodies:
         tile, doc, content, several = (np.concatenate(x) for x in zip(*map(_unpack, bodies), strict=True))
@@ -198,7 +219,7 @@ def _gathered(table: pa.Table) -> pa.Table:
         rows = np.repeat(several, size) & (doc != leader)
         n = int(rows.sum())
         found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows])}
-        out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(n, pa.int64())) for c in _PLAIN})])
+        out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(n, t)) for c, t in _ARROW.items()})])
     return out
 
 
@@ -216,16 +237,23 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name if c == "doc_id" else f"{name}_{c}") for c in df.columns))
 
 
-def _within_bound(num: int, den: int) -> Column:
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS), F.lit(0))
-    total = F.col("a_n_shingles") + F.col("b_n_shingles")
-    return (total - apart) * (den + num) >= total * (2 * num)
+def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that bit counts leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            least = [apart(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(batch.column(4), batch.column(5), strict=True)]
+            keep = (total - np.array(least, np.int64)) * (den + num) >= total * (2 * num)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "a_n_shingles", "b_n_shingles", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num: int, den: int, store: Workspace, name: str) -> DataFrame:
     """Of distinct pairs (a, b), those that link: bit counts first, then exact intersection."""
-    bits = sketch.select("doc_id", "n_shingles", *BITS)
-    near = pairs.join(_side(bits, "a"), "a").join(_side(bits, "b"), "b").filter(_within_bound(num, den)).select("a", "b").distinct()
+    bits = sketch.select("doc_id", "n_shingles", "bits")
+    near = _bounded(pairs.join(_side(bits, "a"), "a").join(_side(bits, "b"), "b"), num, den).distinct()
     near = store.save(near, f"{name}-near")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     arrays = store.save(shingle_arrays(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), f"{name}-arrays")
@@ -255,13 +283,15 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     size = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     units = members.join(size, "tile").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "leader", "component", "n_shingles", *BITS)
+    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "leader", "component", "n_shingles", "bits")
     units = units.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, part, own, leader = (t.column(c).to_numpy() for c in ("doc_id", "component", "own", "leader"))
         n = t.column("n_shingles").to_numpy()
-        bits = np.stack([t.column(c).to_numpy() for c in BITS], 1).view(np.uint64)
+        bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
+        words = min(map(len, bits))
+        bits = np.stack([folded(b, words) for b in bits])
         diagonal = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         left = np.arange(len(ids)) if diagonal else np.flatnonzero(own == t.column("i")[0].as_py())
         a, b = [], []
@@ -269,8 +299,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
             ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
             ys = ys[(part[ys] != part[x]) & (leader[ys] != ids[x]) & (ids[ys] != leader[x])]
             total = n[ys] + n[x]
-            apart = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
-            ys = ys[(total - apart) * (den + num) >= total * (2 * num)]
+            differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
+            ys = ys[(total - differ) * (den + num) >= total * (2 * num)]
             a.append(np.minimum(ids[x], ids[ys]))
             b.append(np.maximum(ids[x], ids[ys]))
         return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
@@ -301,10 +331,10 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     store = store or Workspace(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, size * (den - num) // (2 * (den + num) * GROUP_TILES) + 1)
-    whole = _dealt(docs, k, num, den, groups).groupBy("group").applyInArrow(_gathered, ", ".join(f"{c} long" for c in _PLAIN))
+    whole = _dealt(docs, k, num, den, groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
     whole = store.save(whole, "sketch")
     store.release()
-    every = whole.filter("tile is null").select(*_PLAIN[:-2])
+    every = whole.filter("tile is null").drop("tile", "leader")
     sketch = every.filter("doc_id is not null and n_shingles > 0")
     members = whole.filter("tile is not null").select("tile", "doc_id", "leader")
     reps = store.save(sketch.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
@@ -317,7 +347,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     placed = members.unionByName(heads.select("tile", "doc_id", "leader")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("tile")
-    rest = store.save(placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", *BITS), "doc_id"), "rest")
+    rest = store.save(placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", "bits"), "doc_id"), "rest")
     cross = store.save(_cross_pairs(rest, num, den), "cross")
     second = verified(cross, sketch, docs, k, num, den, store, "cross")
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
