@@ -186,3 +186,35 @@ def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, m
     limit = most_common + slack / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
     odd = (F.col("class_distance") > most_classes) | ((F.col("n_words") >= guard) & (F.col("word_distance") > limit))
     return judged.select("doc", *BASE, "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
+
+
+def oracle(guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0, least_mass: int = 20_000) -> str:
+    """DuckDB SQL for the query's rows."""
+    words = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+    share = lambda h: f"list_transform({h}, lambda x: x / greatest(list_sum({h}), 1))"
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    dist = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(f'{p}[i]', f'{q}[i]')} + {term(f'{q}[i]', f'{p}[i]')})) / 2))"
+    summed = lambda h: f"(SELECT k, list(v ORDER BY i) AS {h} FROM (SELECT k, i, sum(v) AS v FROM (SELECT k, unnest({h}) AS v, generate_subscripts({h}, 1) AS i FROM sound) GROUP BY k, i) GROUP BY k)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS k, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  list_histogram(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS hist FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+o AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM c GROUP BY r),
+h AS (SELECT r, doc_id, k, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  list_transform(['[^a-z]', '[^A-Z]', '[^0-9]', '[^\x20\x09-\x0D]', '[^.,;:!?''"()\-]', '[^#*$%&|<>@^_~+=/\\\[\]{{}}`]', '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()\-#*$%&|<>@^_~+=/\\\[\]{{}}`]|[^\x00-\x7F]', '[\x00-\x7F]'], lambda x: length(regexp_replace(t, x, '', 'g'))) AS classes,
+  list_transform({words}, lambda x: coalesce(list_extract(map_extract(hist, x), 1), 0)) AS listed FROM w LEFT JOIN o USING (r)),
+f AS (SELECT *, list_append(listed, n_words - list_sum(listed)) AS common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
+sound AS (SELECT k, classes, common FROM f WHERE NOT base_failed), mass AS (SELECT k FROM f WHERE NOT base_failed GROUP BY k HAVING sum(n_words) >= {least_mass}),
+own AS (SELECT * FROM {summed('classes')} x JOIN {summed('common')} y USING (k) JOIN mass USING (k)),
+every AS (SELECT x.v AS classes, y.v AS common FROM (SELECT list(v ORDER BY i) AS v FROM (SELECT i, sum(v) AS v FROM (SELECT unnest(classes) AS v, generate_subscripts(classes, 1) AS i FROM sound) GROUP BY i)) x,
+  (SELECT list(v ORDER BY i) AS v FROM (SELECT i, sum(v) AS v FROM (SELECT unnest(common) AS v, generate_subscripts(common, 1) AS i FROM sound) GROUP BY i)) y),
+m AS (SELECT f.*, coalesce(own.classes, every.classes) AS rc, coalesce(own.common, every.common) AS rw FROM f CROSS JOIN every LEFT JOIN own USING (k)),
+s AS (SELECT *, {share('classes')} AS p1, {share('rc')} AS q1, {share('common')} AS p2, {share('rw')} AS q2 FROM m),
+v AS (SELECT *, {dist('p1', 'q1')} AS cd, {dist('p2', 'q2')} AS wd FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (cd > {most_classes} OR (n_words >= {guard} AND wd > {most_common} + {slack} / sqrt(greatest(n_words, 1)))) AS kept,
+  round(cd, 9) AS class_distance, round(wd, 9) AS word_distance FROM v
+"""
