@@ -99,9 +99,21 @@ r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, e.b FROM
 SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY d
 """
 
+_REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, h[2 * i - 1 : 2 * i + 98] AS s FROM (SELECT r, doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d)),
+m AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS gone FROM w),
+y AS (SELECT r, unnest(range(1, len(h) // 2 + 1)) AS i, unnest(regexp_extract_all(h, '..')) AS v FROM d),
+b AS (SELECT r, i, v, bool_or(coalesce(gone, false)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM y LEFT JOIN m USING (r, i)),
+c AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS head FROM b),
+t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE head) AS spans, string_agg(v, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": _JACCARD,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op9_mix_sources": mixing.oracle(),
+    "op10_suffix_dedup": _REPEATS,
 }
