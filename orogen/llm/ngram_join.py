@@ -22,8 +22,10 @@ tile's group pairs these leaders with the smallest of all: the pairs are few, an
 tile that a third of all documents share costs its group one row a batch. Most tiles,
 even hot ones, become one component this way. In tiles that still hold several
 components, members are compared in blocks of bounded size with bitmaps, pairs
-of one component being skipped. Components therefore equal those of the full join,
-while pairs inside a group are never expanded.
+of one component being skipped. First each member offers only its nearest other, a few
+times over, which joins what edits had parted; a last turn offers all pairs of
+components that remain and are within the bound. Components therefore equal those
+of the full join, while pairs inside a group are never expanded.
 
 Cases: null or empty text, or text without words: an empty set, linked with
 nothing, its own component. Fewer words than k: one shingle of all words.
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
-BLOCK, BATCH_TILES, GROUP_TILES = 512, 1_000_000, 300_000
+BLOCK, BATCH_TILES, GROUP_TILES, NEAREST = 512, 1_000_000, 300_000, 3
 
 
 class Bands:
@@ -274,9 +276,10 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num:
     return links
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Pairs of different components within the blocks of a tile, by bit counts.
 
+    With ``nearest`` each member gives only its pair with the fewest differing bits.
     A tile of more than BLOCK members is cut into blocks by a hash; each pair of
     blocks is one unit of work, so memory stays bounded however hot the tile.
     """
@@ -300,7 +303,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
             ys = ys[(part[ys] != part[x]) & (leader[ys] != ids[x]) & (ids[ys] != leader[x])]
             total = n[ys] + n[x]
             differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
-            ys = ys[(total - differ) * (den + num) >= total * (2 * num)]
+            fits = (total - differ) * (den + num) >= total * (2 * num)
+            ys = ys[fits][np.argsort(differ[fits], kind="stable")[:1]] if nearest else ys[fits]
             a.append(np.minimum(ids[x], ids[ys]))
             b.append(np.maximum(ids[x], ids[ys]))
         return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
@@ -344,18 +348,22 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     parts = components(first.unionByName(copies), store, "parts")
 
     heads = members.select("tile", F.col("leader").alias("doc_id")).distinct().withColumn("leader", F.lit(-1).cast("long"))
-    placed = members.unionByName(heads.select("tile", "doc_id", "leader")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("tile")
-    rest = store.save(placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", "bits"), "doc_id"), "rest")
-    cross = store.save(_cross_pairs(rest, num, den), "cross")
-    second = verified(cross, sketch, docs, k, num, den, store, "cross")
-    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    final = components(links, store, "final").withColumnRenamed("node", "doc_id")
+    whole_tiles = members.unionByName(heads.select("tile", "doc_id", "leader"))
+    for turn in range(NEAREST + 1):
+        placed = whole_tiles.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
+        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("tile")
+        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", "bits"), "doc_id")
+        cross = store.save(_cross_pairs(store.save(rest, "rest"), num, den, turn < NEAREST), "cross")
+        if not cross.limit(1).count():
+            break
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = components(links.unionByName(verified(cross, sketch, docs, k, num, den, store, f"cross-{turn}")), store, f"parts-{turn}")
+    final = parts.withColumnRenamed("node", "doc_id")
 
     out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for name in ("sketch", "reps", "rest", "cross", "star-links", "cross-links"):
+    for name in ("sketch", "reps", "rest", "cross"):
         store.drop(name)
     store.release()
     return out
