@@ -10,7 +10,9 @@ least s + 1 parts. A tile is (band, part, content of the part); a set enters
 one tile for each part of its band, and of the next band where it can have a
 partner there. A part of one shingle or none makes a tile only for a set with more
 than s such parts: otherwise one of the s + 1 agreeing parts has more. No linked
-pair is missed, and a tile holds sets that share all shingles of a part.
+pair is missed, and a tile holds sets that share all shingles of a part. As s is a tenth
+of k or more, linked sets of some size share several tiles; a pair, or a set with all
+others together, that shares fewer is left out.
 
 Bitmaps. Each set carries parity bits of its shingle hashes, at least twice as many as
 shingles, from 256 to 2^16; the longer of two is folded. The number of differing bits never exceeds d,
@@ -61,7 +63,7 @@ class Bands:
             self.top.append(max(self.top[-1] + 1, self.top[-1] * den // num, self.top[-1] * 9 * den // (8 * num)))
         self.most = [2 * t * (den - num) // (den + num) for t in self.top]
         load = 0.45 * (den + num) / (den - num)  # elements in a part, a little below the mean
-        self.weak = 1.3 * math.exp(-load) * (1 + load)
+        self.weak = max(0.1, 2.8 * math.exp(-load) * (1 + load))
 
     def of(self, n: int) -> list[int]:
         """The bands whose tiles a set of size n enters."""
@@ -74,9 +76,9 @@ class Bands:
         return self.most[i] + 1 + spare, spare
 
 
-def tiles_of(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """The tile keys of one set of uint64 hashes."""
-    out = []
+def tiles_of(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """The tile keys of one set of uint64 hashes, and how many it shares at least with any linked set."""
+    out, need = [], []
     for i in bands.of(len(elements)):
         m, spare = bands.parts(i)
         salt = mix(np.array([i + 1], np.uint64))[0]
@@ -87,13 +89,15 @@ def tiles_of(elements: np.ndarray, bands: Bands) -> np.ndarray:
         last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
         content, where = np.diff(total[last], prepend=U64(0)), part[last]
         strong = np.diff(last, prepend=-1) > 1
-        if m - strong.sum() > spare:
+        weak = int(m - strong.sum())
+        need.append(1 if weak > spare else spare + 1 - weak)  # at most ``weak`` of the agreeing parts are not tiles of both
+        if weak > spare:
             empty = np.setdiff1d(np.arange(m), where)
             where, content = np.append(where, empty), np.append(content, np.zeros(len(empty), np.uint64))
         else:
             where, content = where[strong], content[strong]
         out.append(mix(mix(content + where.astype(np.uint64) * U64(0xA24BAED4963EE407)) ^ salt))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), min(need)) if out else (np.zeros(0, np.uint64), 1)
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
@@ -143,7 +147,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, rows[22].astype(bool)
 
 
-_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "tile": "long", "leader": "long"}
+_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "short": "binary", "need": "long", "tile": "long", "leader": "long"}
 _ARROW = {c: pa.binary() if t == "binary" else pa.int64() for c, t in _PLAIN.items()}
 _PLAIN_SCHEMA = ", ".join(f"{c} {t}" for c, t in _PLAIN.items())
 
@@ -188,12 +192,15 @@ def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, parts, size = Bands(num, den), [], 0
         for ids, sets in _sets(batches, k):
-            bits = pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())
+            bits = [parity_bits(s) for s in sets]
+            short = pa.array([folded(b, 8).tobytes() for b in bits], pa.binary())
+            bits = pa.array([b.tobytes() for b in bits], pa.binary())
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
-            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits)
-            for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
-                if doc is not None and len(s):
-                    tiles = tiles_of(s, bands) & U64((1 << 48) - 1)
+            cut = [tiles_of(s, bands) for s in sets]
+            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short, need=pa.array([n for _, n in cut], pa.int64()))
+            for doc, (tiles, _), content in zip(ids.to_pylist(), cut, k1, strict=True):
+                if doc is not None and len(tiles):
+                    tiles = tiles & U64((1 << 48) - 1)
                     parts.append((tiles, np.full(len(tiles), doc, np.int64), np.full(len(tiles), content)))
                     size += len(tiles)
             if size >= BATCH_TILES:
@@ -341,29 +348,49 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     every = whole.filter("tile is null").drop("tile", "leader")
     sketch = every.filter("doc_id is not null and n_shingles > 0")
     members = whole.filter("tile is not null").select("tile", "doc_id", "leader")
+    need = sketch.groupBy("doc_id").agg(F.min("need").alias("need"))
     reps = store.save(sketch.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     copies = sketch.join(reps, ["n_shingles", "k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    first = verified(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), sketch, docs, k, num, den, store, "star")
+    store.release()
+    pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    pairs = pairs.join(need.withColumnRenamed("doc_id", "b"), "b").filter("n >= need").select("a", "b")
+    first = verified(pairs, sketch, docs, k, num, den, store, "star")
     parts = components(first.unionByName(copies), store, "parts")
 
     heads = members.select("tile", F.col("leader").alias("doc_id")).distinct().withColumn("leader", F.lit(-1).cast("long"))
-    whole_tiles = members.unionByName(heads.select("tile", "doc_id", "leader"))
+    # A set that shares too few tiles with all others together is linked with none of them.
+    shared = members.select("tile", "doc_id", "leader").unionByName(heads.select("tile", "doc_id", "leader"))
+    able = shared.groupBy("doc_id").agg(F.count_distinct("tile").alias("n")).join(need, "doc_id").filter("n >= need").select("doc_id")
+    whole_tiles = store.save(shared.join(able, "doc_id", "left_semi"), "shared")
+    last = False
     for turn in range(NEAREST + 1):
+        last = last or turn == NEAREST
         placed = whole_tiles.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("tile")
-        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", "bits"), "doc_id")
-        cross = store.save(_cross_pairs(store.save(rest, "rest"), num, den, turn < NEAREST), "cross")
+        # tiles with the same members ask the same question: one of them stays
+        same = [F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")]
+        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
+        mixed = mixed.filter("lo <> hi and n > 2").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
+        bits = F.col("bits" if last else "short").alias("bits")  # nearest others are found by 512 bits at most
+        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", bits), "doc_id")
+        cross = store.save(_cross_pairs(store.save(rest, "rest"), num, den, not last), "cross")
         if not cross.limit(1).count():
             break
+        store.release()
+        found = verified(cross, sketch, docs, k, num, den, store, f"cross-{turn}")
+        if not found.limit(1).count():
+            if last:
+                break
+            last = True
+            continue
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        parts = components(links.unionByName(verified(cross, sketch, docs, k, num, den, store, f"cross-{turn}")), store, f"parts-{turn}")
+        parts = components(links.unionByName(found), store, f"parts-{turn}")
     final = parts.withColumnRenamed("node", "doc_id")
 
     out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for name in ("sketch", "reps", "rest", "cross"):
+    for name in ("sketch", "reps", "shared", "rest", "cross"):
         store.drop(name)
     store.release()
     return out

@@ -180,7 +180,7 @@ def test_linked_sets_share_a_tile(n, d, seed):
     both = len(np.intersect1d(x, y))
     bands = ngram_join.Bands(8, 10)
     if 10 * both >= 8 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-        assert len(np.intersect1d(ngram_join.tiles_of(x, bands), ngram_join.tiles_of(y, bands)))
+        assert len(np.intersect1d(ngram_join.tiles_of(x, bands)[0], ngram_join.tiles_of(y, bands)[0])) >= max(ngram_join.tiles_of(v, bands)[1] for v in (x, y))
     apart = ngram_join.apart(ngram_join.parity_bits(x), ngram_join.parity_bits(y))
     assert apart <= len(x) + len(y) - 2 * both
 
