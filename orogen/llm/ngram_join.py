@@ -370,8 +370,10 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
         placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
         # tiles with the same members ask the same question: one of them stays
         same = [F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")]
-        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
-        mixed = mixed.filter("lo <> hi and n > 2").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
+        led = [F.min("doc_id").alias("first"), F.max(F.when(F.col("leader") >= 0, F.col("leader"))).alias("led")]
+        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *led, *same)
+        # two rows are settled only where one leads the other: their common leader may have been left out
+        mixed = mixed.filter("lo <> hi and (n > 2 or led is null or led <> first)").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
         bits = F.col("bits" if last else "short").alias("bits")  # nearest others are found by 512 bits at most
         rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", bits), "doc_id")
         cross = store.save(_cross_pairs(store.save(rest, "rest"), num, den, not last), "cross")

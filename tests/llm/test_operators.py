@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -170,6 +171,31 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert got == jaccard_components(list(enumerate(texts)), 1, 8, 10)
 
 
+def wrong_corpora(spark, corpora, batches):
+    """Which corpora get other components than brute force; text i of a corpus goes to batch i modulo ``batches``."""
+    rows, want = [[] for _ in range(batches)], []
+    for c, texts in enumerate(corpora):
+        own = [(100 * c + i, t) for i, t in enumerate(texts)]
+        want += [(d, p) for d, _, p in jaccard_components(own, 1, 9, 10)]
+        for d, t in own:
+            rows[d % 100 % batches].append((d, t))
+    parts = [spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in rows]
+    out = ngram_join.similarity_components(functools.reduce(lambda a, b: a.unionByName(b), parts), 1, 9, 10)
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert len(got) == len(want)
+    return sorted({d // 100 for d, p in want if got[d] != p})
+
+
+def test_jaccard_join_with_an_older_text_of_the_same_opening(spark):
+    """The older text leads some tiles of x and y = x + one word, and is left out as it shares too few."""
+    corpora = []
+    for c in range(800):
+        rng = random.Random(c)
+        x = [f"c{c}w{i}" for i in range(rng.randint(10, 24))]
+        corpora.append([" ".join(x[: rng.randint(1, len(x) - 1)] + [f"c{c}o{i}" for i in range(rng.randint(2, 24))]), " ".join(x), " ".join([*x, "z"])])
+    assert wrong_corpora(spark, corpora, 1) == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 10**6))
 def test_linked_sets_share_a_tile(n, d, seed):
