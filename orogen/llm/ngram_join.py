@@ -368,8 +368,9 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
         last = last or turn == NEAREST
         placed = whole_tiles.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-        # tiles with the same members ask the same question: one of them stays
-        same = [F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")]
+        # tiles with the same members and leaders ask the same question: one of them stays; sums of
+        # 36 bits, as a row that leads its batch or repeats would cancel in an exclusive or
+        same = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", "leader", F.lit(i)), 28)).alias(f"s{i}") for i in (1, 2)]
         led = [F.min("doc_id").alias("first"), F.max(F.when(F.col("leader") >= 0, F.col("leader"))).alias("led")]
         mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *led, *same)
         # two rows are settled only where one leads the other: their common leader may have been left out

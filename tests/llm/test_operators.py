@@ -196,6 +196,22 @@ def test_jaccard_join_with_an_older_text_of_the_same_opening(spark):
     assert wrong_corpora(spark, corpora, 1) == []
 
 
+def test_jaccard_join_of_tiles_with_like_members(spark):
+    """Tiles with the same documents but other leaders are different questions."""
+    corpora = []
+    for seed in [*range(40), 1678, 2882, 3161, 3465, 3556]:
+        rng = random.Random(seed)
+        base = [f"s{seed}w{i}" for i in range(rng.randint(14, 19))]
+        texts = []
+        for _ in range(12):
+            own = base[rng.randint(0, 3) : rng.randint(len(base) - 3, len(base))]
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = f"s{seed}x{rng.randint(0, 9)}"
+            texts.append(" ".join(own))
+        corpora.append(texts)
+    assert wrong_corpora(spark, corpora, 3) == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 10**6))
 def test_linked_sets_share_a_tile(n, d, seed):
