@@ -3,8 +3,8 @@
 Each document gives two histograms: code points by character class, and words
 by a short list of common words for each language, with one slot for all
 other words. References are the sums of the histograms of all documents of a
-language that pass the base rules; a language with little text is compared
-with the reference over all languages. A document is kept when it passes the base rules
+language that pass the base rules, however few; only a language without such documents, of which
+none is kept, is compared with the reference over all languages. A document is kept when it passes the base rules
 and its distances stay under their limits. Distances are square roots of the
 base-2 divergence, from 0 to 1.
 
@@ -169,7 +169,7 @@ def _reference(rows: DataFrame, by: list[Column]) -> DataFrame:
     return out.select(*[c for c in out.columns if c == "key"], "mass", F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"common{i}" for i in range(len(WORDS) + 1)]).alias("ref_common"))
 
 
-def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0, least_mass: int = 20_000, store: Workspace | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0, store: Workspace | None = None) -> DataFrame:
     """(doc, base counts, base_failed, class_distance, word_distance, kept) of every row.
 
     ``doc`` holds the input columns but the text.
@@ -178,7 +178,7 @@ def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, m
     rows = store.save(measured(docs), "measured").withColumn("key", F.coalesce(F.col("doc.lang"), F.lit("")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     sound = rows.filter(~F.col("base_failed"))
-    own = _reference(sound, [F.col("key")]).filter(F.col("mass") >= least_mass)
+    own = _reference(sound, [F.col("key")])
     every = _reference(sound, []).first()  # one row of some hundred sums
     general = {h: F.array(*[F.lit(int(x or 0)).cast("long") for x in every[f"ref_{h}"]]) for h in ("classes", "common")}
     judged = rows.join(store.save(own, "own"), "key", "left")

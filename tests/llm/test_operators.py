@@ -311,6 +311,18 @@ def test_quality_verdicts_follow_labels(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.2
 
 
+@pytest.mark.parametrize("rare", [False, True])
+def test_quality_verdicts_in_small_languages(spark, tiny, rare):
+    """Languages of a few thousand words, or one of five documents among sf0.01, are judged by their own words."""
+    docs, labels = (spark.read.parquet(f"{tiny if not rare else '/root/testdata/sf0.01'}/{t}.parquet") for t in ("documents", "labels"))
+    if rare:
+        five = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("lang = 'de'").orderBy("doc_id").limit(5)
+        docs = docs.filter("lang <> 'de'").unionByName(five)
+    rows = quality.quality_rules(docs).select("doc.doc_id", "doc.lang", "kept", "base_failed").join(labels, "doc_id")
+    rows = rows.filter("not base_failed and quality = 1").filter("lang = 'de'" if rare else "lang <> 'en'").collect()
+    assert rows and all(r["kept"] for r in rows)
+
+
 # 6 Best-fit packing ---------------------------------------------------------------------------------
 
 
