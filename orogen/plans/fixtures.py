@@ -56,11 +56,10 @@ THRESHOLDS = """t AS (SELECT a.i AS tz, b.i AS tx, CAST((b.i * 1103 + a.i * 2741
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridges (inst_id, cx, cz, angle, height, length, sigma) from the first hundred suppliers."""
+    """Ridges (inst_id, cx, cz, angle, height, length, sigma) from the suppliers."""
     k = F.col("s_suppkey")
     return (
         table(spark, sf_dir, "supplier")
-        .filter(k <= 100)
         .select(
             k.cast("int").alias("inst_id"),
             ((k * 37) % 64).cast("double").alias("cx"),
@@ -79,8 +78,8 @@ INSTANCES = """i AS (SELECT CAST(s_suppkey AS INT) AS inst_id, CAST((s_suppkey *
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks (inst_id, cx, cz, h_peak, radius, gamma, alpha, k) from the first forty suppliers."""
-    base = instances(spark, sf_dir).filter("inst_id <= 40")
+    """Peaks (inst_id, cx, cz, h_peak, radius, gamma, alpha, k) from the suppliers."""
+    base = instances(spark, sf_dir)
     return base.select("inst_id", "cx", "cz", F.col("height").alias("h_peak"), F.col("length").alias("radius"), F.lit(1.8).alias("gamma"), F.lit(0.2).alias("alpha"), (3 + F.col("inst_id") % 2).alias("k"))
 
 
