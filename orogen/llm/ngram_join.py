@@ -4,15 +4,17 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 ``num / den``. With |x| + |y| known, that bounds the symmetric difference d by
 (|x| + |y|) (den - num) / (den + num). The join uses the bound twice.
 
-Tiles. Set sizes fall into bands, each with its own largest d, called k. The
-hash space is cut into k + 1 + s parts, so two linked sets agree exactly on at
-least s + 1 parts. A tile is (band, part, content of the part); a set enters
-one tile for each part of its band, and of the next band where it can have a
-partner there. A part of one shingle or none makes a tile only for a set with more
-than s such parts: otherwise one of the s + 1 agreeing parts has more. No linked
-pair is missed, and a tile holds sets that share all shingles of a part. As s is a tenth
-of k or more, linked sets of some size share several tiles; a pair, or a set with all
-others together, that shares fewer is left out.
+Tiles. Set sizes fall into bands, and linked sets meet in one of them. Shingles have one
+order: first by how common they are, then by hash. Of two sets with an overlap of o or more,
+the first |x| - o + l and |y| - o + l shingles in that order share l or more, whatever the
+order. A tile is (band, shingle), and a set enters the tiles of its first shingles only. Common
+ones come last, so a passage that a third of all documents hold makes a tile only of sets
+that are nearly made of it. A set that shares fewer than l tiles of a band with all others
+together has no link there and is left out.
+
+How common a shingle is, is read from counts of all documents' shingles in 2^20 buckets, as the
+number of binary digits by which its bucket exceeds twice the mean. The counts
+have one size for any corpus; any order gives the same links, a good one fewer candidates.
 
 Bitmaps. Each set carries parity bits of its shingle hashes, at least twice as many as
 shingles, from 256 to 2^16; the longer of two is folded. The number of differing bits never exceeds d,
@@ -23,81 +25,119 @@ Links within a tile. A task pairs the members of a tile with the smallest of its
 tile's group pairs these leaders with the smallest of all: the pairs are few, and a
 tile that a third of all documents share costs its group one row a batch. Most tiles,
 even hot ones, become one component this way. In tiles that still hold several
-components, members are compared in blocks of bounded size with bitmaps, pairs
-of one component being skipped. First each member offers only its nearest other, a few
-times over, which joins what edits had parted; a last turn offers all pairs of
-components that remain and are within the bound. Components therefore equal those
-of the full join, while pairs inside a group are never expanded.
+components, members are compared by 512-bit maps in blocks of bounded size, pairs
+of one component being skipped. First each member offers only its nearest other, which
+joins what edits had parted; then all pairs of components that remain and are within
+the bound are asked. Components therefore equal those of the full join, while pairs
+inside a group are never expanded. A document in very many pairs is joined by parts.
 
 Cases: null or empty text, or text without words: an empty set, linked with
 nothing, its own component. Fewer words than k: one shingle of all words.
 Null doc_id: the row stays, its component is null and it takes no part. Rows
 that share a doc_id count as one document for links. Extra columns are
-ignored. Hashes have 64 bits; equality of whole sets uses 128.
+ignored. Hashes have 64 bits; equality of whole sets uses 128. Texts of any length are
+taken whole, a megabyte or one text at a time. An empty table gives an empty one. Ties
+go to the smallest doc_id.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
-BLOCK, BATCH_TILES, GROUP_TILES, NEAREST = 512, 1_000_000, 300_000, 3
+BLOCK, BATCH_TILES, GROUP_TILES = 4096, 1_000_000, 300_000
+BUCKET_BITS, SLICES, SPLIT, MANY = 20, 16, 4096, 1 << 15
 
 
 class Bands:
-    """Size bands for a threshold of num/den; band i holds sizes up to ``top[i]``."""
+    """Size bands for a threshold of num/den; band i holds sizes up to ``top[i]``.
+
+    ``shared[i]`` is how many tiles of band i linked sets share at least. Band 0 holds
+    sets of one shingle, which have no tiles; its number serves for one shared tile.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.top = [1]
-        while self.top[-1] < 1 << 40:
+        while self.top[-1] < 1 << 31:  # Spark's longest text has fewer words
             self.top.append(max(self.top[-1] + 1, self.top[-1] * den // num, self.top[-1] * 9 * den // (8 * num)))
         self.most = [2 * t * (den - num) // (den + num) for t in self.top]
-        load = 0.45 * (den + num) / (den - num)  # elements in a part, a little below the mean
-        self.weak = max(0.1, 2.8 * math.exp(-load) * (1 + load))
+        self.least = [1, *(max(1, t * num // den) for t in self.top[:-1])]  # smallest size that enters
+        self.shared = [1, *(min(2 + n // 20, self.overlap(n, n)) for n in self.least[1:])]
+
+    def overlap(self, x: int, y: int) -> int:
+        """The least intersection of linked sets of these sizes."""
+        return -(-self.num * (x + y) // (self.num + self.den))
 
-    def of(self, n: int) -> list[int]:
-        """The bands whose tiles a set of size n enters."""
+    def of(self, n: int) -> list[tuple[int, int]]:
+        """The bands whose tiles a set of size n enters, each with its number of first shingles."""
         i = int(np.searchsorted(self.top, n))
-        both = [i, i + 1] if n * self.den // self.num > self.top[i] else [i]
-        return [j for j in both if self.most[j]]
-
-    def parts(self, i: int) -> tuple[int, int]:
-        spare = 2 + int(self.most[i] * self.weak)
-        return self.most[i] + 1 + spare, spare
-
-
-def tiles_of(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
-    """The tile keys of one set of uint64 hashes, and how many it shares at least with any linked set."""
-    out, need = [], []
-    for i in bands.of(len(elements)):
-        m, spare = bands.parts(i)
-        salt = mix(np.array([i + 1], np.uint64))[0]
-        h = mix(elements ^ salt)
-        part = (h % U64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, total = part[order], np.cumsum(mix(h[order] + salt), dtype=np.uint64)
-        last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
-        content, where = np.diff(total[last], prepend=U64(0)), part[last]
-        strong = np.diff(last, prepend=-1) > 1
-        weak = int(m - strong.sum())
-        need.append(1 if weak > spare else spare + 1 - weak)  # at most ``weak`` of the agreeing parts are not tiles of both
-        if weak > spare:
-            empty = np.setdiff1d(np.arange(m), where)
-            where, content = np.append(where, empty), np.append(content, np.zeros(len(empty), np.uint64))
-        else:
-            where, content = where[strong], content[strong]
-        out.append(mix(mix(content + where.astype(np.uint64) * U64(0xA24BAED4963EE407)) ^ salt))
-    return (np.concatenate(out), min(need)) if out else (np.zeros(0, np.uint64), 1)
+        smallest = {i: max(self.least[i], -(-n * self.num // self.den))}  # partner met there
+        if n * self.den // self.num > self.top[i]:
+            smallest[i + 1] = self.top[i] + 1
+        return [(j, min(n, n - self.overlap(n, y) + self.shared[j])) for j, y in smallest.items() if self.most[j]]
+
+
+def tiles_of(elements: np.ndarray, bands: Bands, levels: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(band, tile keys of 48 bits) of one set of uint64 hashes; band 0 if two of its keys are equal."""
+    out = []
+    where = bands.of(len(elements))
+    if where:
+        h = mix(elements + U64(0x3C6EF372))
+        ordered = np.sort((levels[bucket(elements)].astype(np.uint64) << U64(56)) | (h >> U64(8)))
+    for j, first in where:
+        keys = mix(ordered[:first] ^ mix(np.array([j + 1], np.uint64))) >> U64(16)
+        distinct = np.unique(keys)
+        out.append((j if len(distinct) == len(keys) else 0, distinct))
+    return out
+
+
+def bucket(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements + U64(0x510E527F)) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def commonness(docs: DataFrame, k: int) -> np.ndarray:
+    """The level of every bucket of shingles, from counts over all documents."""
+    width = (1 << BUCKET_BITS) // SLICES
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        salt = TaskContext.get().partitionId() % 64
+        bodies = [zlib.compress(x.tobytes(), 1) for x in total.values()]
+        columns = [pa.array(total, pa.int32()), pa.array([salt] * len(total), pa.int32()), pa.array(bodies, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["slice", "salt", "body"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for _, sets in _sets(batches, k):
+            total += np.bincount(bucket(np.concatenate(sets)), minlength=len(total))
+        yield rows({i: x for i, x in enumerate(total.reshape(SLICES, width)) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(body.as_buffer()), np.int64)
+        yield rows(total)
+
+    schema = "slice int, salt int, body binary"
+    parts = docs.select("doc_id", "text").mapInArrow(count, schema)
+    for by in (["slice", "salt"], ["slice"]):
+        parts = parts.repartition(*by).mapInArrow(add, schema)
+    total = np.zeros((SLICES, width), np.int64)
+    for row in parts.collect():  # one row of fixed size for each slice
+        total[row["slice"]] += np.frombuffer(zlib.decompress(row["body"]), np.int64)
+    over = total.ravel() // (2 * total.sum() // total.size + 1)
+    return np.frexp(over.astype(np.float64))[1].astype(np.uint8)
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
@@ -134,75 +174,77 @@ def _planes(x: np.ndarray, n: int) -> bytes:
     return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:n].tobytes()
 
 
-def _pack(tile: np.ndarray, doc: np.ndarray, content: np.ndarray, several: np.ndarray) -> bytes:
+def _pack(tile: np.ndarray, doc: np.ndarray, content: np.ndarray, flags: np.ndarray) -> bytes:
     """Rows sorted by tile, as byte planes."""
-    return _planes(np.diff(tile, prepend=U64(0)), 6) + _planes(doc, 8) + _planes(content, 8) + several.astype(np.uint8).tobytes()
+    return _planes(np.diff(tile, prepend=U64(0)), 6) + _planes(doc, 8) + _planes(content, 8) + _planes(flags, 2)
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
-    rows = np.frombuffer(body, np.uint8).reshape(23, -1)
-    full = [np.zeros((8, rows.shape[1]), np.uint8) for _ in range(3)]
-    full[0][:6], full[1][:], full[2][:] = rows[:6], rows[6:14], rows[14:22]
-    tile, doc, content = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in full)
-    return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, rows[22].astype(bool)
+    rows = np.frombuffer(body, np.uint8).reshape(24, -1)
+    full = [np.zeros((8, rows.shape[1]), np.uint8) for _ in range(4)]
+    for part, lo, hi in zip(full, (0, 6, 14, 22), (6, 14, 22, 24), strict=True):
+        part[: hi - lo] = rows[lo:hi]
+    tile, doc, content, flags = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in full)
+    return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, flags.view(np.int64)
 
 
-_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "short": "binary", "need": "long", "tile": "long", "leader": "long"}
+_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "short": "binary", "tile": "long", "leader": "long", "band": "long"}
 _ARROW = {c: pa.binary() if t == "binary" else pa.int64() for c, t in _PLAIN.items()}
 _PLAIN_SCHEMA = ", ".join(f"{c} {t}" for c, t in _PLAIN.items())
 
 
-def _dealt(docs: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
+def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: int) -> DataFrame:
     """Sketches of all rows, links to look at within a batch, and packed tiles by group.
 
     Of a batch's members of a tile, each distinct set keeps its smallest document; these are paired
-    with the smallest of all, the batch's leader, which alone goes on to the tile's group.
+    with the smallest of all, the batch's leader, which alone goes on to the tile's group. Sketches
+    and links need no grouping: they are dealt by row, whatever their content.
     """
+    packed_levels = zlib.compress(levels.tobytes())
 
     def plain(**columns: pa.Array) -> pa.RecordBatch:
         n = len(columns["doc_id"])
         rows = [columns[c] if c in columns else pa.nulls(n, t) for c, t in _ARROW.items()]
-        return pa.RecordBatch.from_arrays([columns["group"], pa.nulls(n, pa.binary()), *rows], names=["group", "body", *_PLAIN])
+        start = zlib.crc32(np.asarray(columns["doc_id"].fill_null(0)).tobytes())
+        group = mix(np.arange(start, start + n, dtype=np.uint64)) % U64(groups)
+        return pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.nulls(n, pa.binary()), *rows], names=["group", "body", *_PLAIN])
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        tile, doc, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        tile, doc, content, band = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, content, tile))
-        tile, doc, content = tile[order], doc[order], content[order]
-        own = np.append(True, (tile[1:] != tile[:-1]) | (content[1:] != content[:-1])) if len(tile) else np.zeros(0, bool)
-        tile, doc, content = tile[own], doc[own], content[own]
-        if not len(tile):
-            return
+        tile, doc, content, band = tile[order], doc[order], content[order], band[order]
+        own = np.append(True, (tile[1:] != tile[:-1]) | (content[1:] != content[:-1]))
+        tile, doc, content, band = tile[own], doc[own], content[own], band[own]
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
         leader = np.minimum.reduceat(doc, first)
         of = np.repeat(leader, size)
         rest = doc != of
         if rest.any():
-            group = pa.array((tile[rest] % U64(groups)).astype(np.int32))
-            yield plain(group=group, doc_id=pa.array(doc[rest]), tile=pa.array(as_long(tile[rest])), leader=pa.array(of[rest]))
+            yield plain(doc_id=pa.array(doc[rest]), tile=pa.array(as_long(tile[rest])), leader=pa.array(of[rest]), band=pa.array(band[rest]))
         lead = np.flatnonzero(~rest)
         lead = lead[np.append(True, tile[lead][1:] != tile[lead][:-1])]
-        tile, doc, content, several = tile[lead], doc[lead], content[lead], size > 1
+        tile, doc, content, flags = tile[lead], doc[lead], content[lead], band[lead] | ((size > 1) * MANY)
         group = (mix(tile) % U64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         filled, start = np.unique(group[order], return_index=True)
-        bodies = [_pack(tile[r], doc[r], content[r], several[r]) for r in np.split(order, start[1:])]
+        bodies = [_pack(tile[r], doc[r], content[r], flags[r]) for r in np.split(order, start[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(bodies, pa.binary()), *(pa.nulls(len(bodies), t) for t in _ARROW.values())], names=["group", "body", *_PLAIN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, parts, size = Bands(num, den), [], 0
+        levels = np.frombuffer(zlib.decompress(packed_levels), np.uint8)
+        parts, size = [], 0
         for ids, sets in _sets(batches, k):
             bits = [parity_bits(s) for s in sets]
             short = pa.array([folded(b, 8).tobytes() for b in bits], pa.binary())
             bits = pa.array([b.tobytes() for b in bits], pa.binary())
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
-            cut = [tiles_of(s, bands) for s in sets]
-            yield plain(group=pa.array((k1 % U64(groups)).astype(np.int32)), doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short, need=pa.array([n for _, n in cut], pa.int64()))
-            for doc, (tiles, _), content in zip(ids.to_pylist(), cut, k1, strict=True):
-                if doc is not None and len(tiles):
-                    tiles = tiles & U64((1 << 48) - 1)
-                    parts.append((tiles, np.full(len(tiles), doc, np.int64), np.full(len(tiles), content)))
-                    size += len(tiles)
+            yield plain(doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short)
+            for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
+                for band, tiles in tiles_of(s, bands, levels) if doc is not None else []:
+                    n = len(tiles)
+                    parts.append((tiles, np.full(n, doc, np.int64), np.full(n, content), np.full(n, band, np.int64)))
+                    size += n
             if size >= BATCH_TILES:
                 yield from flush(parts)
                 parts, size = [], 0
@@ -218,17 +260,16 @@ def _gathered(table: pa.Table) -> pa.Table:
     out = table.filter(pc.is_null(table.column("body"))).select(list(_PLAIN))
     bodies = [x for x in table.column("body").to_pylist() if x is not None]
     if bodies:
-        tile, doc, content, several = (np.concatenate(x) for x in zip(*map(_unpack, bodies), strict=True))
+        tile, doc, content, flags = (np.concatenate(x) for x in zip(*map(_unpack, bodies), strict=True))
         order = np.lexsort((doc, tile))
-        tile, doc, content, several = tile[order], doc[order], content[order], several[order]
+        tile, doc, content, flags = tile[order], doc[order], content[order], flags[order]
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
-        several = np.logical_or.reduceat(several, first) | (np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first))
+        several = np.logical_or.reduceat(flags >= MANY, first) | (np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first))
         leader = np.repeat(doc[first], size)
         rows = np.repeat(several, size) & (doc != leader)
-        n = int(rows.sum())
-        found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows])}
-        out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(n, t)) for c, t in _ARROW.items()})])
+        found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows]), "band": pa.array(flags[rows] % MANY)}
+        out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(int(rows.sum()), t)) for c, t in _ARROW.items()})])
     return out
 
 
@@ -259,14 +300,25 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "a_n_shingles", "b_n_shingles", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
 
 
+def _beside(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
+    """Pairs with the columns of ``table`` for one side; a document in many pairs is joined by parts."""
+    other = "b" if side == "a" else "a"
+    hot = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPLIT).alias("parts")).filter("parts > 1")
+    split = pairs.join(hot, side, "left").withColumn("split", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    table = _side(table, side).join(hot, side, "left")
+    table = table.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return split.join(table, [side, "split"]).drop("split")
+
+
 def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num: int, den: int, store: Workspace, name: str) -> DataFrame:
     """Of distinct pairs (a, b), those that link: bit counts first, then exact intersection."""
     bits = sketch.select("doc_id", "n_shingles", "bits")
-    near = _bounded(pairs.join(_side(bits, "a"), "a").join(_side(bits, "b"), "b"), num, den).distinct()
+    pairs = store.save(pairs, f"{name}-pairs")
+    near = _bounded(_beside(_beside(pairs, bits, "b"), bits, "a"), num, den).distinct()
     near = store.save(near, f"{name}-near")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     arrays = store.save(shingle_arrays(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), f"{name}-arrays")
-    full = near.join(_side(arrays, "a"), "a").join(_side(arrays, "b"), "b").select("a", "b", "a_elements", "b_elements")
+    full = _beside(_beside(near, arrays, "b"), arrays, "a").select("a", "b", "a_elements", "b_elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,6 +330,7 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = store.save(full.mapInArrow(run, "a long, b long"), f"{name}-links")
+    store.drop(f"{name}-pairs")
     store.drop(f"{name}-near")
     store.drop(f"{name}-arrays")
     return links
@@ -293,11 +346,11 @@ def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataF
     size = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     units = members.join(size, "tile").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "leader", "component", "n_shingles", "bits")
+    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "bits")
     units = units.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, part, own, leader = (t.column(c).to_numpy() for c in ("doc_id", "component", "own", "leader"))
+        ids, part, own = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
         n = t.column("n_shingles").to_numpy()
         bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
         words = min(map(len, bits))
@@ -307,7 +360,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataF
         a, b = [], []
         for x in left:
             ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
-            ys = ys[(part[ys] != part[x]) & (leader[ys] != ids[x]) & (ids[ys] != leader[x])]
+            ys = ys[part[ys] != part[x]]
             total = n[ys] + n[x]
             differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
             fits = (total - differ) * (den + num) >= total * (2 * num)
@@ -340,60 +393,47 @@ def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataF
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module's docstring."""
     store = store or Workspace(docs.sparkSession)
+    bands = Bands(num, den)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, size * (den - num) // (2 * (den + num) * GROUP_TILES) + 1)
-    whole = _dealt(docs, k, num, den, groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
+    whole = _dealt(docs, k, bands, commonness(docs, k), groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
     whole = store.save(whole, "sketch")
     store.release()
-    every = whole.filter("tile is null").drop("tile", "leader")
+    every = whole.filter("tile is null").drop("tile", "leader", "band")
     sketch = every.filter("doc_id is not null and n_shingles > 0")
-    members = whole.filter("tile is not null").select("tile", "doc_id", "leader")
-    need = sketch.groupBy("doc_id").agg(F.min("need").alias("need"))
+    members = whole.filter("tile is not null").select("tile", "doc_id", "leader", "band")
+    need = F.element_at(F.array(*map(F.lit, bands.shared)), F.col("band").cast("int") + 1)
     reps = store.save(sketch.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     copies = sketch.join(reps, ["n_shingles", "k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    store.release()
-    pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
-    pairs = pairs.join(need.withColumnRenamed("doc_id", "b"), "b").filter("n >= need").select("a", "b")
+    pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
+    pairs = pairs.filter(F.col("n") >= need).select("a", "b").distinct()
     first = verified(pairs, sketch, docs, k, num, den, store, "star")
     parts = components(first.unionByName(copies), store, "parts")
 
-    heads = members.select("tile", F.col("leader").alias("doc_id")).distinct().withColumn("leader", F.lit(-1).cast("long"))
-    # A set that shares too few tiles with all others together is linked with none of them.
-    shared = members.select("tile", "doc_id", "leader").unionByName(heads.select("tile", "doc_id", "leader"))
-    able = shared.groupBy("doc_id").agg(F.count_distinct("tile").alias("n")).join(need, "doc_id").filter("n >= need").select("doc_id")
-    whole_tiles = store.save(shared.join(able, "doc_id", "left_semi"), "shared")
-    last = False
-    for turn in range(NEAREST + 1):
-        last = last or turn == NEAREST
-        placed = whole_tiles.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        placed = placed.select("tile", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-        # tiles with the same members and leaders ask the same question: one of them stays; sums of
-        # 36 bits, as a row that leads its batch or repeats would cancel in an exclusive or
-        same = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", "leader", F.lit(i)), 28)).alias(f"s{i}") for i in (1, 2)]
-        led = [F.min("doc_id").alias("first"), F.max(F.when(F.col("leader") >= 0, F.col("leader"))).alias("led")]
-        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *led, *same)
-        # two rows are settled only where one leads the other: their common leader may have been left out
-        mixed = mixed.filter("lo <> hi and (n > 2 or led is null or led <> first)").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
-        bits = F.col("bits" if last else "short").alias("bits")  # nearest others are found by 512 bits at most
-        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", bits), "doc_id")
-        cross = store.save(_cross_pairs(store.save(rest, "rest"), num, den, not last), "cross")
-        if not cross.limit(1).count():
-            break
-        store.release()
-        found = verified(cross, sketch, docs, k, num, den, store, f"cross-{turn}")
-        if not found.limit(1).count():
-            if last:
-                break
-            last = True
-            continue
+    heads = members.select("tile", F.col("leader").alias("doc_id"), "band").distinct()
+    shared = members.select("tile", "doc_id", "band").unionByName(heads)
+    # a set that shares too few tiles with all others together is linked with none of them
+    able = shared.groupBy("doc_id", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("doc_id", "band")
+    shared = store.save(shared.join(able, ["doc_id", "band"], "left_semi").select("tile", "doc_id"), "shared")
+    for turn in ("nearest", "all"):
+        placed = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = placed.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        # tiles with the same members ask the same question: one of them stays
+        same = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(i)), 28)).alias(f"s{i}") for i in (1, 2)]
+        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
+        mixed = mixed.filter("lo <> hi").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
+        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
+        cross = _cross_pairs(store.save(rest, "rest"), num, den, turn == "nearest")
+        found = verified(cross, sketch, docs, k, num, den, store, turn)
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = components(links.unionByName(found), store, f"parts-{turn}")
+        store.release()
     final = parts.withColumnRenamed("node", "doc_id")
 
     out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for name in ("sketch", "reps", "shared", "rest", "cross"):
+    for name in ("sketch", "reps", "shared", "rest"):
         store.drop(name)
     store.release()
     return out

@@ -212,21 +212,35 @@ def test_jaccard_join_of_tiles_with_like_members(spark):
     assert wrong_corpora(spark, corpora, 3) == []
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 10**6))
-def test_linked_sets_share_a_tile(n, d, seed):
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([(8, 10), (9, 10), (1, 2)]), st.integers(1, 400), st.integers(0, 40), st.integers(0, 10**6))
+def test_linked_sets_share_tiles(threshold, n, d, seed):
+    num, den = threshold
     rng = np.random.default_rng(seed)
+    levels = rng.integers(0, 3, 1 << ngram_join.BUCKET_BITS).astype(np.uint8)
     x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
     gone = min(d // 2, len(x) - 1)
     y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, d - d // 2).astype(np.uint64)]))
     both = len(np.intersect1d(x, y))
-    bands = ngram_join.Bands(8, 10)
-    if 10 * both >= 8 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-        assert len(np.intersect1d(ngram_join.tiles_of(x, bands)[0], ngram_join.tiles_of(y, bands)[0])) >= max(ngram_join.tiles_of(v, bands)[1] for v in (x, y))
+    bands = ngram_join.Bands(num, den)
+    if den * both >= num * (len(x) + len(y) - both) and not np.array_equal(x, y):
+        a, b = (dict(ngram_join.tiles_of(v, bands, levels)) for v in (x, y))
+        assert any(len(np.intersect1d(a[j], b[j])) >= bands.shared[j] for j in a.keys() & b.keys())
     apart = ngram_join.apart(ngram_join.parity_bits(x), ngram_join.parity_bits(y))
     assert apart <= len(x) + len(y) - 2 * both
 
 
+def test_jaccard_join_of_empty_and_equal_thirds(spark):
+    """A third of all rows empty, a third equal: none of them weighs on one group of sketches."""
+    texts = [""] * 300 + ["one text that very many documents hold word for word"] * 300
+    texts += [f"d{i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(20)) for i in range(300)]
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(5)).collect()}
+    assert out == {i: i if i < 300 else 300 if i < 600 else i - i % 2 for i in range(900)}
+    bands, levels = ngram_join.Bands(8, 10), np.zeros(1 << ngram_join.BUCKET_BITS, np.uint8)
+    rows = ngram_join._dealt(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(5), 5, bands, levels, 16).filter("body is null and tile is null")
+    assert max(r["count"] for r in rows.groupBy("group").count().collect()) < 3 * 900 / 16
+
+
 # 3 Line dedup ---------------------------------------------------------------------------------------
 
 
