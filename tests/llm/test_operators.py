@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -354,37 +354,74 @@ def check_packing(rows, pieces, size=packing.SIZE):
     return len(whole)
 
 
-def test_packing(spark, docs):
+@pytest.fixture(scope="module")
+def plain_ids():
+    """The contract's call: an unaltered Tokenizer."""
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
+
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    slow = tokens.Encoder(path)
-    want = set()
-    for d, t in texts_of(docs):
-        ids = np.append(slow.ids(t), 0).astype("<u4")
+def wanted_pieces(pairs, plain_ids):
+    want = collections.Counter()
+    for d, t in pairs:
+        ids = np.append(plain_ids(t or ""), 0).astype("<u4")
         first = len(ids) % 2048 or 2048
         cuts = [0, *range(first, len(ids) + 1, 2048)]
-        want |= {(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))}
+        want.update((d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts)))
+    return want
+
+
+def test_packing(spark, docs, plain_ids):
+    want = wanted_pieces(texts_of(docs), plain_ids)
     rows = packing.pack(packing.pieces(docs)).collect()
-    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
-    n = check_packing(rows, len(want))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    n = check_packing(rows, want.total())
     assert n <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
     with_ids = packing.pack(packing.pieces(docs, with_ids=True)).filter("doc_id = 0").first()
     assert zlib.crc32(np.array(with_ids["ids"], "<u4").tobytes()) == with_ids["ids_crc32"]
 
 
-def test_both_tokenizers_agree():
-    import public_tokenizers
+def test_packing_of_odd_rows_and_hot_lengths(spark, odd, plain_ids, monkeypatch):
+    """Special strings, nulls, repeated rows, one length in most rows; chunks and salts of a few rows."""
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a|b <|endoftext |>"] + ["same"] * 300 + [f"w {i}" for i in range(100)]
+    df = odd.unionByName(spark.createDataFrame(rows_of(texts, range(100, 100 + len(texts))), SCHEMA))
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    monkeypatch.setattr(packing, "A_SALT", 5)
+    cut = packing.pieces(df)
+    rows = packing.pack(cut.withColumn("base", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("offset", F.lit(-1))).collect()
+    want = wanted_pieces([(r["doc_id"], r["text"]) for r in df.collect()], plain_ids)
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    check_packing(rows, want.total())
+    assert all(r["base"] == 1 and r["rank"] == "x" for r in rows)
+
 
-    fast, slow = tokens.Encoder(), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+def test_ids_are_the_plain_tokenizers(plain_ids):
+    fast = tokens.Encoder()
     rng = random.Random(1)
-    hard = ["", " ", "\n\n  \t x", "it's we'LL <|endoftext|>", "a" * 5000, "é漢字\U0001f600" * 50, "\u0085  ᠎​1٣²Ⅷ", "12345  67", "\x00\x1c\x1f", "﻿́á"]
+    hard = ["", " ", "\n\n  \t x", "it's we'LL <|endoftext|>", "end<|endoftext|>.", "<|endoftext|", "a" * 5000, "é漢字\U0001f600" * 50, "\u0085  ᠎​1٣²Ⅷ", "12345  67", "\x00\x1c\x1f", "﻿́á"]
     hard += ["".join(chr(rng.choice([rng.randint(0, 0x250), rng.randint(0, 0xD7FF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(60)) for _ in range(300)]
     for t in hard:
-        assert fast.ids(t).tolist() == slow.ids(t).tolist(), repr(t)
+        assert fast.ids(t).tolist() == plain_ids(t), repr(t)
+    assert fast.ids("end <|endoftext|> of").tolist() == [437, 220, 50256, 286]
+
+
+def least_sequences(histogram, size):
+    """A lower bound: for each k, pieces over size - k need a sequence each, and what others of at least k do not fit beside them needs more."""
+    best = 0
+    for k in range(size // 2 + 1):
+        large = {x: n for x, n in histogram.items() if x > size - k}
+        middle = {x: n for x, n in histogram.items() if size // 2 < x <= size - k}
+        small = sum(x * n for x, n in histogram.items() if k <= x <= size // 2)
+        room = sum((size - x) * n for x, n in middle.items())
+        best = max(best, sum(large.values()) + sum(middle.values()) + max(0, -(-(small - room) // size)))
+    return best
 
 
 @settings(max_examples=60, deadline=None)
+@example({1: 1, 2: 1, 33: 21})
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1, max_size=20))
 def test_plan_places_every_piece_once(histogram):
     seen, room = set(), collections.Counter()
@@ -396,7 +433,7 @@ def test_plan_places_every_piece_once(histogram):
             room[sequence + k] += length
             assert room[sequence + k] <= 64
     assert len(seen) == sum(histogram.values())
-    assert len(room) <= 11 / 9 * -(-sum(k * v for k, v in histogram.items()) // 64) + 7
+    assert len(room) <= 11 / 9 * least_sequences(histogram, 64) + 1  # best-fit decreasing's guarantee, 6/9 rounded up
 
 
 # 7 Token counts -------------------------------------------------------------------------------------
