@@ -26,9 +26,10 @@ tile's group pairs these leaders with the smallest of all: the pairs are few, an
 tile that a third of all documents share costs its group one row a batch. Most tiles,
 even hot ones, become one component this way. In tiles that still hold several
 components, members are compared by 512-bit maps in blocks of bounded size, pairs
-of one component being skipped. First each member offers only its nearest other, which
-joins what edits had parted; then all pairs of components that remain and are within
-the bound are asked. Components therefore equal those of the full join, while pairs
+of one component being skipped. A block gives all its pairs of components within the bound;
+where that is more than 32 a member, each member gives only its nearest other,
+which joins what edits had parted, and the tile is asked once more for all
+pairs that then remain. Components therefore equal those of the full join, while pairs
 inside a group are never expanded. A document in very many pairs is joined by parts.
 
 Cases: null or empty text, or text without words: an empty set, linked with
@@ -56,7 +57,7 @@ from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
 BLOCK, BATCH_TILES, GROUP_TILES = 4096, 1_000_000, 300_000
-BUCKET_BITS, SLICES, SPLIT, MANY = 20, 16, 4096, 1 << 15
+BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS = 20, 16, 4096, 1 << 15, 32
 
 
 class Bands:
@@ -336,10 +337,11 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num:
     return links
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFrame:
     """Pairs of different components within the blocks of a tile, by bit counts.
 
-    With ``nearest`` each member gives only its pair with the fewest differing bits.
+    A block of more than MANY_PAIRS a member gives, unless ``last``, only each member's pair with
+    the fewest differing bits, and a row (tile, null) for what it holds back.
     A tile of more than BLOCK members is cut into blocks by a hash; each pair of
     blocks is one unit of work, so memory stays bounded however hot the tile.
     """
@@ -349,7 +351,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataF
     units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "bits")
     units = units.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, part, own = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
         n = t.column("n_shingles").to_numpy()
         bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
@@ -357,21 +359,29 @@ def _cross_pairs(members: DataFrame, num: int, den: int, nearest: bool) -> DataF
         bits = np.stack([folded(b, words) for b in bits])
         diagonal = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         left = np.arange(len(ids)) if diagonal else np.flatnonzero(own == t.column("i")[0].as_py())
-        a, b = [], []
+        a, b, near, held = [], [], [], 0
         for x in left:
             ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
             ys = ys[part[ys] != part[x]]
             total = n[ys] + n[x]
             differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
             fits = (total - differ) * (den + num) >= total * (2 * num)
-            ys = ys[fits][np.argsort(differ[fits], kind="stable")[:1]] if nearest else ys[fits]
-            a.append(np.minimum(ids[x], ids[ys]))
-            b.append(np.maximum(ids[x], ids[ys]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+            ys, differ = ys[fits], differ[fits]
+            near += [(ids[x], ids[ys[differ.argmin()]])] if len(ys) else []
+            held += len(ys)
+            if last or held <= MANY_PAIRS * len(ids):
+                a.append(np.minimum(ids[x], ids[ys]))
+                b.append(np.maximum(ids[x], ids[ys]))
+        if not last and held > MANY_PAIRS * len(ids):
+            a, b = np.sort(np.array(near, np.int64), 1).T
+            return np.append(a, t.column("tile")[0].as_py()), np.append(b, -1), np.append(np.ones(len(a), bool), False)
+        a, b = (np.concatenate(x) if x else ids[:0] for x in (a, b))
+        return a, b, np.ones(len(a), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(t)], names=["a", "b"])
+            a, b, given = compare(t)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=~given)], names=["a", "b"])
 
         rest = None
         for batch in batches:
@@ -416,7 +426,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     # a set that shares too few tiles with all others together is linked with none of them
     able = shared.groupBy("doc_id", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("doc_id", "band")
     shared = store.save(shared.join(able, ["doc_id", "band"], "left_semi").select("tile", "doc_id"), "shared")
-    for turn in ("nearest", "all"):
+    for turn in ("cross", "held"):
         placed = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         # tiles with the same members ask the same question: one of them stays
@@ -424,16 +434,22 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
         mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
         mixed = mixed.filter("lo <> hi").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
         rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
-        cross = _cross_pairs(store.save(rest, "rest"), num, den, turn == "nearest")
-        found = verified(cross, sketch, docs, k, num, den, store, turn)
+        cross = store.save(_cross_pairs(store.save(rest, f"{turn}-rest"), num, den, turn == "held"), f"{turn}-all")
+        found = verified(cross.filter("b is not null"), sketch, docs, k, num, den, store, turn)
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = components(links.unionByName(found), store, f"parts-{turn}")
+        held = store.save(cross.filter("b is null").select(F.col("a").alias("tile")), f"{turn}-tiles")
+        store.drop(f"{turn}-rest")
+        store.drop(f"{turn}-all")
         store.release()
+        if not held.limit(1).count():
+            break
+        shared = shared.join(held, "tile", "left_semi")
     final = parts.withColumnRenamed("node", "doc_id")
 
     out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for name in ("sketch", "reps", "shared", "rest"):
+    for name in ("sketch", "reps", "shared", "cross-tiles", "held-tiles"):
         store.drop(name)
     store.release()
     return out

@@ -12,55 +12,64 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.types import FloatType
 
 from .tiles import tiled
 
+WEST, EAST, NORTH, SOUTH = (0, -1), (0, 1), (-1, 0), (1, 0)  # steps in z, x
+
 
 def critical_slope(angle_deg: float = 38.0) -> float:
     return math.tan(math.radians(angle_deg))
 
 
-def listing_step(h: np.ndarray, crit: float, rate: float) -> np.ndarray:
-    """One iteration as fluxes over cell edges: what leaves a cell less what its neighbour before it sent."""
-    change = np.zeros_like(h)
-    for axis in (1, 0):
-        flux = np.maximum(0.0, np.diff(h, axis=axis) - crit) * rate
-        edge = [(0, 0), (0, 0)]
-        edge[axis] = (0, 1)
-        change = change + np.pad(flux, edge)
-        edge[axis] = (1, 0)
-        change = change - np.pad(flux, edge)
-    return h - change
+def neighbour(a: np.ndarray, step: tuple[int, int], beyond: float) -> np.ndarray:
+    """Each cell's value one step away, ``beyond`` outside the array."""
+    wide = np.pad(a, 1, constant_values=beyond)
+    z, x = 1 + step[0], 1 + step[1]
+    return wide[z : z + a.shape[0], x : x + a.shape[1]]
+
+
+def excess(difference: np.ndarray, crit: float) -> np.ndarray:
+    return np.maximum(difference.dtype.type(0), difference - difference.dtype.type(crit))
 
 
-_STEPS = ((0, -1), (0, 1), (-1, 0), (1, 0))  # west, east, north, south
+def net_loss(gifts: list[tuple[tuple[int, int], np.ndarray]]) -> np.ndarray:
+    """What every cell gives along each step, less what the cell behind it gives along the same."""
+    lost = np.zeros_like(gifts[0][1])
+    for (z, x), amount in gifts:
+        lost = lost + amount - neighbour(amount, (-z, -x), 0.0)
+    return lost
+
+
+def listing_step(h: np.ndarray, crit: float, rate: float) -> np.ndarray:
+    """One iteration: a cell gives ``rate`` of the rise ahead beyond the critical one, east and south."""
+    gifts = [(step, excess(neighbour(h, step, -np.inf) - h, crit) * h.dtype.type(rate)) for step in (EAST, SOUTH)]
+    return h - net_loss(gifts)
 
 
 def physical_step(h: np.ndarray, crit: float, spacing: float) -> np.ndarray:
     """One iteration: half the excess goes to the lowest neighbour, ties in the order west, east, north, south."""
-    wide = np.pad(h, 1, constant_values=np.inf)
-    near = np.stack([wide[1 + a : 1 + a + h.shape[0], 1 + b : 1 + b + h.shape[1]] for a, b in _STEPS])
+    steps = (WEST, EAST, NORTH, SOUTH)
+    near = np.stack([neighbour(h, step, np.inf) for step in steps])
+    give = excess((h - near.min(0)) / h.dtype.type(spacing), crit) * h.dtype.type(0.5 * spacing)
     to = near.argmin(0)
-    least = near.min(0)
-    slope = np.where(np.isfinite(least), (h - np.where(np.isfinite(least), least, h)) / spacing, 0.0)
-    give = 0.5 * np.maximum(0.0, slope - crit) * spacing
-    gets = np.zeros_like(h)
-    for k, (a, b) in enumerate(_STEPS):
-        part = np.pad(np.where(to == k, give, 0.0), 1)
-        gets += part[1 - a : 1 - a + h.shape[0], 1 - b : 1 - b + h.shape[1]]
-    return h - give + gets
+    return h - net_loss([(step, np.where(to == k, give, h.dtype.type(0))) for k, step in enumerate(steps)])
 
 
 def weather(grid: DataFrame, mode: str = "physical", critical_angle_deg: float = 38.0, iterations: int = 15, talus_transfer_rate: float = 0.35, spacing: float = 1.0, tile: int = 256) -> DataFrame:
-    """(z, x, h) after ``iterations``; the halo holds all that they can reach."""
+    """(z, x, h) after ``iterations``; the halo holds all that they can reach. Single precision stays single."""
     if mode not in ("listing", "physical"):
         raise ValueError(f"unknown mode {mode}")
     crit = critical_slope(critical_angle_deg)
 
+    single = isinstance(grid.schema["h"].dataType, FloatType)
+
     def kernel(h: np.ndarray, own: np.ndarray, z0: int, x0: int) -> dict[str, np.ndarray]:
+        h = h.astype(np.float32 if single else np.float64)
         for _ in range(iterations):
             h = listing_step(h, crit, talus_transfer_rate) if mode == "listing" else physical_step(h, crit, spacing)
         return {"h": h}
 
     reach = iterations * (1 if mode == "listing" else 2)
-    return tiled(grid.select("z", "x", "h"), kernel, ["h"], "z int, x int, h double", tile, reach)
+    return tiled(grid.select("z", "x", "h"), kernel, ["h"], f"z int, x int, h {'float' if single else 'double'}", tile, reach)
