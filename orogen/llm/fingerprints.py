@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches, DataFrame functions only.
 
-A text's paragraphs are its lines; lines of more than ``LONG`` characters are cut
-after sentence ends, so that one-line texts have parts too. Each distinct paragraph's
+A text's paragraphs are the sentences of its lines. A sentence of more than four times ``LONG``
+characters is cut after words that end in k, w or y, and what is still longer than ``LONG``
+into blocks of that many from its start: all cuts depend on the sentence's own characters
+only, and one-line texts and texts without punctuation have parts too. Each distinct paragraph's
 64-bit digest goes to one cell in each of three groups of eight cells; a
 cell has a count, the xor of its digests and the xor of their check hashes.
 
@@ -21,7 +23,8 @@ thousand rows; each range's first row is also dealt to the range before it, and
 window over the range reads the following row. No window spans the table.
 
 Cases: null text counts as empty. Repeated doc_ids are ordered by a hash of their text; rows
-with a null doc_id come last. A single row is its own next document. Extra columns are ignored.
+with a null doc_id come last. A single row is its own next document. Extra columns are ignored. Texts of any
+length are taken whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kit import Workspace
-
-LONG, GROUPS, WIDTH, ROUNDS = 600, 3, 8, 12
+LONG, GROUPS, WIDTH, ROUNDS = 100, 3, 8, 12
+ENDS, WORDS = r"(?<=[.!?]) |(?<=[\u3002\uff01\uff1f])|\n", r"(?<=[kwy]) "
 LOAD, RETRIES = 8, 3
 
 
@@ -45,9 +47,14 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's non-empty paragraphs."""
-    lines = F.split(text, "\n", -1)
-    cut = F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?]) ", -1)).otherwise(F.array(x)))
-    return F.array_distinct(F.transform(F.filter(F.flatten(cut), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    def finer(parts: Column, most: int, cut: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > most, cut(x)).otherwise(F.array(x))))
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(LONG)), lambda at: F.substring(x, at + 1, F.lit(LONG)))
+
+    cut = finer(finer(F.split(text, ENDS, -1), 4 * LONG, lambda x: F.split(x, WORDS, -1)), LONG, blocks)
+    return F.array_distinct(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
 def place(digest: Column, group: int) -> Column:
@@ -217,21 +224,20 @@ def with_next(docs: DataFrame, payload: list[str], rows_a_range: int = 2000, mos
     return dealt.withColumn("next", F.lead(F.struct(*payload)).over(window)).filter(~F.col("at.guest")).select(*docs.columns, "next")
 
 
-def fingerprints(docs: DataFrame, store: Workspace | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of every row.
 
     The edited text keeps the first half (rounded up) and continues with the start of
     the next document, as many characters as were cut or all it has.
     """
-    store = store or Workspace(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("digests", paragraph_digests(F.col("text"))), ["text", "digests"])
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.xxhash64("text").alias("whole"), "digests", F.col("next.digests").alias("next_digests"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "whole", "digests", "next_digests", F.xxhash64("edited").alias("edited_whole"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("edited")).alias("edited_digests"))
-    rows = store.save(rows, "digests")
+    rows = _fixed(rows).select("doc_id", "n_chars", "whole", "digests", "next_digests", F.xxhash64("edited").alias("edited_whole"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("edited")).alias("edited_digests"))
+    rows = _fixed(rows)
     sides = {"": "digests", "edited_": "edited_digests", "next_": "next_digests"}
     rows = _fixed(rows, **{f"{k}cells": sketch(F.col(v)) for k, v in sides.items()})
     rows = with_likeness(rows, {f"near_{k}": ("digests", "cells", f"{k}_digests", f"{k}_cells") for k in ("edited", "next")})

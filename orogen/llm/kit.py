@@ -3,8 +3,13 @@
 Workspace
     Operators cut lineage by writing a table and reading it back. The tables
     live under ``spark.checkpoint.dir`` (read from the session), so a lost
-    executor never takes an intermediate result with it. A private temporary
-    folder is used only where that setting is absent, as in tests.
+    executor never takes an intermediate result with it. Without that setting a
+    workspace opens in local mode only, in a temporary folder; a cluster has no folder
+    that all executors share, and it refuses.
+
+Manifest
+    A small written table that names the parts of a store. Each version is written whole
+    before it counts, so a reader sees the last complete one after a broken-off write.
 
 Text views
     ``TextView`` exposes the UTF-8 bytes of a slice of an Arrow string column
@@ -23,7 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,23 +42,20 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python by the thousand rows, unless the session asks for other batches.
+class Workspace:
+    """A folder of intermediate tables shared by the driver and all executors.
 
-    Arrow batches are counted in rows; at the default of 10,000 long texts would fill a worker.
+    ``root`` reopens the folder of an earlier workspace.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
 
-class Workspace:
-    """A folder of intermediate tables shared by the driver and all executors."""
-
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        small_batches(spark)
-        top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-        self.root = f"{top.rstrip('/')}/ws-{uuid.uuid4().hex}"
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not (root or top):
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            top = f"file://{tempfile.gettempdir()}/checkpoints"
+        self.root = root or f"{top.rstrip('/')}/ws-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -77,6 +81,33 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Manifest:
+    """The latest complete list of (kind, name) of a store, kept in versions under ``name``."""
+
+    SCHEMA = "kind string, name string, version long"
+
+    def __init__(self, store: Workspace, name: str):
+        self.store, self.name, self.version = store, f"{name}-manifest", -1
+        self.rows: list[tuple[str, str]] = []
+        try:
+            found = store.spark.read.schema(self.SCHEMA).parquet(store.path(self.name))
+            self.version = found.agg(F.max("version")).first()[0]
+        except AnalysisException:  # no store yet
+            return
+        if self.version is None:  # only a first write that broke off
+            self.version = -1
+        self.rows = [(r["kind"], r["name"]) for r in found.filter(F.col("version") == self.version).collect() if r["name"]]
+
+    def names(self, kind: str) -> list[str]:
+        return [n for k, n in self.rows if k == kind]
+
+    def save(self, rows: list[tuple[str, str]]) -> None:
+        """Replace the list; a few rows, so one task writes one file."""
+        self.version, self.rows = self.version + 1, list(rows)
+        frame = self.store.spark.createDataFrame([*rows, ("", "")], "kind string, name string").coalesce(1)
+        frame.write.mode("overwrite").parquet(f"{self.store.path(self.name)}/version={self.version}")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply) over a uint64 array."""
     x = x ^ (x >> U64(31))

@@ -4,30 +4,35 @@ A line's key is the line without white space at its ends and with A-Z in lower
 case. A key found in at least ``least`` documents is frequent, and all its lines
 go, in every document.
 
-Documents arrive in batches. ``LineRuns.add`` counts a batch's keys, merge-
-anti-joins them with the run of keys already known to be frequent, and writes
-the rest as a new sorted run. When a level holds ``fanout`` runs, they are merged
-into one run of the next level; keys that reach the threshold move to the
-frequent run, so they are never counted or carried again. The state is the set
-of written runs: a store can go on adding batches later.
-
-Only digests (two 64-bit hashes) and counts are shuffled, after a partial sum,
-so a line that a third of all documents share costs one row a task. Texts move
-once, to meet their own document's frequent digests.
+Documents arrive in batches. The state is a set of written runs, each a table of keys and
+counts bucketed and sorted by key, and a manifest that names them; a store is opened by its
+folder and goes on where it stopped, and an ``add`` that broke off left no trace.
+``LineRuns.add`` counts a batch's keys and merge-joins them with the runs on their order: keys
+of the frequent runs are anti-joined away, counts of the other runs are added, keys that reach
+the threshold become a frequent run, and the rest is the batch's own new run. When a level
+holds ``fanout`` runs, they are compacted into one of the next level, without the keys that
+have become frequent since.
+
+Only digests (two hashes of 64 bits over different bytes) and counts are shuffled, after a
+partial sum, so a line that a third of all documents share costs one row a task. Texts move
+once, to meet their own document's frequent digests; those are found by a join that
+Spark may broadcast if the frequent run is small enough, and deals by key otherwise.
 
 Cases: null or empty text is one empty line; empty lines are never dropped.
 Repeated rows are counted as documents of their own. Null doc_ids are
-kept. Extra columns, of any name, stay inside the ``doc`` struct.
+kept. Extra columns, of any name, stay inside the ``doc`` struct. Texts of any length are split
+whole. An empty table gives an empty one. Nothing is ordered, so there are no ties.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Workspace
+from .kit import Manifest, Workspace
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,7 +46,7 @@ def line_key(line: Column) -> Column:
 
 
 def digest(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.concat(F.lit("2"), key)).alias("h2"))
 
 
 def lines_of(text: Column) -> Column:
@@ -54,75 +59,88 @@ def distinct_digests(text: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of (h1, h2, n) by level, and the run of frequent keys (h1, h2)."""
-
-    def __init__(self, spark: SparkSession, store: Workspace, least: int = 10, fanout: int = 3):
-        self.store, self.least, self.fanout = store, least, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.names: list[list[str]] = [[]]
-        self.frequent: DataFrame = spark.createDataFrame([], "h1 long, h2 long")
-        self.known = False
-        self.made = 0
-        self.written: list[str] = []
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        name, self.made = f"run-{level}-{self.made}", self.made + 1
-        self.written.append(name)
-        while len(self.levels) <= level:
-            self.levels.append([])
-            self.names.append([])
-        self.levels[level].append(self.store.save(run.sortWithinPartitions(*KEY), name))
-        self.names[level].append(name)
+    """Runs of (h1, h2, n) by level, and runs of frequent keys, in a folder that outlives the session."""
+
+    SCHEMA = "h1 long, h2 long, n long"
+
+    def __init__(self, spark: SparkSession, store: Workspace, least: int = 10, fanout: int = 3, buckets: int = 16):
+        self.spark, self.store, self.least, self.fanout, self.buckets = spark, store, least, fanout, buckets
+        self.manifest = Manifest(store, "runs")
+        self.made: list[str] = []
+
+    def _table(self, name: str) -> str:
+        return f"run_{zlib.crc32(self.store.root.encode()):08x}_{name.replace('-', '_')}"
+
+    def _write(self, run: DataFrame, name: str) -> DataFrame:
+        table = self._table(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        dealt = run.select(*KEY, "n").repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
+        dealt.write.mode("overwrite").bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", self.store.path(name)).saveAsTable(table)
+        self.made.append(name)
+        return self.spark.table(table)
+
+    def _run(self, name: str) -> DataFrame:
+        """The run of that name; a reopened store's files are declared to the session again."""
+        path = self.store.path(name)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name)} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(self._table(name))
 
     def add(self, digests: DataFrame) -> None:
         """One batch: a row (h1, h2) for each distinct key of each document."""
-        counted = digests.groupBy(*KEY).agg(F.count("*").alias("n"))
-        self._write(counted.join(self.frequent, KEY, "left_anti") if self.known else counted, 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            self._compact(range(level, level + 1), level + 1)
-            level += 1
-
-    def _compact(self, levels: range, into: int) -> None:
-        """Merge the runs of ``levels`` into one; keys at the threshold leave for the frequent run."""
-        runs = [r for k in levels for r in self.levels[k]]
-        gone = [x for k in levels for x in self.names[k]]
-        merged = reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n").alias("n"))
-        if self.known:  # a run may be older than what made its key frequent
-            merged = merged.join(self.frequent, KEY, "left_anti")
-        name, self.made = f"merged-{self.made}", self.made + 1
-        self.written.append(name)
-        merged = self.store.save(merged.withColumn("often", F.col("n") >= self.least).sortWithinPartitions(*KEY), name, by=["often"])
-        found = merged.filter("often").select(*KEY)
-        self.frequent, self.known = (self.frequent.unionByName(found) if self.known else found), True
-        for k in levels:
-            self.levels[k], self.names[k] = [], []
-        while len(self.levels) <= into:
-            self.levels.append([])
-            self.names.append([])
-        self.levels[into].append(merged.filter("not often").select(*KEY, "n"))
-        self.names[into].append("")
-        for x in gone:
-            if x:
-                self.store.drop(x)
+        v = self.manifest.version + 1
+        batch = self._write(digests.groupBy(*KEY).agg(F.count("*").alias("n")), f"batch-{v}")
+        for name in self.manifest.names("frequent"):
+            batch = batch.join(self._run(name).hint("merge"), KEY, "left_anti")
+        batch = batch.withColumn("total", F.col("n"))
+        for kind, name in self.manifest.rows:
+            if kind != "frequent":
+                run = self._run(name).withColumnRenamed("n", "before").hint("merge")
+                batch = batch.join(run, KEY, "left").select(*KEY, "n", (F.col("total") + F.coalesce("before", F.lit(0))).alias("total"))
+        batch = self.store.save(batch, f"met-{v}")
+        rows = list(self.manifest.rows)
+        for kind, test in (("frequent", F.col("total") >= self.least), ("0", F.col("total") < self.least)):
+            self._write(batch.filter(test), f"{kind}-{v}")
+            rows.append((kind, f"{kind}-{v}"))
+        rows, level = self._compacted(rows, "frequent", "frequent", v), 0
+        while sum(k == str(level) for k, _ in rows) >= self.fanout:
+            rows, level = self._compacted(rows, str(level), str(level + 1), v), level + 1
+        gone = {n for _, n in self.manifest.rows} - {n for _, n in rows}
+        self.manifest.save(rows)
+        self._drop([f"batch-{v}", *gone])
+        self.store.drop(f"met-{v}")
+
+    def _compacted(self, rows: list[tuple[str, str]], kind: str, into: str, v: int) -> list[tuple[str, str]]:
+        """The runs of a level merged into one of the next, if there are ``fanout``."""
+        names = [n for k, n in rows if k == kind]
+        if len(names) < self.fanout:
+            return rows
+        merged = reduce(DataFrame.unionByName, map(self._run, names)).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        if kind != "frequent":
+            for k, n in rows:
+                merged = merged.join(self._run(n).hint("merge"), KEY, "left_anti") if k == "frequent" else merged
+        self._write(merged, f"{into}-merged-{v}")
+        return [(k, n) for k, n in rows if n not in names] + [(into, f"{into}-merged-{v}")]
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+            self.store.drop(name)
 
     def close(self) -> None:
         """Remove the runs of a store that takes no more batches."""
-        for name in self.written:
-            self.store.drop(name)
+        self._drop(self.made)
 
     def frequent_keys(self) -> DataFrame:
         """Every key in at least ``least`` documents of all batches so far."""
-        if sum(map(len, self.levels)):
-            self._compact(range(len(self.levels)), len(self.levels) - 1)
-        return self.frequent
+        runs = [self._run(n).select(*KEY) for n in self.manifest.names("frequent")]
+        return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long")
 
 
 def drop_frequent_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3, store: Workspace | None = None) -> DataFrame:
     """(doc struct of all input columns, n_lines, n_dropped, kept text)."""
     spark = docs.sparkSession
     store = store or Workspace(spark)
-    row = [F.xxhash64("doc.doc_id", "doc.text").alias("r1"), F.xxhash64("doc.text", "doc.doc_id", F.lit(7)).alias("r2")]
+    row = [F.xxhash64("doc.doc_id", "doc.text").alias("r1"), F.xxhash64(F.concat(F.lit("2"), "doc.text"), "doc.doc_id").alias("r2")]
     rows = docs.select(F.struct("*").alias("doc")).select("doc", *row)
     keyed = rows.select("r1", "r2", distinct_digests(F.col("doc.text")).alias("keys"), F.pmod("r1", F.lit(batches)).cast("int").alias("batch"))
     keyed = store.save(keyed, "keyed", by=["batch"])

@@ -188,7 +188,7 @@ def quality_rules(docs: DataFrame, guard: int = 80, most_classes: float = 0.3, m
     return judged.select("doc", *BASE, "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~odd).alias("kept"))
 
 
-def oracle(guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0, least_mass: int = 20_000) -> str:
+def oracle(guard: int = 80, most_classes: float = 0.3, most_common: float = 0.22, slack: float = 1.0) -> str:
     """DuckDB SQL for the query's rows."""
     words = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
     share = lambda h: f"list_transform({h}, lambda x: x / greatest(list_sum({h}), 1))"
@@ -207,7 +207,7 @@ h AS (SELECT r, doc_id, k, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(lis
   list_transform(['[^a-z]', '[^A-Z]', '[^0-9]', '[^\x20\x09-\x0D]', '[^.,;:!?''"()\-]', '[^#*$%&|<>@^_~+=/\\\[\]{{}}`]', '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()\-#*$%&|<>@^_~+=/\\\[\]{{}}`]|[^\x00-\x7F]', '[\x00-\x7F]'], lambda x: length(regexp_replace(t, x, '', 'g'))) AS classes,
   list_transform({words}, lambda x: coalesce(list_extract(map_extract(hist, x), 1), 0)) AS listed FROM w LEFT JOIN o USING (r)),
 f AS (SELECT *, list_append(listed, n_words - list_sum(listed)) AS common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
-sound AS (SELECT k, classes, common FROM f WHERE NOT base_failed), mass AS (SELECT k FROM f WHERE NOT base_failed GROUP BY k HAVING sum(n_words) >= {least_mass}),
+sound AS (SELECT k, classes, common FROM f WHERE NOT base_failed), mass AS (SELECT k FROM f WHERE NOT base_failed GROUP BY k HAVING sum(n_words) > 0),
 own AS (SELECT * FROM {summed('classes')} x JOIN {summed('common')} y USING (k) JOIN mass USING (k)),
 every AS (SELECT x.v AS classes, y.v AS common FROM (SELECT list(v ORDER BY i) AS v FROM (SELECT i, sum(v) AS v FROM (SELECT unnest(classes) AS v, generate_subscripts(classes, 1) AS i FROM sound) GROUP BY i)) x,
   (SELECT list(v ORDER BY i) AS v FROM (SELECT i, sum(v) AS v FROM (SELECT unnest(common) AS v, generate_subscripts(common, 1) AS i FROM sound) GROUP BY i)) y),

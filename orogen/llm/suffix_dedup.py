@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .kit import U64, TextView, Workspace, mix, prefix_hashes, range_hashes, slices
 
-SPAN, GRAM = 50, 22
+SPAN, GRAM, SALTS = 50, 22, 64
 WIDTH = SPAN - GRAM + 1
 BATCH_BYTES, GROUP_RUNS, GROUP_BYTES, HOT = 16_000_000, 300_000, 200_000, 32_768
 _PLACE = (1 << 31) - 1
@@ -329,21 +329,38 @@ def _merge(shift: int, shards: int = 2):
 # The operator -------------------------------------------------------------------------------------
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with a key of their own: the doc_id, or with repeated doc_ids room for a number below it."""
+def _numbered(docs: DataFrame, store: Workspace) -> tuple[DataFrame, int]:
+    """Rows with a key of their own, and how many low bits tell rows of one doc_id apart.
+
+    The key is the doc_id where no id repeats. Otherwise the id, or its rank among all ids where
+    it is too large, is followed by a number within the id, as wide as the most repeated id needs.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not twice:
+    named = docs.filter("doc_id is not null")
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
+    found = named.groupBy("doc_id", salt.alias("salt")).agg(F.count("*").alias("n"))
+    found = found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n").alias("salted"))
+    most, salted, low, high = found.agg(F.max("n"), F.max("salted"), F.min("doc_id"), F.max("doc_id")).first()
+    if not most or most == 1:
         return docs.withColumn("key", F.col("doc_id")), 0
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
-    room = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.abs("doc_id") < (1 << 42), F.col("doc_id") * (1 << 20) + number).otherwise(F.raise_error(F.lit("repeated doc_ids must lie within 42 bits")))
-    return docs.withColumn("key", room.cast("long")), 20
+    shift = (salted * SALTS - 1).bit_length()
+    if max(abs(low), abs(high)) >> (62 - shift):
+        ids = store.save(named.select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
+        sizes = sorted((r["part"], r["n"]) for r in ids.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a range
+        base = docs.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "part int, base long")
+        rank = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1 + F.col("base")
+        docs = docs.join(ids.join(base, "part").select("doc_id", rank.alias("at")), "doc_id", "left")
+    else:
+        docs = docs.withColumn("at", F.col("doc_id"))
+    number = (F.row_number().over(Window.partitionBy("doc_id", salt).orderBy(F.xxhash64("text"))) - 1) * SALTS + salt
+    key = F.when(F.col("doc_id").isNotNull(), F.shiftleft(F.col("at"), shift) + number)
+    return docs.withColumn("key", key.cast("long")).drop("at"), shift
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = True, store: Workspace | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and ``kept``, the remaining bytes."""
     store = store or Workspace(docs.sparkSession)
-    docs, shift = _numbered(docs)
+    docs, shift = _numbered(docs, store)
     if shift:
         docs = store.save(docs, "numbered")
     keyed = docs.filter("key is not null").select("key", "text")

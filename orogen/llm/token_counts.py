@@ -2,16 +2,19 @@
 
 A batch is a table of signed rows (source, lang, tokenizer, docs, tokens): inserts are
 positive, deletes negative, and a revised count is a delete of the old and an insert of
-the new. ``commit`` sums a batch by key before writing it under its batch id. A batch
-that was committed already, or is part of the folded base, is ignored, so a
-retried job never counts twice; a write that broke off has no success mark and is written
-again. ``fold`` sums base and batches into a new base that lists the ids it holds.
+the new. ``commit`` sums a batch by key, writes it and then a new version of the store's
+manifest, which alone decides what counts. A batch that the manifest names, as open or as folded
+into the base, is ignored, so a retried job never counts twice; a write that broke off
+before the manifest counts for nothing and is written again. ``fold`` sums base and batches
+into a new base in the same way. A store is its folder: a later session opens it by
+path and goes on. One writer at a time.
 
 Totals are sums over small tables by key; keys whose documents are all gone disappear.
 Partial sums come before the shuffle, so a source with a third of all rows is harmless.
 
 Cases: null or empty text has no tokens but is a document. Null sources and languages are
-keys of their own. Repeated rows count each. Extra columns are ignored.
+keys of their own. Repeated rows count each, whatever their ids. Extra columns are ignored. Texts of
+any length are counted whole. An empty table has no totals. Sums know no ties.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import TextView, Workspace
+from .kit import Manifest, TextView, Workspace
 from .tokens import Encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -36,39 +39,35 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, store: Workspace, name: str = "rollup"):
         self.spark, self.store, self.name = spark, store, name
-        self.base: str | None = None
-        self.folded: set[str] = set()
-        self.batches: dict[str, str] = {}
+        self.manifest = Manifest(store, name)
 
-    def _done(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store.path(name)}/_SUCCESS")
-        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
+    def _path(self, batch_id: str) -> str:
+        return f"{self.name}/batch-{batch_id}"
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch once; false if it was there."""
-        name = f"{self.name}/batch-{batch_id}"
-        if batch_id in self.folded or self._done(name):
-            self.batches.setdefault(batch_id, name) if batch_id not in self.folded else None
+        if batch_id in self.manifest.names("batch") + self.manifest.names("folded"):
             return False
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        self.store.save(summed.filter("docs <> 0 or tokens <> 0"), name)
-        self.batches[batch_id] = name
+        self.store.save(summed.filter("docs <> 0 or tokens <> 0"), self._path(batch_id))
+        self.manifest.save([*self.manifest.rows, ("batch", batch_id)])
         return True
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_DELTA).parquet(self.store.path(name))
-
     def _sum(self) -> DataFrame:
-        parts = [self._read(n) for n in [*([self.base] if self.base else []), *self.batches.values()]]
+        names = [*self.manifest.names("base"), *map(self._path, self.manifest.names("batch"))]
+        parts = [self.spark.read.schema(_DELTA).parquet(self.store.path(n)) for n in names]
         parts = parts or [self.spark.createDataFrame([], _DELTA)]
         return reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def fold(self) -> None:
         """Sum everything into a new base; later retries of its batches stay ignored."""
-        self.folded |= set(self.batches)
-        name = f"{self.name}/base-{len(self.folded)}"
-        self.store.save(self._sum(), name)
-        self.base, self.batches = name, {}
+        spent = [*self.manifest.names("base"), *map(self._path, self.manifest.names("batch"))]
+        base = f"{self.name}/base-{self.manifest.version + 1}"
+        self.store.save(self._sum(), base)
+        folded = self.manifest.names("folded") + self.manifest.names("batch")
+        self.manifest.save([("base", base), *(("folded", x) for x in folded)])
+        for name in spent:
+            self.store.drop(name)
 
     def totals(self) -> DataFrame:
         return self._sum().filter("docs <> 0 or tokens <> 0").select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))

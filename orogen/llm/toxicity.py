@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, SPACE, U64, TextView, prefix_hashes, range_hashes, slices, small_batches
+from .kit import LOWER, SPACE, U64, TextView, prefix_hashes, range_hashes, slices
 
 BUCKETS, GRAMS = 1 << 17, (4, 5)
 
@@ -127,13 +127,23 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000) -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_bytes: int = 1 << 26) -> Model:
+    """Train on a bounded sample of labelled rows outside the held-out fold.
+
+    At most ``most_toxic`` and ``most_clean`` labelled documents, whole, in the order of a hash of their
+    ids, and no more of them than ``most_bytes`` bytes of text, whatever the ids or lengths.
+    """
     marked = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k, most in ((1, most_toxic), (0, most_clean))]
     chosen = parts[0].unionByName(parts[1])  # at most most_toxic + most_clean rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sizes = texts.drop("text").join(F.broadcast(chosen), "doc_id").distinct()
+    sizes = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "tie", "toxic").limit(most_toxic + most_clean).collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    taken = [tuple(r) for r, n in zip(sizes, total, strict=True) if n <= most_bytes]
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, tie long, size int, toxic int")
+    rows = texts.join(F.broadcast(taken), ["doc_id", "tie", "size"]).dropDuplicates(["doc_id", "tie", "toxic"]).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
     y = np.array([r["toxic"] for r in rows], np.float32)
     taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -144,7 +154,6 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row, over whole texts."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,6 +262,32 @@ def test_line_runs_do_not_depend_on_batches(spark, tiny, docs, batches, fanout):
     assert key(whole) == key(parts)
 
 
+def test_line_runs_go_on_after_reopening(spark):
+    """Batches added by one store object each; a broken-off add in between; merges on the runs' order."""
+    root = kit.Workspace(spark).root
+    batches = [[(k % 7 + 100 * (k % 3), 1) for k in range(s, 40 + s)] for s in range(6)]
+    counts = collections.Counter()
+    for i, batch in enumerate(batches):
+        runs = line_dedup.LineRuns(spark, kit.Workspace(spark, root), least=11, fanout=2, buckets=4)
+        if i == 3:
+            runs._write(spark.createDataFrame([(5, 5, 99)], line_dedup.LineRuns.SCHEMA), f"frequent-{runs.manifest.version + 1}")
+        runs = line_dedup.LineRuns(spark, kit.Workspace(spark, root), least=11, fanout=2, buckets=4)
+        runs.add(spark.createDataFrame(batch, "h1 long, h2 long"))
+        counts.update(batch)
+        want = {k for k, n in counts.items() if n >= 11}
+        assert {tuple(r) for r in runs.frequent_keys().collect()} == want
+    assert want
+    plan = runs._run(runs.manifest.rows[0][1]).join(runs._run(runs.manifest.rows[-1][1]).hint("merge"), line_dedup.KEY)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text and "Exchange" not in text
+
+
+def test_line_digest_has_two_hashes(spark):
+    rows = spark.range(3).select(line_dedup.digest(F.concat(F.lit("line "), "id")).alias("d")).select("d.*", F.xxhash64("d.h1"), F.xxhash64("d.h1", F.lit(1))).collect()
+    same = spark.createDataFrame([(r["h1"],) for r in rows], "h1 long").select(F.expr("xxhash64(1, h1)")).collect()
+    assert all(r["h2"] not in tuple(r)[:1] + tuple(r)[2:] + tuple(x) for r, x in zip(rows, same, strict=True))
+
+
 # 4 Toxicity -----------------------------------------------------------------------------------------
 
 
@@ -462,14 +488,36 @@ def test_rollup_commits_once(spark):
     assert rollup.totals().count() == 0
 
 
+def test_rollup_goes_on_in_a_later_session(spark):
+    """Reopened by path after a fold, and after writers killed before the manifest was written."""
+    root = kit.Workspace(spark).root
+    again = lambda: token_counts.Rollup(spark, kit.Workspace(spark, root))
+    row = lambda d, n: spark.createDataFrame([("s", "en", "t", d, n)], token_counts._DELTA)
+    totals = lambda: [tuple(r)[3:] for r in again().totals().collect()]
+    assert again().commit("a", row(2, 10)) and again().commit("b", row(1, 3))
+    again().fold()
+    assert totals() == [(3, 13)]
+    assert not again().commit("a", row(2, 10)) and not again().commit("b", row(1, 3))
+    killed = again()
+    killed.store.save(row(50, 50), killed._path("c"))  # a batch's table without its manifest
+    killed.store.save(row(70, 70), f"rollup/base-{killed.manifest.version + 1}")  # a fold's base without its manifest
+    assert totals() == [(3, 13)]
+    assert again().commit("c", row(1, 1)) and again().commit("d", row(-1, -3))
+    assert totals() == [(3, 11)]
+    again().fold()
+    assert totals() == [(3, 11)] and not again().commit("d", row(-1, -3))
+
+
 # 8 Document fingerprints ----------------------------------------------------------------------------
 
 
 def test_fingerprints(spark, docs):
     rows = texts_of(docs)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
-    long = lambda x: re.split(r"(?<=[.!?]) ", x) if len(x) > fingerprints.LONG else [x]
-    parts = lambda t: {p for x in t.split("\n") for p in long(x) if p}
+    most = fingerprints.LONG
+    words = lambda x: re.split(r"(?<=[kwy]) ", x) if len(x) > 4 * most else [x]
+    blocks = lambda x: [x[i : i + most] for i in range(0, len(x), most)]
+    parts = lambda t: {b for s in re.split(r"(?<=[.!?]) |(?<=[。！？])|\n", t) for w in words(s) for b in blocks(w)}
     alike = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for i, (d, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
@@ -478,6 +526,8 @@ def test_fingerprints(spark, docs):
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_edited"] == pytest.approx(alike(parts(t), parts(edited))) and r["near_next"] == pytest.approx(alike(parts(t), parts(after)))
+    whole = [r for r in got.values() if r["n_chars"] > 200 and r["near_next"] < 1]
+    assert sum(r["near_edited"] > r["near_next"] for r in whole) >= 0.99 * len(whole)
     by_text = collections.defaultdict(set)
     for d, t in rows:
         by_text[t].add(got[d]["fingerprint"])
