@@ -28,7 +28,10 @@ class Rounds:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        top = self.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+        top = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not self.spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = top or f"file://{tempfile.gettempdir()}/checkpoints"
         self.root = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, turn: int | str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,7 +226,7 @@ def ridge_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.INSTANCES}, pk AS (SELECT inst_id, cx, cz, height AS h_peak, length AS radius, 1.8 AS gamma, 0.2 AS alpha, 3 + inst_id % 2 AS k FROM i WHERE inst_id <= 40),
+    f"""WITH {fx.INSTANCES}, pk AS (SELECT inst_id, cx, cz, height AS h_peak, length AS radius, 1.8 AS gamma, 0.2 AS alpha, 3 + inst_id % 2 AS k FROM i),
 {_BOX.format(r='radius', s='0.0', t='pk')},
 l AS (SELECT z, x, inst_id, h_peak * pow(greatest(0.0, 1.0 - sqrt(dx * dx + dz * dz) / radius), gamma) * (1.0 + alpha * cos(k * atan2(dz, dx))) AS layer FROM m),
 f AS (SELECT z, x, list(layer ORDER BY inst_id) AS hs FROM l GROUP BY z, x) SELECT z, x, h FROM ({_FOLD})"""
@@ -360,13 +361,6 @@ def fill_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.floor(F.col("depth") / 16).alias("depth_band")).agg(F.count("*").alias("cells"), F.max("depth").alias("deepest"))
 
 
-@query("SELECT 0 AS climbs")
-def flow_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps to a receiver that go up on the filled surface: none."""
-    directed = hydro.flow(hydro.fill(fx.grid(spark, sf_dir), tile=64), fx.SPACING)
-    return hydro.climbs(directed).select(F.col("climbs").cast("int").alias("climbs"))
-
-
 @query()
 def breach_carving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surface lowered along receivers until no step goes up."""
@@ -376,13 +370,13 @@ def breach_carving(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AWAY = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
-def _neighbour_sql() -> str:
+def _neighbour_sql(t: str = "g") -> str:
     parts = [f"q{k}.h AS h{k}" for k in range(8)]
-    joins = " ".join(f"LEFT JOIN g q{k} ON q{k}.z = g.z + ({dz}) AND q{k}.x = g.x + ({dx})" for k, (dz, dx) in enumerate(_AWAY))
+    joins = " ".join(f"LEFT JOIN {t} q{k} ON q{k}.z = {t}.z + ({dz}) AND q{k}.x = {t}.x + ({dx})" for k, (dz, dx) in enumerate(_AWAY))
     below = ", ".join(f"(h{k} IS NOT NULL AND (h{k} < h OR (h{k} = h AND {str((dz, dx) < (0, 0)).lower()}))) AS b{k}" for k, (dz, dx) in enumerate(_AWAY))
     pick = lambda e, p: f"CASE {e} " + " ".join(f"WHEN {k} THEN {p}{k}" for k in range(8)) + " END"
     s = fx.SPACING
-    return f"""nb AS (SELECT g.z, g.x, g.h, {', '.join(parts)} FROM g {joins}),
+    return f"""nb AS (SELECT {t}.z, {t}.x, {t}.h, {', '.join(parts)} FROM {t} {joins}),
 gr AS (SELECT *, (coalesce(h0, h) - coalesce(h4, h)) / (CASE WHEN h0 IS NULL OR h4 IS NULL THEN {s}.0 ELSE {2 * s}.0 END) AS gx, (coalesce(h2, h) - coalesce(h6, h)) / (CASE WHEN h2 IS NULL OR h6 IS NULL THEN {s}.0 ELSE {2 * s}.0 END) AS gz, {below} FROM nb),
 an AS (SELECT *, atan2(-gz, -gx) / {math.pi / 4!r} AS a0 FROM gr), tu AS (SELECT *, a0 - 8 * floor(a0 / 8) AS turn FROM an),
 ki AS (SELECT *, CAST(floor(turn) AS INT) % 8 AS f1, (CAST(floor(turn) AS INT) + 1) % 8 AS f2, turn - floor(turn) AS sh, NOT (gx = 0 AND gz = 0) AS moves FROM tu),
@@ -401,23 +395,42 @@ def flow_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STEP_Z = "CASE k " + " ".join(f"WHEN {k} THEN {d[0]}" for k, d in enumerate(_AWAY)) + " END"
 _STEP_X = "CASE k " + " ".join(f"WHEN {k} THEN {d[1]}" for k, d in enumerate(_AWAY)) + " END"
-_AREA = f"""ed AS (SELECT z, x, z + {_STEP_Z} AS tz, x + {_STEP_X} AS tx, p FROM (SELECT z, x, k1 AS k, p1 AS p FROM fl UNION ALL SELECT z, x, k2, p2 FROM fl) WHERE k >= 0),
+_EDGES = f"ed AS (SELECT z, x, z + {_STEP_Z} AS tz, x + {_STEP_X} AS tx, p FROM (SELECT z, x, k1 AS k, p1 AS p FROM fl UNION ALL SELECT z, x, k2, p2 FROM fl) WHERE k >= 0)"
+
+
+def _area_sql(steps: int) -> str:
+    return f"""{_EDGES},
 ar AS (SELECT 0 AS step, z, x, CAST(1 AS DOUBLE) AS area FROM fl
  UNION ALL
- SELECT step, z, x, CAST(1 AS DOUBLE) + coalesce(inflow, 0) FROM (SELECT DISTINCT step + 1 AS step FROM ar WHERE step < 120) s, fl LEFT JOIN (SELECT tz, tx, sum(p * ar.area) AS inflow FROM ed JOIN ar USING (z, x) GROUP BY tz, tx) i ON i.tz = fl.z AND i.tx = fl.x)"""
+ SELECT step, z, x, CAST(1 AS DOUBLE) + coalesce(inflow, 0) FROM (SELECT DISTINCT step + 1 AS step FROM ar WHERE step < {steps}) s, fl LEFT JOIN (SELECT tz, tx, sum(p * ar.area) AS inflow FROM ed JOIN ar USING (z, x) GROUP BY tz, tx) i ON i.tz = fl.z AND i.tx = fl.x)"""
 
 
-@query(f"WITH RECURSIVE {fx.GRID}, {_neighbour_sql()}, {_AREA} SELECT z, x, round(area, 6) AS area FROM ar WHERE step = 120")
+_FILLED = f"{_FILL}, fw AS (SELECT z, x, w AS h FROM fill WHERE step = 250), {_neighbour_sql('fw')}"
+
+
+@query(f"WITH RECURSIVE {fx.GRID}, {_FILLED}, {_EDGES} SELECT count(*) FILTER (WHERE b.h > a.h) AS climbs, count(*) AS steps FROM ed JOIN fw a ON a.z = ed.z AND a.x = ed.x JOIN fw b ON b.z = tz AND b.x = tx")
+def flow_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps to a receiver on the filled surface, and those that go up: none."""
+    directed = hydro.flow(hydro.fill(fx.grid(spark, sf_dir), tile=64), fx.SPACING)
+    return hydro.climbs(directed).select("climbs", "steps")
+
+
+@query(f"WITH RECURSIVE {fx.GRID}, {_neighbour_sql()}, {_area_sql(120)} SELECT z, x, round(area, 6) AS area FROM ar WHERE step = 120")
 def drainage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drainage area on the unfilled grid."""
     directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING)
     return hydro.drainage(directed, tile=32).select("z", "x", F.round("area", 6).alias("area"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fx.GRID}, {_FILLED}, {_area_sql(600)}, o AS (SELECT z, x, area, sqrt(gx * gx + gz * gz) AS s FROM ar JOIN pr USING (z, x) WHERE step = 600)
+SELECT z, x, g.h, fw.h AS w, round(area, 6) AS area, round(s, 9) AS gradient, round(-0.01 * sqrt(area) * s, 9) AS dh,
+  CASE WHEN area < 500 THEN 'torrent' WHEN area < 5000 THEN 'river' ELSE 'floodplain' END AS channel FROM o JOIN g USING (z, x) JOIN fw USING (z, x)"""
+)
 def river_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filling, drainage, incision and channel class in a row."""
-    return hydro.routed(fx.grid(spark, sf_dir), fx.SPACING, tile=64)
+    out = hydro.routed(fx.grid(spark, sf_dir), fx.SPACING, tile=64)
+    return out.select("z", "x", "h", "w", F.round("area", 6).alias("area"), *(F.round(c, 9).alias(c) for c in ("gradient", "dh")), "channel")
 
 
 @query(f"WITH {fx.GRID}, {fx.GRADIENT} SELECT z, x, round(-0.01 * pow(h + 65, 0.5) * pow(sqrt(gx * gx + gz * gz), 1.0), 9) AS dh FROM f")
@@ -469,6 +482,21 @@ def dither_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.mask(responses.suitability(_steep(spark, sf_dir)), fx.thresholds(spark, sf_dir)).select("z", "x", "feature", "v")
 
 
+_BLUE = dither.highpass_matrix()
+
+
+def _matrix_sql(matrix: np.ndarray) -> str:
+    """A threshold matrix as a list by row, read by position."""
+    values = ", ".join(f"{float(v):.17e}" for v in matrix.ravel())
+    return f"t AS (SELECT CAST(i // {matrix.shape[1]} AS INT) AS tz, CAST(i % {matrix.shape[1]} AS INT) AS tx, list_extract(v, i + 1) AS thr FROM range({matrix.size}) r(i), (SELECT [{values}] AS v))"
+
+
+@query(f"WITH {_SUIT}, {_matrix_sql(_BLUE)} SELECT z, x, feature, CAST(CASE WHEN NOT isnan(p) AND p >= thr THEN 255 ELSE 0 END AS SMALLINT) AS v FROM u JOIN t ON tz = z % 64 AND tx = x % 64")
+def blue_noise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of every feature by the high-passed noise matrix, tiled over the grid."""
+    return dither.mask(responses.suitability(_steep(spark, sf_dir)), dither.as_table(spark, _BLUE)).select("z", "x", "feature", "v")
+
+
 @query(
     f"""WITH {_SUIT}, {fx.THRESHOLDS}, m AS (SELECT feature, p, CASE WHEN p >= thr THEN 1 ELSE 0 END AS v, CASE WHEN p >= thr AND p > 0 THEN 1 ELSE 0 END AS sv FROM u JOIN t ON tz = z % 64 AND tx = x % 64)
 SELECT feature, CAST(sum(v) AS BIGINT) AS fired, CAST(sum(sv) AS BIGINT) AS fired_strict, count(*) AS cells FROM m GROUP BY feature"""
