@@ -34,27 +34,27 @@ def excess(difference: np.ndarray, crit: float) -> np.ndarray:
     return np.maximum(difference.dtype.type(0), difference - difference.dtype.type(crit))
 
 
-def net_loss(gifts: list[tuple[tuple[int, int], np.ndarray]]) -> np.ndarray:
-    """What every cell gives along each step, less what the cell behind it gives along the same."""
-    lost = np.zeros_like(gifts[0][1])
-    for (z, x), amount in gifts:
-        lost = lost + amount - neighbour(amount, (-z, -x), 0.0)
-    return lost
+def received(gift: np.ndarray, step: tuple[int, int]) -> np.ndarray:
+    """What every cell gets of gifts made along a step: its predecessor's."""
+    return neighbour(gift, (-step[0], -step[1]), 0.0)
 
 
 def listing_step(h: np.ndarray, crit: float, rate: float) -> np.ndarray:
     """One iteration: a cell gives ``rate`` of the rise ahead beyond the critical one, east and south."""
-    gifts = [(step, excess(neighbour(h, step, -np.inf) - h, crit) * h.dtype.type(rate)) for step in (EAST, SOUTH)]
-    return h - net_loss(gifts)
+    lost = np.zeros_like(h)
+    for step in (EAST, SOUTH):
+        gift = excess(neighbour(h, step, -np.inf) - h, crit) * h.dtype.type(rate)
+        lost = lost + gift - received(gift, step)
+    return h - lost
 
 
 def physical_step(h: np.ndarray, crit: float, spacing: float) -> np.ndarray:
     """One iteration: half the excess goes to the lowest neighbour, ties in the order west, east, north, south."""
     steps = (WEST, EAST, NORTH, SOUTH)
     near = np.stack([neighbour(h, step, np.inf) for step in steps])
-    give = excess((h - near.min(0)) / h.dtype.type(spacing), crit) * h.dtype.type(0.5 * spacing)
+    give = h.dtype.type(0.5) * excess((h - near.min(0)) / h.dtype.type(spacing), crit) * h.dtype.type(spacing)
     to = near.argmin(0)
-    return h - net_loss([(step, np.where(to == k, give, h.dtype.type(0))) for k, step in enumerate(steps)])
+    return h - give + sum(received(np.where(to == k, give, h.dtype.type(0)), step) for k, step in enumerate(steps))
 
 
 def weather(grid: DataFrame, mode: str = "physical", critical_angle_deg: float = 38.0, iterations: int = 15, talus_transfer_rate: float = 0.35, spacing: float = 1.0, tile: int = 256) -> DataFrame:

@@ -424,13 +424,13 @@ def drainage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {fx.GRID}, {_FILLED}, {_area_sql(600)}, o AS (SELECT z, x, area, sqrt(gx * gx + gz * gz) AS s FROM ar JOIN pr USING (z, x) WHERE step = 600)
-SELECT z, x, g.h, fw.h AS w, round(area, 6) AS area, round(s, 9) AS gradient, round(-0.01 * sqrt(area) * s, 9) AS dh,
+SELECT z, x, g.h, fw.h AS w, round(area, 6) AS area, round(s, 9) AS gradient, round(-0.01 * sqrt(area) * s, 9) + 0.0 AS dh,
   CASE WHEN area < 500 THEN 'torrent' WHEN area < 5000 THEN 'river' ELSE 'floodplain' END AS channel FROM o JOIN g USING (z, x) JOIN fw USING (z, x)"""
 )
 def river_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filling, drainage, incision and channel class in a row."""
     out = hydro.routed(fx.grid(spark, sf_dir), fx.SPACING, tile=64)
-    return out.select("z", "x", "h", "w", F.round("area", 6).alias("area"), *(F.round(c, 9).alias(c) for c in ("gradient", "dh")), "channel")
+    return out.select("z", "x", "h", "w", F.round("area", 6).alias("area"), F.round("gradient", 9).alias("gradient"), (F.round("dh", 9) + 0.0).alias("dh"), "channel")
 
 
 @query(f"WITH {fx.GRID}, {fx.GRADIENT} SELECT z, x, round(-0.01 * pow(h + 65, 0.5) * pow(sqrt(gx * gx + gz * gz), 1.0), 9) AS dh FROM f")
