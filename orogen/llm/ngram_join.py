@@ -25,7 +25,7 @@ Links within a tile. A task pairs the members of a tile with the smallest of its
 tile's group pairs these leaders with the smallest of all: the pairs are few, and a
 tile that a third of all documents share costs its group one row a batch. Most tiles,
 even hot ones, become one component this way. In tiles that still hold several
-components, members are compared by 512-bit maps in blocks of bounded size, pairs
+components, members are compared by shorter maps in blocks of bounded size, pairs
 of one component being skipped. A block gives all its pairs of components within the bound;
 where that is more than 32 a member, each member gives only its nearest other,
 which joins what edits had parted, and the tile is asked once more for all
@@ -57,7 +57,7 @@ from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
 BLOCK, BATCH_TILES, GROUP_TILES = 4096, 1_000_000, 300_000
-BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS = 20, 16, 4096, 1 << 15, 32
+BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS, MOST_ASKED = 20, 16, 4096, 1 << 15, 32, 1_000_000
 
 
 class Bands:
@@ -237,7 +237,7 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
         parts, size = [], 0
         for ids, sets in _sets(batches, k):
             bits = [parity_bits(s) for s in sets]
-            short = pa.array([folded(b, 8).tobytes() for b in bits], pa.binary())
+            short = pa.array([folded(b, max(8, len(b) // 4)).tobytes() for b in bits], pa.binary())
             bits = pa.array([b.tobytes() for b in bits], pa.binary())
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
             yield plain(doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short)
@@ -379,11 +379,18 @@ def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFram
         return a, b, np.ones(len(a), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(t: pa.Table) -> pa.RecordBatch:
-            a, b, given = compare(t)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=~given)], names=["a", "b"])
-
-        rest = None
+        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            """What the blocks so far ask, each pair once: many tiles ask the same."""
+            a, b, given = (np.concatenate(x) for x in zip(*asked, strict=True))
+            asked.clear()
+            order = np.lexsort((b, a, given))
+            a, b, given = a[order], b[order], given[order]
+            first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (given[1:] != given[:-1])) if len(a) else given
+            return pa.RecordBatch.from_arrays([pa.array(a[first], pa.int64()), pa.array(b[first], pa.int64(), mask=~given[first])], names=["a", "b"])
+
+        rest, size = None, 0
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
@@ -392,10 +399,16 @@ def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFram
             edges = [0, *cut.tolist()]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo > 1:
-                    yield out(t.slice(lo, hi - lo))
+                    asked.append(compare(t.slice(lo, hi - lo)))
+                    size += len(asked[-1][0])
+                if size > MOST_ASKED:
+                    yield out()
+                    size = 0
             rest = t.slice(edges[-1])
         if rest is not None and len(rest) > 1:
-            yield out(rest)
+            asked.append(compare(rest))
+        if asked:
+            yield out()
 
     return units.mapInArrow(run, "a long, b long").distinct()
 
