@@ -1,9 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches, DataFrame functions only.
 
-A text's paragraphs are the sentences of its lines. A sentence of more than four times ``LONG``
-characters is cut after words that end in k, w or y, and what is still longer than ``LONG``
-into blocks of that many from its start: all cuts depend on the sentence's own characters
-only, and one-line texts and texts without punctuation have parts too. Each distinct paragraph's
+A text's paragraphs are its lines. A line of more than ``LONG`` characters is cut after sentence
+ends, a sentence of more than twice as many after words that end in k, w or y, and what is
+still longer than ``LONG`` into blocks of that many from its start: all cuts depend on the line's own
+characters only, and one-line texts and texts without punctuation have parts too. Each distinct paragraph's
 64-bit digest goes to one cell in each of three groups of eight cells; a
 cell has a count, the xor of its digests and the xor of their check hashes.
 
@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LONG, GROUPS, WIDTH, ROUNDS = 100, 3, 8, 12
-ENDS, WORDS = r"(?<=[.!?]) |(?<=[\u3002\uff01\uff1f])|\n", r"(?<=[kwy]) "
+LONG, GROUPS, WIDTH, ROUNDS = 200, 3, 8, 12
+ENDS, WORDS = r"(?<=[.!?]) |(?<=[\u3002\uff01\uff1f])", r"(?<=[kwy]) "
 LOAD, RETRIES = 8, 3
 
 
@@ -53,12 +53,18 @@ def paragraph_digests(text: Column) -> Column:
     def blocks(x: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(LONG)), lambda at: F.substring(x, at + 1, F.lit(LONG)))
 
-    cut = finer(finer(F.split(text, ENDS, -1), 4 * LONG, lambda x: F.split(x, WORDS, -1)), LONG, blocks)
+    cut = finer(F.split(text, "\n", -1), LONG, lambda x: F.split(x, ENDS, -1))
+    cut = finer(finer(cut, 2 * LONG, lambda x: F.split(x, WORDS, -1)), LONG, blocks)
     return F.array_distinct(F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def place(digest: Column, group: int) -> Column:
-    return F.shiftrightunsigned(digest, 5 + 3 * group).bitwiseAND(F.lit(WIDTH - 1)).cast("int")
+def cells_of(group: int) -> Column:
+    """The three bits that name a cell of a group, in place, for all its cells."""
+    return F.array(*(F.lit(c << (5 + 3 * group)).cast("long") for c in range(WIDTH)))
+
+
+def placed(digest: Column, group: int, cell: Column) -> Column:
+    return digest.bitwiseAND(F.lit((WIDTH - 1) << (5 + 3 * group)).cast("long")) == cell
 
 
 def check(digest: Column) -> Column:
@@ -96,10 +102,11 @@ def sketch(digests: Column) -> Column:
     """The cells of a set of digests, GROUPS x WIDTH of them."""
 
     def group(g: int) -> Column:
-        def cell(p: Column) -> Column:
-            return bind(F.filter(digests, lambda d: place(d, g) == p), lambda got: F.when(F.size(got) == 0, _empty()).otherwise(_cell(F.size(got), _xor(got, lambda d: d), _xor(got, check))))
+        def cell(c: Column) -> Column:
+            own = F.filter(digests, lambda d: placed(d, g, c))
+            return bind(own, lambda got: F.when(F.size(got) == 0, _empty()).otherwise(_cell(F.size(got), _xor(got, lambda d: d), _xor(got, check))))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), cell)
+        return F.transform(cells_of(g), cell)
 
     return F.concat(*(group(g) for g in range(GROUPS)))
 
@@ -127,11 +134,11 @@ def peel(cells: Column) -> Column:
         signs = lambda got: F.aggregate(got, F.lit(0), lambda a, d: a + d["c"])
 
         def group(g: int) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                here = F.filter(gone, lambda d: place(d["k"], g) == i)
+            def cell(c: Column, at: Column) -> Column:
+                here = F.filter(gone, lambda d: placed(d["k"], g, at))
                 return bind(here, lambda got: F.when(F.size(got) == 0, c).otherwise(_cell(c["c"] - signs(got), c["k"].bitwiseXOR(_xor(got, lambda d: d["k"])), c["h"].bitwiseXOR(_xor(got, lambda d: check(d["k"]))))))
 
-            return F.transform(F.slice(x, g * WIDTH + 1, WIDTH), cell)
+            return F.zip_with(F.slice(x, g * WIDTH + 1, WIDTH), cells_of(g), cell)
 
         return F.concat(*(group(g) for g in range(GROUPS)))
 
@@ -143,11 +150,10 @@ def peel(cells: Column) -> Column:
     return bind(done, lambda s: F.struct(F.size(F.filter(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0))).alias("left"), s["found"].alias("found")))
 
 
-def _blocks_of_both(a: Column, b: Column) -> Column:
-    """Blocks of both sets, as many as keep about LOAD digests of the larger set in each."""
-    most = F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double")
-    bits = F.greatest(F.lit(2), F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD))))).cast("int")
-    return F.zip_with(blocks(a, bits), blocks(b, bits), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+def _bits(*sets: Column) -> Column:
+    """As many bits of blocks as keep about LOAD digests of the largest set in each."""
+    most = F.greatest(*(F.size(x) for x in sets), F.lit(1)).cast("double")
+    return F.greatest(F.lit(2), F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), most / LOAD))))).cast("int")
 
 
 def _unless(settled: Column) -> Callable[[Column], Column]:
@@ -156,7 +162,7 @@ def _unless(settled: Column) -> Callable[[Column], Column]:
 
 def _in_four(shift: int) -> Callable[[Column], Column]:
     four = lambda own: split(F.array(own), F.lit(2), shift)
-    return lambda p: F.zip_with(four(p["a"]), four(p["b"]), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return lambda p: F.zip_with(four(p["a"]), four(p["b"]), lambda x, y: F.struct(x.alias("a"), y.alias("b"), sketch(x).alias("x")))
 
 
 def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -166,7 +172,7 @@ def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
-    """Adds a likeness for each name -> (digests, sketch, other digests, other sketch).
+    """Adds a likeness for each name -> (digests, sketch, other digests, other sketch); the first set is the same in all.
 
     The first attempt subtracts the one-block sketches. A pair that keeps cells is sketched in
     blocks; each retry sketches the blocks that failed as four. What the last retry leaves
@@ -175,13 +181,20 @@ def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]])
     first = {n: peel(subtract(F.col(x), F.col(y))) for n, (_, x, _, y) in pairs.items()}
     rows = _fixed(rows, **{f"{n}_try": c for n, c in first.items()})
     whole = {n: F.col(f"{n}_try.left") == 0 for n in pairs}
+    settled = F.lit(True)
+    for n in pairs:
+        settled = settled & whole[n]
+    own = next(iter(pairs.values()))[0]  # the first set of every pair; its blocks are sketched once
+    rows = _fixed(rows, _bits=F.when(~settled, _bits(F.col(own), *(F.col(b) for _, _, b, _ in pairs.values()))))
+    rows = _fixed(rows, _own=F.transform(F.filter(blocks(F.col(own), F.col("_bits")), lambda _: ~settled), lambda a: F.struct(a.alias("a"), sketch(a).alias("x"))))
+    both = lambda b: F.zip_with("_own", blocks(F.col(b), F.col("_bits")), lambda p, q: F.struct(p["a"].alias("a"), q.alias("b"), p["x"].alias("x")))
     rows = _fixed(
         rows,
         **{f"{n}_found": F.when(whole[n], F.col(f"{n}_try.found")).otherwise(F.lit(0)) for n in pairs},
-        **{f"{n}_open": F.filter(_blocks_of_both(F.col(a), F.col(b)), _unless(whole[n])) for n, (a, _, b, _) in pairs.items()},
-    )
+        **{f"{n}_open": F.when(whole[n], F.array()).otherwise(both(b)) for n, (_, _, b, _) in pairs.items()},
+    ).drop("_own", "_bits")
     for retry in range(RETRIES):
-        rows = _fixed(rows, **{f"{n}_open": F.transform(f"{n}_open", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(subtract(sketch(p["a"]), sketch(p["b"]))).alias("r"))) for n in pairs})
+        rows = _fixed(rows, **{f"{n}_open": F.transform(f"{n}_open", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(subtract(p["x"], sketch(p["b"]))).alias("r"))) for n in pairs})
         found, left = {}, {}
         for n in pairs:
             done = F.aggregate(f"{n}_open", F.lit(0), lambda s, p: s + F.when(p["r"]["left"] == 0, p["r"]["found"]).otherwise(F.lit(0)))

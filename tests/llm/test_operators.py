@@ -515,9 +515,10 @@ def test_fingerprints(spark, docs):
     rows = texts_of(docs)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     most = fingerprints.LONG
-    words = lambda x: re.split(r"(?<=[kwy]) ", x) if len(x) > 4 * most else [x]
+    words = lambda x: re.split(r"(?<=[kwy]) ", x) if len(x) > 2 * most else [x]
     blocks = lambda x: [x[i : i + most] for i in range(0, len(x), most)]
-    parts = lambda t: {b for s in re.split(r"(?<=[.!?]) |(?<=[。！？])|\n", t) for w in words(s) for b in blocks(w)}
+    sentences = lambda x: re.split(r"(?<=[.!?]) |(?<=[。！？])", x) if len(x) > most else [x]
+    parts = lambda t: {b for x in t.split("\n") for s in sentences(x) for w in words(s) for b in blocks(w)}
     alike = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     for i, (d, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
@@ -526,7 +527,7 @@ def test_fingerprints(spark, docs):
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_edited"] == pytest.approx(alike(parts(t), parts(edited))) and r["near_next"] == pytest.approx(alike(parts(t), parts(after)))
-    whole = [r for r in got.values() if r["n_chars"] > 200 and r["near_next"] < 1]
+    whole = [r for r in got.values() if r["n_chars"] > 400 and r["near_next"] < 1]
     assert sum(r["near_edited"] > r["near_next"] for r in whole) >= 0.99 * len(whole)
     by_text = collections.defaultdict(set)
     for d, t in rows:
