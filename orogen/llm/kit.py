@@ -38,6 +38,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U64 = np.uint64
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -63,7 +64,12 @@ class Workspace:
     def save(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return the written table; the schema is not inferred again."""
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        batch = self.spark.conf.get(BATCH_ROWS)
+        self.spark.conf.set(BATCH_ROWS, str(min(int(batch), 1000)))  # texts reach Python by the thousand, for this write only
+        try:
+            (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(BATCH_ROWS, batch)
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:

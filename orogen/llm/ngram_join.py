@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
-BLOCK, BATCH_TILES, GROUP_TILES = 4096, 1_000_000, 300_000
+BLOCK, BATCH_TILES, GROUP_TILES = 4096, 500_000, 250_000
 BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS, MOST_ASKED = 20, 16, 4096, 1 << 15, 32, 1_000_000
 
 
@@ -212,6 +212,7 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         tile, doc, content, band = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((doc, content, tile))
         tile, doc, content, band = tile[order], doc[order], content[order], band[order]
         own = np.append(True, (tile[1:] != tile[:-1]) | (content[1:] != content[:-1]))
@@ -222,10 +223,10 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
         of = np.repeat(leader, size)
         rest = doc != of
         if rest.any():
-            yield plain(doc_id=pa.array(doc[rest]), tile=pa.array(as_long(tile[rest])), leader=pa.array(of[rest]), band=pa.array(band[rest]))
+            yield plain(doc_id=pa.array(doc[rest]), tile=pa.array(as_long(tile[rest])), leader=pa.array(of[rest]), band=pa.array(band[rest].astype(np.int64)))
         lead = np.flatnonzero(~rest)
         lead = lead[np.append(True, tile[lead][1:] != tile[lead][:-1])]
-        tile, doc, content, flags = tile[lead], doc[lead], content[lead], band[lead] | ((size > 1) * MANY)
+        tile, doc, content, flags = tile[lead], doc[lead], content[lead], band[lead].astype(np.int64) | ((size > 1) * MANY)
         group = (mix(tile) % U64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         filled, start = np.unique(group[order], return_index=True)
@@ -244,11 +245,11 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
             for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
                 for band, tiles in tiles_of(s, bands, levels) if doc is not None else []:
                     n = len(tiles)
-                    parts.append((tiles, np.full(n, doc, np.int64), np.full(n, content), np.full(n, band, np.int64)))
+                    parts.append((tiles, np.full(n, doc, np.int64), np.full(n, content), np.full(n, band, np.int16)))
                     size += n
             if size >= BATCH_TILES:
                 yield from flush(parts)
-                parts, size = [], 0
+                size = 0
         if parts:
             yield from flush(parts)
 
