@@ -89,7 +89,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
         share.append((count / size[doc]).astype(np.float32))
         first += (first[-1] + np.cumsum(np.bincount(doc, minlength=len(view.off) - 1))).tolist()
     bucket, share, first = np.concatenate(bucket), np.concatenate(share), np.array(first)
-    common = np.bincount(bucket, minlength=BUCKETS)[bucket] > 1  # what one text alone has teaches nothing
+    common = np.bincount(bucket, minlength=BUCKETS)[bucket] > 1  # a bucket of one training text alone is left out: it teaches nothing of others
     first = np.append(0, np.cumsum(common))[first]
     bucket, share = bucket[common], share[common]
     embed = (rng.standard_normal((BUCKETS, dim)) * 0.01).astype(np.float32)
