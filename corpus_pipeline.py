@@ -6,8 +6,10 @@ the columns of ``documents``. Near duplicates are judged on shingles of five wor
 a similarity of 0.8; of each group the smallest doc_id stays.
 
 A row's identity is its doc_id and text: repeated rows pass or fail together until the
-near-duplicate stage, which keeps one row of a doc_id. Rows with a null doc_id pass
-that stage.
+near-duplicate stage, which keeps one of them. Different texts of one doc_id are one document
+there, which stays or goes whole; rows with a null doc_id pass that stage. Null and empty
+texts fail the quality rules, and very long ones are judged whole. Extra columns of
+``documents`` are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates stays."""
     groups = ngram_join.similarity_components(docs, k=5, num=8, den=10)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    same = Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text"))
+    one = F.row_number().over(same.orderBy("lang", "source", "n_chars"))
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("one", one).filter("one = 1")
     return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
