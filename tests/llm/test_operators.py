@@ -689,3 +689,22 @@ def test_pipeline_against_brute_force(spark, tiny, docs):
     names = sorted(packed[0].asDict())
     whole = sorted(tuple(r[n] for n in names) for r in pipeline.run(spark, tiny).collect())
     assert whole == sorted(tuple(r[n] for n in names) for r in packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    import corpus_pipeline as pipeline
+
+    stage = dict(pipeline.STAGES)
+    for name, f in pipeline.STAGES:
+        out = f(spark, empty, "")
+        assert out.count() == 0, name
+        assert name == "best-fit packing" or out.columns == pipeline.COLUMNS, name
+    pairs = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    every = pairs(odd)
+
+    assert not pairs(stage["quality rules"](spark, odd, ""))  # all are short or repeat one window
+    assert pairs(stage["line dedup"](spark, odd, "")) == collections.Counter((d, t or "") for d, t in every.elements())
+    assert pairs(stage["n-gram Jaccard join"](spark, odd, "")) == collections.Counter(p for p in every if p[0] != 10)
+    assert pairs(stage["mixing sources"](spark, odd, "")) <= every
+    packed = stage["best-fit packing"](spark, odd, "")
+    assert {r["doc_id"] for r in packed.collect()} == {d for d, _ in every}
