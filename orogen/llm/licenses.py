@@ -16,8 +16,8 @@ Candidates are verified: the share of the template's shingles found in the windo
 reach ``least``. A text of fewer words than five is one shingle.
 
 Cases: null or empty text matches nothing. A template without words is an error.
-Repeated rows each get their matches; a null doc_id is kept. Extra columns are
-ignored. Nothing is shuffled: templates are few and travel with the task.
+Repeated rows each get their matches; a null doc_id is kept. Texts of any length are
+taken whole; an empty table gives an empty one. Extra columns are ignored. Nothing is shuffled: templates are few and travel with the task.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def matches(texts: pa.Array, catalogue: Catalogue, least: float) -> list[tuple[i
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, license, containment, first_word, n_words of every match."""
+    """doc_id, license, containment, first_word, n_words: each document's best match of every template, the first of equals."""
     templates = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ its token shares to the power ``temper``, normalised.
 
 Cases: a null source or language is a value of its own. A document
 without tokens takes its cell's probability; a cell without tokens has probability 1, as it
-cannot move a margin. Repeated rows share their draw. Extra columns stay in ``doc``.
+cannot move a margin. Repeated rows share their draw. Texts of any length are
+counted whole. Extra columns stay in ``doc``. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Scoring reads all of every text.
 
 Cases: null or empty text scores by the intercept alone. A null doc_id is never
 held out and never joined to a label. Repeated rows get equal scores. Rows
-labelled null are not learned from. With no label at all the score is 0.5.
+labelled null are not learned from. With no label at all the score is 0.5. Texts of any length
+are scored whole. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
