@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import PARTS, components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
 
 BLOCK, BATCH_TILES, GROUP_TILES = 4096, 500_000, 250_000
@@ -88,14 +88,39 @@ class Bands:
             smallest[i + 1] = self.top[i] + 1
         return [(j, min(n, n - self.overlap(n, y) + self.shared[j])) for j, y in smallest.items() if self.most[j]]
 
+    def retained(self, elements: np.ndarray) -> np.ndarray:
+        """What of a set tiles are made of."""
+        return elements
+
+    def bits(self, elements: np.ndarray) -> np.ndarray:
+        """What a pair is judged by before its exact intersection."""
+        return parity_bits(elements)
+
+    def short(self, bits: np.ndarray) -> np.ndarray:
+        """What members of a block are judged by."""
+        return folded(bits, max(8, len(bits) // 4))
+
+    def possible(self, n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Which pairs with ``n`` shingles in sum may link by their bits."""
+        return self.fits(n, np.array([apart(x, y) for x, y in zip(a, b, strict=True)], np.int64))
+
+    def fits(self, n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Which pairs with ``n`` shingles in sum and that many differing bits may link."""
+        return (n - differ) * (self.den + self.num) >= n * (2 * self.num)
+
+    def block_fits(self, n: np.ndarray, of: int, differ: np.ndarray) -> np.ndarray:
+        """``fits`` of one set of size ``of`` with those of sizes ``n``, by short bits."""
+        return self.fits(n + of, differ)
+
 
 def tiles_of(elements: np.ndarray, bands: Bands, levels: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(band, tile keys of 48 bits) of one set of uint64 hashes; band 0 if two of its keys are equal."""
     out = []
     where = bands.of(len(elements))
     if where:
-        h = mix(elements + U64(0x3C6EF372))
-        ordered = np.sort((levels[bucket(elements)].astype(np.uint64) << U64(56)) | (h >> U64(8)))
+        some = bands.retained(elements)
+        h = mix(some + U64(0x3C6EF372))
+        ordered = np.sort((levels[bucket(some)].astype(np.uint64) << U64(56)) | (h >> U64(8)))
     for j, first in where:
         keys = mix(ordered[:first] ^ mix(np.array([j + 1], np.uint64))) >> U64(16)
         distinct = np.unique(keys)
@@ -107,8 +132,8 @@ def bucket(elements: np.ndarray) -> np.ndarray:
     return (mix(elements + U64(0x510E527F)) >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def commonness(docs: DataFrame, k: int) -> np.ndarray:
-    """The level of every bucket of shingles, from counts over all documents."""
+def commonness(docs: DataFrame, k: int, bands: Bands) -> np.ndarray:
+    """The level of every bucket of retained shingles, from counts over all documents."""
     width = (1 << BUCKET_BITS) // SLICES
 
     def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -120,7 +145,7 @@ def commonness(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for _, sets in _sets(batches, k):
-            total += np.bincount(bucket(np.concatenate(sets)), minlength=len(total))
+            total += np.bincount(bucket(np.concatenate([bands.retained(s) for s in sets])), minlength=len(total))
         yield rows({i: x for i, x in enumerate(total.reshape(SLICES, width)) if x.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +262,8 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
         levels = np.frombuffer(zlib.decompress(packed_levels), np.uint8)
         parts, size = [], 0
         for ids, sets in _sets(batches, k):
-            bits = [parity_bits(s) for s in sets]
-            short = pa.array([folded(b, max(8, len(b) // 4)).tobytes() for b in bits], pa.binary())
+            bits = [bands.bits(s) for s in sets]
+            short = pa.array([bands.short(b).tobytes() for b in bits], pa.binary())
             bits = pa.array([b.tobytes() for b in bits], pa.binary())
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
             yield plain(doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short)
@@ -289,14 +314,13 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name if c == "doc_id" else f"{name}_{c}") for c in df.columns))
 
 
-def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that bit counts leave possible."""
+def _bounded(pairs: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that their bits leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            least = [apart(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(batch.column(4), batch.column(5), strict=True)]
-            keep = (total - np.array(least, np.int64)) * (den + num) >= total * (2 * num)
+            keep = bands.possible(total, *([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (4, 5)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "a_n_shingles", "b_n_shingles", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
@@ -312,11 +336,12 @@ def _beside(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
     return split.join(table, [side, "split"]).drop("split")
 
 
-def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num: int, den: int, store: Workspace, name: str) -> DataFrame:
-    """Of distinct pairs (a, b), those that link: bit counts first, then exact intersection."""
+def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, bands: Bands, store: Workspace, name: str) -> DataFrame:
+    """Of distinct pairs (a, b), those that link: bits first, then exact intersection."""
+    num, den = bands.num, bands.den
     bits = sketch.select("doc_id", "n_shingles", "bits")
     pairs = store.save(pairs, f"{name}-pairs")
-    near = _bounded(_beside(_beside(pairs, bits, "b"), bits, "a"), num, den).distinct()
+    near = _bounded(_beside(_beside(pairs, bits, "b"), bits, "a"), bands).distinct()
     near = store.save(near, f"{name}-near")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     arrays = store.save(shingle_arrays(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), f"{name}-arrays")
@@ -338,7 +363,7 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, num:
     return links
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+def _cross_pairs(members: DataFrame, bands: Bands, last: bool) -> DataFrame:
     """Pairs of different components within the blocks of a tile, by bit counts.
 
     A block of more than MANY_PAIRS a member gives, unless ``last``, only each member's pair with
@@ -364,9 +389,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFram
         for x in left:
             ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
             ys = ys[part[ys] != part[x]]
-            total = n[ys] + n[x]
             differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
-            fits = (total - differ) * (den + num) >= total * (2 * num)
+            fits = bands.block_fits(n[ys], n[x], differ)
             ys, differ = ys[fits], differ[fits]
             near += [(ids[x], ids[ys[differ.argmin()]])] if len(ys) else []
             held += len(ys)
@@ -414,13 +438,13 @@ def _cross_pairs(members: DataFrame, num: int, den: int, last: bool) -> DataFram
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None) -> DataFrame:
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None, bands: Bands | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module's docstring."""
     store = store or Workspace(docs.sparkSession)
-    bands = Bands(num, den)
+    bands = bands or Bands(num, den)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, size * (den - num) // (2 * (den + num) * GROUP_TILES) + 1)
-    whole = _dealt(docs, k, bands, commonness(docs, k), groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
+    whole = _dealt(docs, k, bands, commonness(docs, k, bands), groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
     whole = store.save(whole, "sketch")
     store.release()
     every = whole.filter("tile is null").drop("tile", "leader", "band")
@@ -432,8 +456,12 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
 
     pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
     pairs = pairs.filter(F.col("n") >= need).select("a", "b").distinct()
-    first = verified(pairs, sketch, docs, k, num, den, store, "star")
-    parts = components(first.unionByName(copies), store, "parts")
+    first = verified(pairs, sketch, docs, k, bands, store, "star")
+    # only copies that may hold other links take part in the rounds: those in tiles, and ids of several texts
+    copies = store.save(copies.distinct(), "copies")
+    several = copies.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
+    own = members.select(F.explode(F.array("doc_id", "leader")).alias("b")).unionByName(reps.select(F.col("rep").alias("b"))).unionByName(several)
+    parts = components(first.unionByName(copies.join(own.distinct(), "b", "left_semi")), store, "parts")
 
     heads = members.select("tile", F.col("leader").alias("doc_id"), "band").distinct()
     shared = members.select("tile", "doc_id", "band").unionByName(heads)
@@ -448,8 +476,8 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
         mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
         mixed = mixed.filter("lo <> hi").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
         rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
-        cross = store.save(_cross_pairs(store.save(rest, f"{turn}-rest"), num, den, turn == "held"), f"{turn}-all")
-        found = verified(cross.filter("b is not null"), sketch, docs, k, num, den, store, turn)
+        cross = store.save(_cross_pairs(store.save(rest, f"{turn}-rest"), bands, turn == "held"), f"{turn}-all")
+        found = verified(cross.filter("b is not null"), sketch, docs, k, bands, store, turn)
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = components(links.unionByName(found), store, f"parts-{turn}")
         held = store.save(cross.filter("b is null").select(F.col("a").alias("tile")), f"{turn}-tiles")
@@ -459,11 +487,13 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
         if not held.limit(1).count():
             break
         shared = shared.join(held, "tile", "left_semi")
-    final = parts.withColumnRenamed("node", "doc_id")
-
-    out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    out = store.save(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components")
-    for name in ("sketch", "reps", "shared", "cross-tiles", "held-tiles"):
+    of = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first"))
+    placed = every.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    # a third of all rows may be copies of one text: its component is looked up by parts
+    final = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(final, ["node", "part"], "left")
+    out = store.save(placed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), "components")
+    for name in ("sketch", "reps", "copies", "shared", "cross-tiles", "held-tiles"):
         store.drop(name)
     store.release()
     return out

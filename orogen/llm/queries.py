@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, toxicity, whitening
+from . import fingerprints, licenses, line_dedup, minhash_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_alignment, token_counts, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return token_alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-word shingles, similarity 0.8: doc_id, n_shingles, component_id, kept."""
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, num=8, den=10)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding on the first four whitened components; a deviation beyond 64 bits is null."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mix_sources,
         op10_suffix_dedup,
         op11_cross_tokenizer_alignment,
+        op12_minhash_near_dedup,
         op13_embedding_whitening,
     )
 }
@@ -122,10 +128,22 @@ t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, count(*)
 SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
 """
 
+_MINHASH = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, d = min(c) AS kept FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY d
+"""
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": _JACCARD,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op9_mix_sources": mixing.oracle(),
     "op10_suffix_dedup": _REPEATS,
+    "op12_minhash_near_dedup": _MINHASH,
 }
