@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .kit import Workspace, slices
 from .tokens import LONG_SPACE, Encoder, Pieces
 
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 NONE, A_END, B_END, BOTH = b".abc"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPAN = re.compile(rb"[.ab]*c")

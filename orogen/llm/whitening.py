@@ -12,7 +12,7 @@
    then every row is whitened.
 
 Sums and deviations are exact: 64-bit arithmetic where a bound on its terms allows, unbounded whole numbers
-otherwise. Deviations have 38 digits.
+otherwise. A deviation of more than 38 digits is null.
 
 Cases: rows with a null vector, or with null or non-finite entries, are dropped. Vectors of another length than
 the most common one (the longer of two) have no place in a matrix and are dropped as well. Entries beyond 64 bits
@@ -218,7 +218,7 @@ class Fit:
             apart = x * np.int64(self.n) - sums.astype(np.int64)
             return pa.array((apart * apart).sum(1)).cast(_WIDE)
         apart = x.astype(object) * self.n - sums
-        return pa.array([Decimal(int(v)) for v in (apart * apart).sum(1)], _WIDE)
+        return pa.array([Decimal(int(v)) if v < 10**38 else None for v in (apart * apart).sum(1)], _WIDE)
 
 
 def whiten(rows: DataFrame, components: int = 4, vector: str = "embedding", ids: str = "vec_id", store: Workspace | None = None) -> DataFrame:
