@@ -7,7 +7,9 @@ the share of them that both sets hold estimates their similarity.
 Threshold. With s shared hashes in the union's sketch of k, and x + y shingles in sum, linked sets hold
 ceil(num (x + y) / (num + den)) of at most floor(den (x + y) / (num + den)) shingles in common, so s is at least
 hypergeometric. A pair goes on to the exact check if s reaches the quantile that a link falls below with a
-chance of MISS. Where the union has k shingles at most, s is the overlap itself and nothing is estimated.
+chance of MISS. Where the union has k shingles at most, s is the overlap itself and nothing is estimated. Pairs are judged by
+the first ESTIMATE values of a sketch, lists are made of all K: most texts have fewer shingles than that, and
+their lists are as sharp as those of whole sets.
 
 Inverted lists. s shared hashes are s common retained values at least, so in any order of values, two
 linked sketches share l of their first |sketch| - s + l. Lists are kept of those first values only, rarest first
@@ -29,10 +31,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Workspace
-from .ngram_join import Bands, folded, parity_bits, similarity_components
+from .kit import U64, Workspace, mix
+from .ngram_join import Bands, similarity_components
 
-K, MISS, SHORT_WORDS = 64, 1e-7, 4
+K, ESTIMATE, MISS, SHORT_WORDS = 512, 128, 1e-7, 8
 
 
 def shared_quantile(population: int, common: int, draws: int, miss: float) -> int:
@@ -49,53 +51,66 @@ def shared_quantile(population: int, common: int, draws: int, miss: float) -> in
 
 
 class SketchBands(Bands):
-    """Size bands whose tiles are inverted lists of retained values, and the union-sketch test."""
+    """Size bands whose tiles are inverted lists of retained values, and the union-sketch test.
 
-    def __init__(self, num: int, den: int, k: int = K, miss: float = MISS):
+    Lists are made of k retained values, estimates of the first ``estimate`` of them, as 32 bits each.
+    """
+
+    one_first, bits_type = True, np.uint32
+
+    def __init__(self, num: int, den: int, k: int = K, estimate: int = ESTIMATE, miss: float = MISS):
         super().__init__(num, den)
-        self.k = k
+        self.k, self.estimate = k, estimate
         # by the sum of sizes; the larger the population, the wider the spread, and the last entry serves for all beyond
-        self.least_shared = np.array([self._least(n, miss) for n in (*range(64 * k), 1 << 22)])
-        self.shared = [1, *(min(l, int(self._lowest(n))) for l, n in zip(((2 + min(n, k) // 20) for n in self.least[1:]), self.least[1:], strict=True))]
+        self.listed, self.estimated = (np.array([self._least(n, d, miss) for n in (*range(8 * d), *range(8 * d, 64 * d, 64), 1 << 22)]) for d in (k, estimate))
+        self.listed, self.estimated = (self._every(t, d) for t, d in ((self.listed, k), (self.estimated, estimate)))
+        self.shared = [1, *(min(2 + min(n, k) // 40, self._lowest(n, n)) for n in self.least[1:])]
 
-    def _least(self, total: int, miss: float) -> int:
+    @staticmethod
+    def _every(table: np.ndarray, draws: int) -> np.ndarray:
+        """Entries for every sum: a coarse step has the lower of its ends."""
+        fine, rest = table[: 8 * draws], table[8 * draws :]
+        return np.concatenate([fine, np.repeat(np.minimum(rest[:-1], rest[1:]), 64), rest[-1:]])
+
+    def _least(self, total: int, draws: int, miss: float) -> int:
         common = self.overlap(total, 0)
         union = max(total - common, 1)
-        return min(common, union) if union <= self.k else shared_quantile(union, common, self.k, miss)
+        return min(common, union) if union <= draws else shared_quantile(union, common, draws, miss)
 
-    def at_least(self, total: np.ndarray) -> np.ndarray:
-        """The shared values that a link with ``total`` shingles in sum has."""
-        return self.least_shared[np.minimum(total, len(self.least_shared) - 1)]
-
-    def _lowest(self, n: int) -> int:
-        """The shared values that a set of size ``n`` has with any partner."""
-        lo, hi = n + -(-n * self.num // self.den), n + n * self.den // self.num
-        top = len(self.least_shared) - 1
-        return int(self.least_shared[min(lo, top) : min(hi, top) + 1].min())
+    def _lowest(self, n: int, smallest: int) -> int:
+        """The shared values that a set of size ``n`` has with any partner from ``smallest`` on."""
+        lo, hi = (min(n + y, len(self.listed) - 1) for y in (smallest, n * self.den // self.num))
+        return int(self.listed[lo : max(lo, hi) + 1].min())
 
     def of(self, n: int) -> list[tuple[int, int]]:
         size = min(n, self.k)
-        return [(j, min(size, max(1, size - self._lowest(n) + self.shared[j]))) for j, _ in super().of(n)]
+        return [(j, min(size, max(1, size - self._lowest(n, y) + self.shared[j]))) for j, y in self.partners(n)]
+
+    def at_least(self, total: np.ndarray) -> np.ndarray:
+        """The shared values in the union's sketch that a link with ``total`` shingles in sum has."""
+        return self.estimated[np.minimum(total, len(self.estimated) - 1)]
 
     def retained(self, elements: np.ndarray) -> np.ndarray:
         return elements[: self.k]  # sets are sorted by hash
 
     def bits(self, elements: np.ndarray) -> np.ndarray:
-        return elements[: self.k]
+        return (elements[: self.estimate] >> U64(32)).astype(np.uint32)
 
     def short(self, bits: np.ndarray) -> np.ndarray:
-        return folded(parity_bits(bits), SHORT_WORDS)
+        count = np.bincount((mix(bits.astype(np.uint64)) & U64(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS)
+        return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
 
     def possible(self, n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        return np.array([self._union(x, y) for x, y in zip(a, b, strict=True)], np.int64) >= self.at_least(n)
+        # two values of one set may have the same 32 bits: one is allowed for
+        return np.array([self._union(x, y) for x, y in zip(a, b, strict=True)], np.int64) + 1 >= self.at_least(n)
 
     def _union(self, x: np.ndarray, y: np.ndarray) -> int:
         """Shared values within the sketch of the union."""
-        union, times = np.unique(np.concatenate([x, y]), return_counts=True)
-        return int((times[: self.k] == 2).sum()) if len(union) > self.k else int((times == 2).sum())
+        _, times = np.unique(np.concatenate([np.unique(x), np.unique(y)]), return_counts=True)
+        return int((times[: self.estimate] == 2).sum())
 
     def block_fits(self, n: np.ndarray, of: int, differ: np.ndarray) -> np.ndarray:
-        both = np.minimum(n, self.k) + min(of, self.k) - differ
+        both = np.minimum(n, self.estimate) + min(of, self.estimate) - differ
         return both >= 2 * self.at_least(n + of)
 
 

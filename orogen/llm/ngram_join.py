@@ -65,8 +65,11 @@ class Bands:
 
     ``shared[i]`` is how many tiles of band i linked sets share at least. Band 0 holds
     sets of one shingle, which have no tiles; its number serves for one shared tile.
+    ``one_first``: a set's pair with the leader of most of its tiles is judged before its others.
     """
 
+    one_first, bits_type = False, np.uint64
+
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.top = [1]
@@ -80,13 +83,17 @@ class Bands:
         """The least intersection of linked sets of these sizes."""
         return -(-self.num * (x + y) // (self.num + self.den))
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """The bands whose tiles a set of size n enters, each with its number of first shingles."""
+    def partners(self, n: int) -> list[tuple[int, int]]:
+        """The bands whose tiles a set of size n enters, each with its smallest partner there."""
         i = int(np.searchsorted(self.top, n))
-        smallest = {i: max(self.least[i], -(-n * self.num // self.den))}  # partner met there
+        smallest = {i: max(self.least[i], -(-n * self.num // self.den))}
         if n * self.den // self.num > self.top[i]:
             smallest[i + 1] = self.top[i] + 1
-        return [(j, min(n, n - self.overlap(n, y) + self.shared[j])) for j, y in smallest.items() if self.most[j]]
+        return [(j, y) for j, y in smallest.items() if self.most[j]]
+
+    def of(self, n: int) -> list[tuple[int, int]]:
+        """The bands whose tiles a set of size n enters, each with its number of first shingles."""
+        return [(j, min(n, n - self.overlap(n, y) + self.shared[j])) for j, y in self.partners(n)]
 
     def retained(self, elements: np.ndarray) -> np.ndarray:
         """What of a set tiles are made of."""
@@ -320,7 +327,7 @@ def _bounded(pairs: DataFrame, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = bands.possible(total, *([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (4, 5)))
+            keep = bands.possible(total, *([np.frombuffer(v.as_buffer(), bands.bits_type) for v in batch.column(i)] for i in (4, 5)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "a_n_shingles", "b_n_shingles", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
@@ -455,13 +462,25 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     copies = sketch.join(reps, ["n_shingles", "k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
-    pairs = pairs.filter(F.col("n") >= need).select("a", "b").distinct()
-    first = verified(pairs, sketch, docs, k, bands, store, "star")
+    pairs = pairs.filter(F.col("n") >= need)
+    if bands.one_first:
+        pairs = store.save(pairs, "leads")
+        first = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    else:
+        first = pairs.select("a", "b").distinct()
+    first = verified(first, sketch, docs, k, bands, store, "star")
     # only copies that may hold other links take part in the rounds: those in tiles, and ids of several texts
     copies = store.save(copies.distinct(), "copies")
     several = copies.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
     own = members.select(F.explode(F.array("doc_id", "leader")).alias("b")).unionByName(reps.select(F.col("rep").alias("b"))).unionByName(several)
     parts = components(first.unionByName(copies.join(own.distinct(), "b", "left_semi")), store, "parts")
+    if bands.one_first:
+        apart = pairs
+        for side in ("a", "b"):
+            apart = apart.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+        found = verified(apart.filter("a_in <> b_in").select("a", "b").distinct(), sketch, docs, k, bands, store, "others")
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), store, "parts-others")
+        store.drop("leads")
 
     heads = members.select("tile", F.col("leader").alias("doc_id"), "band").distinct()
     shared = members.select("tile", "doc_id", "band").unionByName(heads)
