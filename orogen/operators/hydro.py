@@ -1,92 +1,21 @@
-"""Hydrology: depression filling, breaching, flow directions, drainage and incision.
+"""Hydrology: flow directions, channels along receivers, incision and cross sections.
 
-Filling and drainage are fixpoints over the grid. Both run as rounds of a tile kernel: a
-tile solves its own cells exactly, given its neighbours' border values of the last round,
-and rounds go on until no value changes. The number of rounds follows how often a flow
-path crosses tiles, not its length. Each round is a written table, so a lost executor
-costs one round at most and plans stay short.
+Depressions are filled in ``flood``, areas summed in ``accumulate``; both take two passes over the grid by tiles
+and solve what lies between on the tiles' edges. Least-cost breaching is in ``breaching``, distances to channels
+and carving in ``channels``, all steps in a row in ``routing``.
 """
 
 from __future__ import annotations
 
-import heapq
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import gradient
+from .rounds import DIRECTIONS, Rounds
 from .tiles import tiled
 
-DIRECTIONS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))  # (dz, dx), by eighths of a turn
-
-
-class Rounds:
-    """Written tables of a loop, under the session's checkpoint folder."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        top = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not top and not self.spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = top or f"file://{tempfile.gettempdir()}/checkpoints"
-        self.root = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, turn: int | str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{turn}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{turn}")
-
-
-def _near(z: int, x: int, rows: int, columns: int, eight: bool):
-    for k, (dz, dx) in enumerate(DIRECTIONS):
-        if (eight or k % 2 == 0) and 0 <= z + dz < rows and 0 <= x + dx < columns:
-            yield z + dz, x + dx
-
-
-def flood(h: np.ndarray, w: np.ndarray, fixed: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Water levels of a tile by a priority flood from the cells whose level is ``fixed``."""
-    level = np.where(fixed, w, np.inf)
-    queue = [(float(level[z, x]), int(z), int(x)) for z, x in zip(*np.nonzero(fixed & np.isfinite(w)), strict=True)]
-    heapq.heapify(queue)
-    while queue:
-        top, z, x = heapq.heappop(queue)
-        if top > level[z, x]:
-            continue
-        for a, b in _near(z, x, *h.shape, eight):
-            new = max(top, h[a, b])
-            if not fixed[a, b] and new < level[a, b]:
-                level[a, b] = new
-                heapq.heappush(queue, (float(new), a, b))
-    return level
-
-
-def fill(grid: DataFrame, tile: int = 256, eight: bool = False, most_rounds: int = 1000) -> DataFrame:
-    """(z, x, h, w): every cell's level w, the lowest maximum of heights on a way to the border.
 
-    Cells on the world's border keep their height.
-    """
-    keep = Rounds(grid, "fill")
-    ends = grid.agg(F.min("z"), F.max("z"), F.min("x"), F.max("x")).first()
-    top, bottom, left, right = map(int, ends)
-
-    def kernel(h: np.ndarray, w: np.ndarray, own: np.ndarray, z0: int, x0: int) -> dict[str, np.ndarray]:
-        z, x = np.arange(z0, z0 + h.shape[0])[:, None], np.arange(x0, x0 + h.shape[1])[None, :]
-        border = (z == top) | (z == bottom) | (x == left) | (x == right)
-        known = np.where(border, h, w)  # the halo's levels of the last round are given
-        level = flood(h, known, border | ~own, eight)
-        return {"h": h, "w": level, "changed": (level != w).astype(bool)}
-
-    state = keep.save(grid.select("z", "x", F.col("h").cast("double").alias("h"), F.lit(float("inf")).alias("w")), "start")
-    for turn in range(most_rounds):
-        state = keep.save(tiled(state.select("z", "x", "h", "w"), kernel, ["h", "w"], "z int, x int, h double, w double, changed boolean", tile, 1), turn)
-        if not state.filter("changed").limit(1).count():
-            return state.select("z", "x", "h", "w")
-    raise RuntimeError("filling did not settle")
-
-
-def flow(filled: DataFrame, spacing: float = 1.0) -> DataFrame:
+def flow(filled: DataFrame, spacing: float = 1.0, tile: int = 256) -> DataFrame:
     """Adds receivers k1, k2 (eighths of a turn, -1 for none) and their shares p1, p2.
 
     Flow leaves along -grad w, divided between the two neighbouring directions by angle.
@@ -122,38 +51,10 @@ def flow(filled: DataFrame, spacing: float = 1.0) -> DataFrame:
         scale = np.where(total > 0, total, 1.0)
         return {"k1": np.where(alone, spare, k1), "p1": np.where(alone, 1.0, p1 / scale), "k2": np.where(alone, -1, k2), "p2": np.where(alone, 0.0, p2 / scale)}
 
-    out = tiled(filled.select("z", "x", "w"), kernel, ["w"], "z int, x int, k1 int, p1 double, k2 int, p2 double", 256, 1)
+    out = tiled(filled.select("z", "x", "w"), kernel, ["w"], "z int, x int, k1 int, p1 double, k2 int, p2 double", tile, 1)
     return filled.join(out, ["z", "x"])
 
 
-def drainage(directed: DataFrame, tile: int = 256, most_rounds: int = 1000) -> DataFrame:
-    """(z, x, area): one plus the shares of the areas that flow in."""
-    keep = Rounds(directed, "drain")
-
-    def kernel(w, k1, p1, k2, p2, area, own, z0, x0):  # noqa: ANN001, ANN202
-        rows, columns = w.shape
-        total = np.ones(w.shape)
-        for i in np.lexsort((-np.arange(w.size), -w.ravel())).tolist():  # highest first; receivers come later
-            z, x = divmod(i, columns)
-            if not own[z, x]:
-                total[z, x] = area[z, x]  # a halo cell's area of the last round is given
-            for k, p in ((k1[z, x], p1[z, x]), (k2[z, x], p2[z, x])):
-                if k >= 0:
-                    a, b = z + DIRECTIONS[int(k)][0], x + DIRECTIONS[int(k)][1]
-                    if 0 <= a < rows and 0 <= b < columns:
-                        total[a, b] += p * total[z, x]
-        return {"w": w, "k1": k1.astype(int), "p1": p1, "k2": k2.astype(int), "p2": p2, "area": total, "changed": np.abs(total - area) > 1e-9 * np.abs(total)}
-
-    schema = "z int, x int, w double, k1 int, p1 double, k2 int, p2 double, area double, changed boolean"
-    columns = ["w", "k1", "p1", "k2", "p2", "area"]
-    state = keep.save(directed.select("z", "x", *columns[:-1], F.lit(1.0).alias("area")), "start")
-    for turn in range(most_rounds):
-        state = keep.save(tiled(state.select("z", "x", *columns), kernel, columns, schema, tile, 1), turn)
-        if not state.filter("changed").limit(1).count():
-            return state.select("z", "x", "area")
-    raise RuntimeError("drainage did not settle")
-
-
 def breach(directed: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(z, x, h): lowers cells along the main receiver's path so that no step goes up.
 
@@ -210,12 +111,3 @@ def cross_section(distance: Column, kind: Column, depth: Column, half_width: Col
     bar = F.when(r <= 0.5, -depth).otherwise(-0.9 * depth)
     flat = F.when(inside, bar).when(r <= 1.25, 0.1 * depth).otherwise(0.0)
     return F.when(kind == "torrent", vee).when(kind == "river", bowl).otherwise(flat)
-
-
-def routed(grid: DataFrame, spacing: float = 1.0, k_erosion: float = 0.01, tile: int = 256) -> DataFrame:
-    """(z, x, h, w, area, gradient, dh, channel): the four steps in a row."""
-    directed = flow(fill(grid, tile), spacing)
-    field = directed.select("z", "x", "h", "w").join(drainage(directed, tile), ["z", "x"])
-    slope = gradient(field.select("z", "x", F.col("w").alias("h")), spacing).select("z", "x", F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz")).alias("gradient"))
-    out = field.join(slope, ["z", "x"])
-    return out.withColumns({"dh": incision(k_erosion), "channel": channel_class()})

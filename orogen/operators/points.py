@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import uniform
-from .hydro import Rounds
+from .rounds import Rounds
 
 
 def target_density(p: Column, most: float = 1.0) -> Column:

@@ -25,6 +25,11 @@ def side(spark: SparkSession, sf_dir: str) -> int:
     return max(2, 1 << max(0, math.floor(math.log2(max(1.0, math.sqrt(rows) / ROOT)))))
 
 
+def tile(spark: SparkSession, sf_dir: str) -> int:
+    """A quarter of the side, 256 at most, so that every grid has several tiles each way."""
+    return max(4, min(256, side(spark, sf_dir) // 4))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(z, x, h): a blend of each cell's lowest and highest price."""
     n = side(spark, sf_dir)

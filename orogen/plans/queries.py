@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import responses
 from ..functions.maths import lattice_noise, normal, smooth_max, uniform
-from ..operators import curves, dither, hydro, points, render, weather, world
+from ..operators import accumulate, breaching, channels, curves, dither, flood, hydro, points, render, rounds, routing, weather, world
 from ..operators import grid as grids
 from ..sources import config, png
 from . import fixtures as fx
@@ -352,19 +352,19 @@ fill AS (SELECT 0 AS step, z, x, h, CASE WHEN z IN (z0, z1) OR x IN (x0, x1) THE
 @query(f"WITH RECURSIVE {fx.GRID}, {_FILL} SELECT z, x, h, w FROM fill WHERE step = 250")
 def pit_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every depression raised to its spill level."""
-    return hydro.fill(fx.grid(spark, sf_dir), tile=32)
+    return flood.fill(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {fx.GRID}, {_FILL} SELECT CAST(floor((w - h) / 16) AS BIGINT) AS depth_band, count(*) AS cells, max(w - h) AS deepest FROM fill WHERE step = 250 GROUP BY 1")
 def fill_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hydro.fill(fx.grid(spark, sf_dir), tile=64).withColumn("depth", F.col("w") - F.col("h"))
+    out = flood.fill(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir)).withColumn("depth", F.col("w") - F.col("h"))
     return out.groupBy(F.floor(F.col("depth") / 16).alias("depth_band")).agg(F.count("*").alias("cells"), F.max("depth").alias("deepest"))
 
 
 @query()
 def breach_carving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surface lowered along receivers until no step goes up."""
-    return hydro.breach(hydro.flow(hydro.fill(fx.grid(spark, sf_dir), tile=64), fx.SPACING))
+    return hydro.breach(hydro.flow(flood.fill(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir)), fx.SPACING, fx.tile(spark, sf_dir)))
 
 
 _AWAY = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
@@ -389,7 +389,7 @@ fl AS (SELECT z, x, h, CASE WHEN r1 + r2 = 0 AND lo < 1e300 THEN {"CASE " + " ".
 @query(f"WITH {fx.GRID}, {_neighbour_sql()} SELECT z, x, CAST(k1 AS INT) AS k1, round(p1, 9) AS p1, CAST(k2 AS INT) AS k2, round(p2, 9) AS p2 FROM fl")
 def flow_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receivers and shares on the unfilled grid."""
-    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING)
+    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING, fx.tile(spark, sf_dir))
     return directed.select("z", "x", "k1", F.round("p1", 9).alias("p1"), "k2", F.round("p2", 9).alias("p2"))
 
 
@@ -411,26 +411,62 @@ _FILLED = f"{_FILL}, fw AS (SELECT z, x, w AS h FROM fill WHERE step = 250), {_n
 @query(f"WITH RECURSIVE {fx.GRID}, {_FILLED}, {_EDGES} SELECT count(*) FILTER (WHERE b.h > a.h) AS climbs, count(*) AS steps FROM ed JOIN fw a ON a.z = ed.z AND a.x = ed.x JOIN fw b ON b.z = tz AND b.x = tx")
 def flow_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps to a receiver on the filled surface, and those that go up: none."""
-    directed = hydro.flow(hydro.fill(fx.grid(spark, sf_dir), tile=64), fx.SPACING)
+    directed = hydro.flow(flood.fill(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir)), fx.SPACING, fx.tile(spark, sf_dir))
     return hydro.climbs(directed).select("climbs", "steps")
 
 
 @query(f"WITH RECURSIVE {fx.GRID}, {_neighbour_sql()}, {_area_sql(120)} SELECT z, x, round(area, 6) AS area FROM ar WHERE step = 120")
 def drainage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drainage area on the unfilled grid."""
-    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING)
-    return hydro.drainage(directed, tile=32).select("z", "x", F.round("area", 6).alias("area"))
+    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING, fx.tile(spark, sf_dir))
+    return accumulate.drainage(directed, fx.tile(spark, sf_dir)).select("z", "x", F.round("area", 6).alias("area"))
+
+
+CHANNEL_AREA = 20.5  # cells; no sum of whole areas, so that rounding decides nothing
+
+
+def _nearest_sql(area: str) -> str:
+    """ne: every cell's nearest channel of a table (z, x, area), cu: the cut of its cross section."""
+    return f"""ch AS (SELECT z AS cz, x AS cx, area AS ca FROM {area} WHERE area >= {CHANNEL_AREA}),
+ne AS (SELECT c.z, c.x, any_value(c.area) AS area, arg_min((cz, cx, ca, sqrt(d2)), (d2, cz, cx)) AS q
+       FROM (SELECT o.z, o.x, o.area, cz, cx, ca, (o.z - cz) * (o.z - cz) + (o.x - cx) * (o.x - cx) AS d2 FROM {area} o LEFT JOIN ch ON true) c GROUP BY 1, 2),
+nf AS (SELECT z, x, area, q[1] AS channel_z, q[2] AS channel_x, q[3] AS ca, q[4] AS distance, q[4] / (1.0 + 0.1 * sqrt(q[3])) AS r, 0.5 * pow(q[3], 0.4) AS depth FROM ne),
+cu AS (SELECT z, x, area, channel_z, channel_x, distance, coalesce(CASE WHEN ca < 500 THEN CASE WHEN r <= 1 THEN -depth * (1.0 - r) ELSE 0.0 END
+         WHEN ca < 5000 THEN CASE WHEN r <= 1 THEN -depth * (1.0 - r * r * r * r) ELSE 0.0 END
+         ELSE CASE WHEN r <= 0.5 THEN -depth WHEN r <= 1 THEN -0.9 * depth WHEN r <= 1.25 THEN 0.1 * depth ELSE 0.0 END END, 0.0) AS cut FROM nf)"""
 
 
 @query(
-    f"""WITH RECURSIVE {fx.GRID}, {_FILLED}, {_area_sql(600)}, o AS (SELECT z, x, area, sqrt(gx * gx + gz * gz) AS s FROM ar JOIN pr USING (z, x) WHERE step = 600)
-SELECT z, x, g.h, fw.h AS w, round(area, 6) AS area, round(s, 9) AS gradient, round(-0.01 * sqrt(area) * s, 9) + 0.0 AS dh,
-  CASE WHEN area < 500 THEN 'torrent' WHEN area < 5000 THEN 'river' ELSE 'floodplain' END AS channel FROM o JOIN g USING (z, x) JOIN fw USING (z, x)"""
+    f"""WITH RECURSIVE {fx.GRID}, {_FILLED}, {_area_sql(600)}, o AS (SELECT z, x, area, sqrt(gx * gx + gz * gz) AS s FROM ar JOIN pr USING (z, x) WHERE step = 600), {_nearest_sql('o')}
+SELECT z, x, g.h, fw.h AS w, round(o.area, 6) AS area, round(s, 9) AS gradient, round(-0.01 * sqrt(o.area) * s, 9) + 0.0 AS dh,
+  CASE WHEN o.area < 500 THEN 'torrent' WHEN o.area < 5000 THEN 'river' ELSE 'floodplain' END AS channel,
+  channel_z, channel_x, round(distance, 9) AS distance, round(cut, 6) + 0.0 AS cut, round(fw.h - 0.01 * sqrt(o.area) * s + cut, 6) + 0.0 AS bed FROM o JOIN g USING (z, x) JOIN fw USING (z, x) JOIN cu USING (z, x)"""
 )
 def river_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filling, drainage, incision and channel class in a row."""
-    out = hydro.routed(fx.grid(spark, sf_dir), fx.SPACING, tile=64)
-    return out.select("z", "x", "h", "w", F.round("area", 6).alias("area"), F.round("gradient", 9).alias("gradient"), (F.round("dh", 9) + 0.0).alias("dh"), "channel")
+    """Filling, drainage, incision, channel class, nearest channel and river bed in a row."""
+    out = routing.routed(fx.grid(spark, sf_dir), fx.SPACING, tile=fx.tile(spark, sf_dir), least_area=CHANNEL_AREA)
+    rounded = {"area": 6, "gradient": 9, "dh": 9, "distance": 9, "cut": 6, "bed": 6}
+    return out.select("z", "x", "h", "w", "channel", "channel_z", "channel_x", *((F.round(c, n) + 0.0).alias(c) for c, n in rounded.items()))
+
+
+@query(f"WITH RECURSIVE {fx.GRID}, {_neighbour_sql()}, {_area_sql(120)}, o AS (SELECT z, x, area FROM ar WHERE step = 120), {_nearest_sql('o')} SELECT z, x, channel_z, channel_x, round(distance, 9) AS distance, round(cut, 6) + 0.0 AS cut FROM cu")
+def channel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest channel of every cell by exact distance, and the cut of its cross section, on the unfilled grid."""
+    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING, fx.tile(spark, sf_dir))
+    near = channels.carve(channels.nearest_channel(accumulate.drainage(directed, fx.tile(spark, sf_dir)), CHANNEL_AREA))
+    return near.select("z", "x", "channel_z", "channel_x", F.round("distance", 9).alias("distance"), (F.round("cut", 6) + 0.0).alias("cut"))
+
+
+@query()
+def least_cost_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface with every pit's cheapest way to lower ground cut to the pit's height."""
+    return breaching.breach(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir))[0]
+
+
+@query()
+def breach_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pit, and what its cheapest way costs."""
+    return breaching.breach(fx.grid(spark, sf_dir), fx.tile(spark, sf_dir))[1]
 
 
 @query(f"WITH {fx.GRID}, {fx.GRADIENT} SELECT z, x, round(-0.01 * pow(h + 65, 0.5) * pow(sqrt(gx * gx + gz * gz), 1.0), 9) AS dh FROM f")
@@ -662,7 +698,7 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LEVELS} SELECT z, x, v FROM v")
 def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels written as 16-bit PNG tiles and read back."""
-    keep = hydro.Rounds(fx.grid(spark, sf_dir), "png")
+    keep = rounds.Rounds(fx.grid(spark, sf_dir), "png")
     tiles = keep.save(png.encoded(_levels(spark, sf_dir), "v", 16, 48), "tiles")
     return png.decoded_tiles(tiles, 48)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orogen.functions import responses as R
 from orogen.functions.maths import normal, smooth_max, uniform
-from orogen.operators import curves, dither, grid, hydro, points, render, tiles, weather, world
+from orogen.operators import accumulate, curves, dither, flood, grid, hydro, points, render, tiles, weather, world
 from orogen.sources import config, png
 
 
@@ -97,7 +97,7 @@ def test_weathering_conserves_mass_and_ignores_tiles(spark, mode):
         assert steep(one) <= steep(a) + 1e-9
 
 
-def flood(a):
+def water_levels(a):
     """Reference levels: relax until nothing changes."""
     w = np.full(a.shape, np.inf)
     w[0], w[-1], w[:, 0], w[:, -1] = a[0], a[-1], a[:, 0], a[:, -1]
@@ -111,11 +111,11 @@ def flood(a):
 
 def test_hydrology_across_tiles(spark):
     a = np.random.default_rng(2).uniform(0, 9, (20, 23))
-    filled = hydro.fill(plane(spark, a), tile=6)
-    assert array_of(filled, "w", a.shape) == pytest.approx(flood(a))
+    filled = flood.fill(plane(spark, a), tile=6)
+    assert array_of(filled, "w", a.shape) == pytest.approx(water_levels(a))
     directed = hydro.flow(filled)
     assert hydro.climbs(directed).first()["climbs"] == 0
-    area = array_of(hydro.drainage(directed, tile=6), "area", a.shape)
+    area = array_of(accumulate.drainage(directed, tile=6), "area", a.shape)
     want = np.ones(a.shape)
     cells = sorted(directed.collect(), key=lambda r: (-r["w"], -r["z"], -r["x"]))
     for r in cells:
