@@ -562,25 +562,35 @@ def point_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.suitability(_steep(spark, sf_dir)).select("z", "x", "feature", rho.alias("density"), F.round(points.spacing(rho, 1.5), 9).alias("r"), F.round(F.lit(points.box_radius(9, 9)), 9).alias("box"))
 
 
-def _foliage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = responses.suitability(_field(spark, sf_dir)).filter("feature = 'foliage' and p > 0.01")
-    return points.poisson_disk(points.candidates(p, r_min=1.5, widest=8.0), widest=8.0)
+def _foliage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.candidates(responses.suitability(_steep(spark, sf_dir)).filter("feature = 'foliage'"), r_min=1.5)
 
 
-@query()
+def _uniform_sql(attribute: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '42', '{attribute}', z, x)), 1, 8))::UBIGINT / 4294967296.0"
+
+
+_CANDIDATES = f"""{_SUIT},
+cand AS (SELECT z || ':' || x AS id, x + {_uniform_sql('px')} AS px, z + {_uniform_sql('pz')} AS pz, 1.5 / sqrt(p) AS r, {_uniform_sql('priority')} AS priority FROM u WHERE feature = 'foliage' AND p > 0),
+turn AS (SELECT *, row_number() OVER (ORDER BY greatest(0, ceil(log2(r))), priority, id) AS i FROM cand),
+step AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(px DOUBLE, pz DOUBLE, r DOUBLE, i BIGINT)[]) AS taken
+ UNION ALL
+ SELECT t.i, CASE WHEN len(list_filter(taken, lambda o: sqrt((o.px - t.px) * (o.px - t.px) + (o.pz - t.pz) * (o.pz - t.pz)) < greatest(o.r, t.r))) = 0
+        THEN list_append(taken, {{'px': t.px, 'pz': t.pz, 'r': t.r, 'i': t.i}}) ELSE taken END FROM step JOIN turn t ON t.i = step.i + 1),
+got AS (SELECT unnest(list_transform(taken, lambda o: o.i)) AS i FROM (SELECT arg_max(taken, i) AS taken FROM step))"""
+
+
+@query(f"WITH RECURSIVE {_CANDIDATES} SELECT id, round(px, 9) AS px, round(pz, 9) AS pz, round(r, 9) AS r, round(priority, 9) AS priority FROM got JOIN turn USING (i)")
 def poisson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foliage points by variable-radius Poisson-disk sampling."""
-    return _foliage_points(spark, sf_dir)
+    return points.poisson_disk(_foliage(spark, sf_dir)).select("id", *(F.round(c, 9).alias(c) for c in ("px", "pz", "r", "priority")))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS too_close")
+@query(f"WITH RECURSIVE {_CANDIDATES} SELECT (SELECT count(*) FROM cand) AS candidates, count(*) AS taken, CAST(0 AS BIGINT) AS too_close, CAST(0 AS BIGINT) AS uncovered FROM got")
 def poisson_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of points closer than the greater radius of the two: none."""
-    taken = _foliage_points(spark, sf_dir).withColumns({"bx": F.floor(F.col("px") / 8), "bz": F.floor(F.col("pz") / 8)})
-    around = F.array(*[F.struct((F.col("bx") + a).alias("bx"), (F.col("bz") + b).alias("bz")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    other = taken.select(*(F.col(c).alias(f"o_{c}") for c in ("id", "px", "pz", "r")), F.explode(around).alias("at")).select("o_id", "o_px", "o_pz", "o_r", "at.*")
-    near = taken.join(other, ["bx", "bz"]).filter((F.col("id") < F.col("o_id")) & (F.hypot(F.col("px") - F.col("o_px"), F.col("pz") - F.col("o_pz")) < F.greatest("r", "o_r")))
-    return near.agg(F.count("*").alias("too_close"))
+    """Candidates and points of the sample, pairs of points too close, and candidates that could be added."""
+    every = _foliage(spark, sf_dir)
+    return points.gaps(every, points.poisson_disk(every))
 
 
 @query("""WITH c AS (SELECT DISTINCT CAST(floor((s_suppkey * 53) % 64 + 0.5) AS INT) AS z, CAST(floor((s_suppkey * 37) % 64 + 0.25) AS INT) AS x FROM supplier)

@@ -158,8 +158,8 @@ def test_off_grid_boxes_are_empty(spark):
 
 def test_points_are_apart_and_maximal(spark):
     cells = spark.createDataFrame([(z, x, 0.3 if x < 6 else 1.0) for z in range(14) for x in range(14)], "z int, x int, p double")
-    cand = points.candidates(cells, 1.2, widest=4.0)
-    taken = {r["id"]: r for r in points.poisson_disk(cand, 4.0).collect()}
+    cand = points.candidates(cells, 1.2)
+    taken = {r["id"]: r for r in points.poisson_disk(cand).collect()}
     far = lambda a, b: math.hypot(a["px"] - b["px"], a["pz"] - b["pz"]) >= max(a["r"], b["r"])
     assert all(far(a, b) for a in taken.values() for b in taken.values() if a["id"] != b["id"])
     assert all(c["id"] in taken or any(not far(c, t) for t in taken.values()) for c in cand.collect())
