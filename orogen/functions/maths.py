@@ -1,9 +1,11 @@
-"""Scalar expressions shared by the operators; all stay inside generated code."""
+"""Scalar expressions shared by the operators, which stay inside generated code, and the same draws over arrays."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,28 @@ def lattice_noise(seed: int, u: Column, v: Column, scale: float) -> Column:
     near = corner(0, 0) * (1.0 - s) + corner(1, 0) * s
     far = corner(0, 1) * (1.0 - s) + corner(1, 1) * s
     return near * (1.0 - t) + far * t
+
+
+def uniform_of(seed: int, attribute: str, *keys: object) -> float:
+    """``uniform`` in [0, 1) for one row of keys."""
+    return int(hashlib.md5(":".join(map(str, (seed, attribute, *keys))).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def lattice_noise_array(seed: int, u: np.ndarray, v: np.ndarray, scale: float) -> np.ndarray:
+    """``lattice_noise`` over arrays; each lattice point that they touch is drawn once."""
+    i, j = np.floor(u / scale).astype(int), np.floor(v / scale).astype(int)
+    s, t = u / scale - i, v / scale - j
+    low_i, low_j = int(i.min()), int(j.min())
+    drawn = np.full((int(i.max()) - low_i + 2, int(j.max()) - low_j + 2), np.nan)
+    corners = [(i - low_i + a, j - low_j + b) for b in (0, 1) for a in (0, 1)]
+    for at in corners:
+        for a, b in zip(*np.nonzero(np.isnan(drawn) & _marked(drawn.shape, at)), strict=True):
+            drawn[a, b] = 2.0 * uniform_of(seed, "noise", low_i + int(a), low_j + int(b)) - 1.0
+    near, near_2, far, far_2 = (drawn[at] for at in corners)
+    return (near * (1.0 - s) + near_2 * s) * (1.0 - t) + (far * (1.0 - s) + far_2 * s) * t
+
+
+def _marked(shape: tuple[int, int], at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(shape, bool)
+    out[at] = True
+    return out

@@ -1,20 +1,22 @@
 """Guide curves: cubic interpolation of way points, stations and their jitter.
 
-A spline is fitted per way-point list by a small dense solve on the driver (a list is
-a parameter, not data) and becomes a segment table. Evaluation is a join on
-the segment number and Horner's rule.
+Tables of way points are fitted by spline in tasks, with a tridiagonal solve, so one spline's points
+must fit in a task; lists of way points that are parameters are fitted where they are given. Either way the fit is a segment
+table, and evaluation is a join on the segment number and Horner's rule.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.maths import normal, uniform
+from ..functions.maths import normal, uniform, uniform_of
 
 SEGMENT = "spline_id int, seg int, t0 double, t1 double, ax double, bx double, cx double, dx double, az double, bz double, cz double, dz double"
 
@@ -23,7 +25,7 @@ def knots(waypoints: DataFrame) -> DataFrame:
     """Adds t: evenly spaced in [0, 1] by seq within a spline; 0 for a single point."""
     own = Window.partitionBy("spline_id")
     n = F.count("*").over(own)
-    place = F.row_number().over(own.orderBy("seq")) - 1
+    place = F.row_number().over(own.orderBy("seq", "x", "z")) - 1
     return waypoints.withColumn("t", F.when(n > 1, place / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(0.0)))
 
 
@@ -43,20 +45,48 @@ def cubic(t: np.ndarray, y: np.ndarray) -> np.ndarray:
         bend = (rise[1] - rise[0]) / (t[2] - t[0])
         slopes = np.array([rise[0] - bend * h[0], rise[0] + bend * h[0], rise[1] + bend * h[1]])
     else:
-        system, right = np.zeros((n, n)), np.zeros(n)
-        for i in range(1, n - 1):  # second derivatives agree
-            system[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-            right[i] = 3 * (rise[i - 1] * h[i] + rise[i] * h[i - 1])
+        below, middle, above, right = (np.zeros(n) for _ in range(4))
+        below[1:-1], middle[1:-1], above[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]  # second derivatives agree
+        right[1:-1] = 3 * (rise[:-1] * h[1:] + rise[1:] * h[:-1])
         for row, first, second in ((0, 0, 1), (-1, -1, -2)):  # third derivatives agree
             reach = h[first] + h[second]
-            system[row, row], system[row, 1 if row == 0 else -2] = h[second], reach
+            middle[row] = h[second]
+            (above if row == 0 else below)[row] = reach
             right[row] = ((h[first] + 2 * reach) * h[second] * rise[first] + h[first] ** 2 * rise[second]) / reach
-        slopes = np.linalg.solve(system, right)
+        slopes = tridiagonal(below, middle, above, right)
     c = (3 * rise - 2 * slopes[:-1] - slopes[1:]) / h
     d = (slopes[:-1] + slopes[1:] - 2 * rise) / h**2
     return np.stack([y[:-1], slopes[:-1], c, d], 1)
 
 
+def tridiagonal(below: np.ndarray, middle: np.ndarray, above: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves below[i] y[i-1] + middle[i] y[i] + above[i] y[i+1] = right[i], by elimination and back."""
+    b, a, r, m = below.tolist(), above.tolist(), right.tolist(), middle.tolist()
+    for i in range(1, len(m)):
+        w = b[i] / m[i - 1]
+        m[i] -= w * a[i - 1]
+        r[i] -= w * r[i - 1]
+    out = [r[-1] / m[-1]]
+    for i in range(len(m) - 2, -1, -1):
+        out.append((r[i] - a[i] * out[-1]) / m[i])
+    return np.array(out[::-1])
+
+
+def fit(waypoints: DataFrame) -> DataFrame:
+    """The segment table of a table of way points (spline_id, seq, x, z); a spline of one point is one constant segment."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, n = table.column("t").to_numpy(), table.num_rows
+        x, z = (cubic(t, table.column(c).to_numpy()) for c in ("x", "z"))
+        k = len(x)
+        columns = [pa.array([key[0].as_py()] * k, pa.int32()), pa.array(range(k), pa.int32()), t[:k], t[min(1, n - 1) :][:k], *x.T, *z.T]
+        return pa.table([pa.array(c) for c in columns], names=[f.split()[0] for f in SEGMENT.split(", ")])
+
+    points = waypoints.select(F.col("spline_id").cast("int").alias("spline_id"), "seq", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
+    return knots(points).groupBy("spline_id").applyInArrow(run, SEGMENT)
+
+
 def segments(spark: SparkSession, waypoints: dict[int, list[tuple[float, float]]]) -> DataFrame:
     """The segment table of each spline's way points (x, z)."""
     rows = []
@@ -69,22 +99,31 @@ def segments(spark: SparkSession, waypoints: dict[int, list[tuple[float, float]]
     return spark.createDataFrame(rows, SEGMENT)
 
 
-def bezier_segments(spark: SparkSession, controls: dict[int, list[tuple[float, float]]]) -> DataFrame:
-    """One segment a spline from four Bezier control points."""
-    rows = []
-    for spline, (p, q, r, s) in controls.items():
-        ax = [(p[k], 3 * (q[k] - p[k]), 3 * (p[k] - 2 * q[k] + r[k]), s[k] - 3 * r[k] + 3 * q[k] - p[k]) for k in range(2)]
-        rows.append((spline, 0, 0.0, 1.0, *map(float, ax[0]), *map(float, ax[1])))
-    return spark.createDataFrame(rows, SEGMENT)
+def _one_segment(curves: DataFrame, form: Callable[[str], tuple[Column, Column, Column, Column]]) -> DataFrame:
+    fields = [f.split()[0] for f in SEGMENT.split(", ")]
+    cells = dict(zip(fields[4:], [*form("x"), *form("z")], strict=True))
+    ends = {"spline_id": F.col("spline_id").cast("int"), "seg": F.lit(0), "t0": F.lit(0.0), "t1": F.lit(1.0)}
+    return curves.select(*(c.cast("double").alias(n) if n in cells else c.alias(n) for n, c in (ends | cells).items()))
 
 
-def hermite_segments(spark: SparkSession, ends: dict[int, tuple[tuple[float, float], ...]]) -> DataFrame:
-    """One segment a spline from (start, start tangent, end, end tangent)."""
-    rows = []
-    for spline, (p, m, q, n) in ends.items():
-        ax = [(p[k], m[k], 3 * (q[k] - p[k]) - 2 * m[k] - n[k], 2 * (p[k] - q[k]) + m[k] + n[k]) for k in range(2)]
-        rows.append((spline, 0, 0.0, 1.0, *map(float, ax[0]), *map(float, ax[1])))
-    return spark.createDataFrame(rows, SEGMENT)
+def bezier(curves: DataFrame) -> DataFrame:
+    """The segment table of Bezier curves (spline_id, and px, pz to sx, sz: four control points), one segment each."""
+
+    def form(k: str) -> tuple[Column, Column, Column, Column]:
+        p, q, r, s = (F.col(f"{n}{k}") for n in "pqrs")
+        return p, 3.0 * (q - p), 3.0 * (p - 2.0 * q + r), s - 3.0 * r + 3.0 * q - p
+
+    return _one_segment(curves, form)
+
+
+def hermite(curves: DataFrame) -> DataFrame:
+    """The segment table of Hermite curves (spline_id, start px, pz and its tangent mx, mz, end qx, qz and its tangent nx, nz)."""
+
+    def form(k: str) -> tuple[Column, Column, Column, Column]:
+        p, m, q, n = (F.col(f"{c}{k}") for c in "pmqn")
+        return p, m, 3.0 * (q - p) - 2.0 * m - n, 2.0 * (p - q) + m + n
+
+    return _one_segment(curves, form)
 
 
 def parameters(splines: DataFrame, count: int) -> DataFrame:
@@ -132,24 +171,69 @@ def jittered(stations: DataFrame, seed: int = 42, base_altitude: float = 240.0,
     )
 
 
-def spaced_stations(spark: SparkSession, segment_table: DataFrame, spacing: float, jitter: float = 0.25, seed: int = 42, samples: int = 1024) -> DataFrame:
-    """(spline_id, inst_id, t): Poisson-disk stations along the curve.
-
-    The curve is sampled; each sample's arc length is a running sum. A fold over the samples in
-    order takes the first one that lies at least the spacing, stretched by a draw of up
-    to ``jitter``, beyond the last one taken.
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(12)
+
+
+class Arc:
+    """Arc length along one spline, from its segments (t0, t1 and the coefficients of x and z)."""
+
+    def __init__(self, t0: np.ndarray, t1: np.ndarray, x: np.ndarray, z: np.ndarray):
+        self.t0, self.x, self.z = t0, x, z
+        low, high = t0, np.append(t0[1:], t1[-1])
+        whole, done = self.between(low, high), []
+        near = 1e-11 * max(1.0, float(whole.sum()))
+        for _ in range(40):  # steps whose halves disagree with them are halved
+            middle = (low + high) / 2
+            first, second = self.between(low, middle), self.between(middle, high)
+            holds = np.abs(first + second - whole) <= near
+            done += [(low[holds], first[holds]), (middle[holds], second[holds])]
+            low, high = np.append(low[~holds], middle[~holds]), np.append(middle[~holds], high[~holds])
+            whole = np.append(first[~holds], second[~holds])
+            if holds.all():
+                break
+        starts, lengths = (np.concatenate(v) for v in zip(*done, (low, whole), strict=True))
+        order = np.argsort(starts, kind="stable")
+        self.edges, self.walked = np.append(starts[order], t1[-1]), np.append(0.0, np.cumsum(lengths[order]))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of pieces [a, b], each within one segment, by quadrature."""
+        t = (a + b)[:, None] / 2 + (b - a)[:, None] / 2 * NODES
+        k = np.clip(np.searchsorted(self.t0, (a + b) / 2, side="right") - 1, 0, len(self.t0) - 1)
+        s = t - self.t0[k][:, None]
+        speed = [c[k, 1][:, None] + s * (2 * c[k, 2][:, None] + s * (3 * c[k, 3][:, None])) for c in (self.x, self.z)]
+        return (np.hypot(*speed) * WEIGHTS).sum(1) * (b - a) / 2
+
+    def parameter(self, arcs: np.ndarray) -> np.ndarray:
+        """Where the curve has run through each arc length, by halving within the step that holds it."""
+        k = np.clip(np.searchsorted(self.walked, arcs, side="left") - 1, 0, len(self.edges) - 2)
+        start, low, high = self.edges[k], self.edges[k], self.edges[k + 1]
+        left = arcs - self.walked[k]
+        for _ in range(52):
+            middle = (low + high) / 2
+            beyond = self.between(start, middle) > left
+            low, high = np.where(beyond, low, middle), np.where(beyond, middle, high)
+        return np.where(left <= 0, start, (low + high) / 2)
+
+
+def spaced_stations(segment_table: DataFrame, spacing: float, jitter: float = 0.25, seed: int = 42) -> DataFrame:
+    """(spline_id, inst_id, t): stations along each spline, from its start.
+
+    A station lies the spacing, stretched by its draw of up to ``jitter``, beyond the one before it along the curve. Arc
+    lengths come from quadrature and are inverted by root finding, so no station is lost however long the curve is.
     """
-    samples_at = evaluate(parameters(segment_table, samples), segment_table)
-    order = Window.partitionBy("spline_id").orderBy("inst_id")
-    step = F.hypot(F.col("cx") - F.lag("cx").over(order), F.col("cz") - F.lag("cz").over(order))
-    walked = samples_at.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("step").over(order))
-    walked = walked.withColumn("gap", F.lit(float(spacing)) * (1.0 + uniform(seed, "gap", F.col("spline_id"), F.col("inst_id"), high=jitter)))
-    listed = walked.groupBy("spline_id").agg(F.array_sort(F.collect_list(F.struct("inst_id", "t", "arc", "gap"))).alias("s"))
-    state = "struct<next:double,taken:array<double>>"
-    start = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("taken")).cast(state)
-    take = lambda a, p: F.when(p["arc"] >= a["next"], F.struct((p["arc"] + p["gap"]).alias("next"), F.concat(a["taken"], F.array(p["t"])).alias("taken")).cast(state)).otherwise(a)
-    taken = listed.select("spline_id", F.aggregate("s", start, take, lambda a: a["taken"]).alias("taken"))
-    return taken.select("spline_id", F.posexplode("taken").alias("inst_id", "t"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("seg")
+        spline = key[0].as_py()
+        of = lambda *names: np.stack([table.column(n).to_numpy() for n in names], 1)
+        arc = Arc(table.column("t0").to_numpy(), table.column("t1").to_numpy(), of("ax", "bx", "cx", "dx"), of("az", "bz", "cz", "dz"))
+        at, end = [0.0], arc.walked[-1] * (1 + 1e-9)
+        while (ahead := at[-1] + spacing * (1.0 + jitter * uniform_of(seed, "gap", spline, len(at) - 1))) <= end:
+            at.append(min(ahead, arc.walked[-1]))
+        t = arc.parameter(np.array(at))
+        return pa.table({"spline_id": pa.array([spline] * len(t), pa.int32()), "inst_id": pa.array(range(len(t)), pa.int32()), "t": t})
+
+    return segment_table.groupBy("spline_id").applyInArrow(run, "spline_id int, inst_id int, t double")
 
 
 def tangent_frame(angle: Column, dx: Column, dz: Column) -> tuple[Column, Column]:

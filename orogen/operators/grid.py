@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 
-
 def along_x() -> WindowSpec:
     return Window.partitionBy("z").orderBy("x")
 

@@ -1,4 +1,8 @@
-"""Thermal weathering, in two modes, as a tile kernel with one exchange for all iterations.
+"""Thermal weathering, in two modes, as a tile kernel with one exchange for a block of iterations.
+
+A block's halo holds all that its iterations can reach, a quarter of the tile's side at most, so the
+cells that an exchange copies stay a fixed share of the grid however many iterations are asked. Blocks are
+written tables.
 
 ``listing`` follows the published listing: forward differences along each axis, positive
 excess only, and every transfer read from the iteration's starting heights. It
@@ -14,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import FloatType
 
+from .rounds import Rounds
 from .tiles import tiled
 
 WEST, EAST, NORTH, SOUTH = (0, -1), (0, 1), (-1, 0), (1, 0)  # steps in z, x
@@ -58,18 +63,29 @@ def physical_step(h: np.ndarray, crit: float, spacing: float) -> np.ndarray:
 
 
 def weather(grid: DataFrame, mode: str = "physical", critical_angle_deg: float = 38.0, iterations: int = 15, talus_transfer_rate: float = 0.35, spacing: float = 1.0, tile: int = 256) -> DataFrame:
-    """(z, x, h) after ``iterations``; the halo holds all that they can reach. Single precision stays single."""
+    """(z, x, h) after ``iterations``, whatever the tile. Single precision stays single."""
     if mode not in ("listing", "physical"):
         raise ValueError(f"unknown mode {mode}")
     crit = critical_slope(critical_angle_deg)
-
     single = isinstance(grid.schema["h"].dataType, FloatType)
-
-    def kernel(h: np.ndarray, own: np.ndarray, z0: int, x0: int) -> dict[str, np.ndarray]:
-        h = h.astype(np.float32 if single else np.float64)
-        for _ in range(iterations):
-            h = listing_step(h, crit, talus_transfer_rate) if mode == "listing" else physical_step(h, crit, spacing)
-        return {"h": h}
-
-    reach = iterations * (1 if mode == "listing" else 2)
-    return tiled(grid.select("z", "x", "h"), kernel, ["h"], f"z int, x int, h {'float' if single else 'double'}", tile, reach)
+    schema = f"z int, x int, h {'float' if single else 'double'}"
+    reach = 1 if mode == "listing" else 2  # cells an iteration sees
+    block = max(1, tile // (4 * reach))
+
+    def kernel(n: int):  # noqa: ANN202
+        def run(h: np.ndarray, own: np.ndarray, z0: int, x0: int) -> dict[str, np.ndarray]:
+            h = h.astype(np.float32 if single else np.float64)
+            for _ in range(n):
+                h = listing_step(h, crit, talus_transfer_rate) if mode == "listing" else physical_step(h, crit, spacing)
+            return {"h": h}
+
+        return run
+
+    keep, out, done = Rounds(grid, "weather"), grid.select("z", "x", "h"), 0
+    while done < iterations:
+        n = min(block, iterations - done)
+        done += n
+        out = tiled(out, kernel(n), ["h"], schema, tile, n * reach)
+        if done < iterations:
+            out = keep.save(out, done)
+    return out

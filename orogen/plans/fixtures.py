@@ -96,3 +96,19 @@ def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(spline_id, seq, x, z): one spline through the regions."""
     k = F.col("r_regionkey")
     return table(spark, sf_dir, "region").select(F.lit(0).alias("spline_id"), k.cast("int").alias("seq"), (k * 15 + 2).cast("double").alias("x"), ((k * 37) % 64).cast("double").alias("z"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spline_id, seq, x, z): a spline a nation through its customers."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("spline_id"), k.alias("seq"), ((k * 37) % 512).cast("double").alias("x"), ((k * 53) % 512).cast("double").alias("z"))
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spline_id, px, pz to sx, sz): four points a customer."""
+    k = F.col("c_custkey")
+    at = {f"{n}{a}": ((k * (11 + 6 * i) + 13 * j) % (40 + 8 * i)).cast("double") for i, n in enumerate("pqrs") for j, a in enumerate("xz")}
+    return table(spark, sf_dir, "customer").select(k.cast("int").alias("spline_id"), *(v.alias(n) for n, v in at.items()))
+
+
+CONTROLS = "b AS (SELECT CAST(c_custkey AS INT) AS spline_id, " + ", ".join(f"CAST((c_custkey * {11 + 6 * i} + {13 * j}) % {40 + 8 * i} AS DOUBLE) AS {n}{a}" for i, n in enumerate("pqrs") for j, a in enumerate("xz")) + " FROM customer)"

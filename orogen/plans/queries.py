@@ -130,12 +130,18 @@ def spline_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spline_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty stations on the spline through the way points, with tangent and normal."""
-    way = [(r["x"], r["z"]) for r in fx.waypoints(spark, sf_dir).orderBy("seq").collect()]  # a handful of way points
-    table = curves.segments(spark, {0: way})
+    """Forty stations on each nation's spline through its customers, with tangent and normal."""
+    table = curves.fit(fx.routes(spark, sf_dir))
     return curves.evaluate(curves.parameters(table, 40), table)
 
 
+@query()
+def spline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the splines through the regions and through each nation's customers."""
+    regions = fx.waypoints(spark, sf_dir).withColumn("spline_id", F.lit(-1))
+    return curves.fit(regions.unionByName(fx.routes(spark, sf_dir)))
+
+
 _CURVE = """, round(atan2(vz, vx), 9) AS angle, round(vx / sqrt(vx * vx + vz * vz), 9) AS tx, round(vz / sqrt(vx * vx + vz * vz), 9) AS tz FROM c"""
 
 
@@ -143,35 +149,51 @@ def _rounded(stations: DataFrame) -> DataFrame:
     return stations.select("spline_id", "inst_id", *(F.round(c, 9).alias(c) for c in ("cx", "cz", "vx", "vz", "angle", "tx", "tz")))
 
 
-@query(
-    """WITH s AS (SELECT CAST(i AS INT) AS inst_id, i / 40.0 AS t FROM range(41) r(i)),
-c AS (SELECT 0 AS spline_id, inst_id, pow(1-t,3)*2 + 3*pow(1-t,2)*t*10 + 3*(1-t)*t*t*40 + pow(t,3)*60 AS cx, pow(1-t,3)*3 + 3*pow(1-t,2)*t*50 + 3*(1-t)*t*t*(-5) + pow(t,3)*30 AS cz,
- 3*(1-t)*(1-t)*8 + 6*(1-t)*t*30 + 3*t*t*20 AS vx, 3*(1-t)*(1-t)*47 + 6*(1-t)*t*(-55) + 3*t*t*35 AS vz FROM s)
-SELECT spline_id, inst_id, round(cx, 9) AS cx, round(cz, 9) AS cz, round(vx, 9) AS vx, round(vz, 9) AS vz"""
-    + _CURVE
-)
+def _curve_sql(n: int, value: str, speed: str) -> str:
+    fill = lambda form: ", ".join(f"{form.replace('#', a)} AS {v}{a}" for v, a in (("c", "x"), ("c", "z")))
+    at, by = fill(value), fill(speed).replace(" AS c", " AS v")
+    return f"""WITH {fx.CONTROLS}, s AS (SELECT CAST(i AS INT) AS inst_id, i / {n - 1}.0 AS t FROM range({n}) r(i)), c AS (SELECT spline_id, inst_id, {at}, {by} FROM b, s)
+SELECT spline_id, inst_id, round(cx, 6) + 0.0 AS cx, round(cz, 6) + 0.0 AS cz, round(vx, 6) + 0.0 AS vx, round(vz, 6) + 0.0 AS vz FROM c"""
+
+
+def _rounded(stations: DataFrame) -> DataFrame:
+    return stations.select("spline_id", "inst_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("cx", "cz", "vx", "vz")))
+
+
+@query(_curve_sql(5, "pow(1-t,3)*p# + 3*pow(1-t,2)*t*q# + 3*(1-t)*t*t*r# + pow(t,3)*s#", "3*(1-t)*(1-t)*(q#-p#) + 6*(1-t)*t*(r#-q#) + 3*t*t*(s#-r#)"))
 def bezier_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = curves.bezier_segments(spark, {0: [(2, 3), (10, 50), (40, -5), (60, 30)]})
-    return _rounded(curves.evaluate(curves.parameters(table, 41), table))
+    """Five stations on a Bezier curve a customer."""
+    table = curves.bezier(fx.controls(spark, sf_dir))
+    return _rounded(curves.evaluate(curves.parameters(table, 5), table))
+
+
+@query(_curve_sql(5, "(2*t*t*t-3*t*t+1)*p# + (t*t*t-2*t*t+t)*q# + (3*t*t-2*t*t*t)*r# + (t*t*t-t*t)*s#", "(6*t*t-6*t)*p# + (3*t*t-4*t+1)*q# + (6*t-6*t*t)*r# + (3*t*t-2*t)*s#"))
+def hermite_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stations on a Hermite curve a customer: start, its tangent, end, its tangent."""
+    names = {f"{old}{a}": f"{new}{a}" for old, new in zip("qrs", "mqn", strict=True) for a in "xz"}
+    renamed = fx.controls(spark, sf_dir).select("spline_id", "px", "pz", *(F.col(o).alias(n) for o, n in names.items()))
+    table = curves.hermite(renamed)
+    return _rounded(curves.evaluate(curves.parameters(table, 5), table))
 
 
 @query(
-    """WITH s AS (SELECT CAST(i AS INT) AS inst_id, i / 20.0 AS t FROM range(21) r(i)),
-c AS (SELECT 0 AS spline_id, inst_id, (2*t*t*t-3*t*t+1)*2 + (t*t*t-2*t*t+t)*30 + (3*t*t-2*t*t*t)*50 + (t*t*t-t*t)*(-10) AS cx, (2*t*t*t-3*t*t+1)*5 + (t*t*t-2*t*t+t)*20 + (3*t*t-2*t*t*t)*45 + (t*t*t-t*t)*40 AS cz,
- (6*t*t-6*t)*2 + (3*t*t-4*t+1)*30 + (6*t-6*t*t)*50 + (3*t*t-2*t)*(-10) AS vx, (6*t*t-6*t)*5 + (3*t*t-4*t+1)*20 + (6*t-6*t*t)*45 + (3*t*t-2*t)*40 AS vz FROM s)
-SELECT spline_id, inst_id, round(cx, 9) AS cx, round(cz, 9) AS cz, round(vx, 9) AS vx, round(vz, 9) AS vz"""
-    + _CURVE
+    f"""WITH {fx.CONTROLS}, c AS (SELECT *, sqrt((sx - px) * (sx - px) + (sz - pz) * (sz - pz)) AS arc FROM b)
+SELECT DISTINCT spline_id, inst_id, round(px + (sx - px) * CASE WHEN arc > 0 THEN inst_id * 4.0 / arc ELSE 0.0 END, 6) + 0.0 AS cx, round(pz + (sz - pz) * CASE WHEN arc > 0 THEN inst_id * 4.0 / arc ELSE 0.0 END, 6) + 0.0 AS cz
+FROM (SELECT *, unnest(range(0, CAST(floor(arc / 4.0) AS INT) + 1))::INT AS inst_id FROM c)"""
 )
-def hermite_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = curves.hermite_segments(spark, {0: ((2, 5), (30, 20), (50, 45), (-10, 40))})
-    return _rounded(curves.evaluate(curves.parameters(table, 21), table))
+def straight_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations four blocks apart on a straight Hermite curve of uneven speed a customer."""
+    b = fx.controls(spark, sf_dir)
+    line = b.select("spline_id", "px", "pz", *(F.lit(0.0).alias(f"m{a}") for a in "xz"), F.col("sx").alias("qx"), F.col("sz").alias("qz"), *(F.lit(0.0).alias(f"n{a}") for a in "xz"))
+    table = curves.hermite(line)
+    at = curves.evaluate(curves.spaced_stations(table, 4.0, jitter=0.0), table)
+    return at.select("spline_id", "inst_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("cx", "cz")))
 
 
 @query()
 def spaced_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations at least four blocks of arc apart, with jittered gaps."""
-    table = curves.bezier_segments(spark, {0: [(2, 3), (10, 50), (40, -5), (60, 30)]})
-    return curves.spaced_stations(spark, table, 4.0)
+    """Stations at least four blocks of arc apart, with jittered gaps, on a Bezier curve a customer."""
+    return curves.spaced_stations(curves.bezier(fx.controls(spark, sf_dir)), 4.0)
 
 
 def _md5(attribute: str, keys: str) -> str:
@@ -219,10 +241,7 @@ f AS (SELECT z, x, list(layer ORDER BY inst_id) AS hs FROM (SELECT z, x, inst_id
 )
 def ridge_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridges folded into a blank grid by the ordered smooth maximum."""
-    boxed = render.boxes(fx.instances(spark, sf_dir), 64, 64)
-    cells = grids.blank(spark, 64)
-    layers = render.covered(cells.select("z", "x"), boxed).select("z", "x", "inst_id", render.ridge_height().alias("layer"))
-    return render.composite(cells, layers)
+    return render.render_ridges(grids.blank(spark, 64), fx.instances(spark, sf_dir), 64, 64)
 
 
 @query(
@@ -273,8 +292,15 @@ def ridge_noise_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scatter_along_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty ridges along a spline, drawn into a 512-cell grid."""
-    return render.scatter_along_spline(spark, grids.blank(spark, 512), [(40, 60), (150, 300), (300, 220), (470, 450)], 512, 512)
+    """Eight ridges along each nation's spline through its customers, drawn into a 512-cell grid."""
+    return render.scatter_along_spline(grids.blank(spark, 512), fx.routes(spark, sf_dir), 512, 512, peak_count=8)
+
+
+@query()
+def scatter_spaced_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of normal heights and turned angles, spaced along the spline through the regions, on the grid of facts."""
+    n = fx.side(spark, sf_dir)
+    return render.scatter_along_spline(fx.grid(spark, sf_dir), fx.waypoints(spark, sf_dir), n, n, base_altitude=90.0, shape="peak", spacing=6.0, mode="normal", sd=20.0, turn=0.3, sigma_spread=0.2)
 
 
 # Weathering -----------------------------------------------------------------------------------------
@@ -322,6 +348,12 @@ def weather_physical_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.weather(_low(spark, sf_dir), "physical", iterations=4, tile=32).select("z", "x", F.round("h", 6).alias("h"))
 
 
+@query(_physical_sql(20))
+def weather_physical_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More iterations than a tile's halo holds: blocks of them, an exchange each."""
+    return weather.weather(_low(spark, sf_dir), "physical", iterations=20, tile=fx.tile(spark, sf_dir)).select("z", "x", F.round("h", 6).alias("h"))
+
+
 @query(f"WITH {fx.GRID} SELECT 'physical' AS mode, round(sum(h / 8.0), 4) AS before, round(sum(h / 8.0), 4) AS after FROM g")
 def mass_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total height before and after fifteen iterations."""

@@ -11,7 +11,7 @@ def test_query_equals_its_oracle(spark, tiny, duck, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"scatter_along_spline"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, tiny, name):
     assert QUERIES[name](spark, tiny).count() > 0
 

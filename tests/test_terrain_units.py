@@ -97,6 +97,16 @@ def test_weathering_conserves_mass_and_ignores_tiles(spark, mode):
         assert steep(one) <= steep(a) + 1e-9
 
 
+def test_long_weathering_in_blocks(spark):
+    """200 iterations over tiles of 32 are those of one array, cell by cell."""
+    a = np.random.default_rng(4).uniform(0, 60, (70, 50))
+    want = a.copy()
+    for _ in range(200):
+        want = weather.physical_step(want, weather.critical_slope(38.0), 1.0)
+    got = array_of(weather.weather(plane(spark, a), iterations=200, tile=32), "h", a.shape)
+    assert (got == want).all() and not (want == a).all()
+
+
 def water_levels(a):
     """Reference levels: relax until nothing changes."""
     w = np.full(a.shape, np.inf)
@@ -144,13 +154,6 @@ def test_spline_interpolates(spark):
         assert len(curves.cubic(np.linspace(0, 1, n), np.arange(n) * 2.0)) == max(1, n - 1)
 
 
-def test_stations_keep_their_distance(spark):
-    table = curves.bezier_segments(spark, {0: [(0, 0), (10, 30), (20, -30), (30, 0)]})
-    at = curves.spaced_stations(spark, table, 3.0, jitter=0.0, samples=2000)
-    got = curves.evaluate(at, table).orderBy("inst_id").collect()
-    assert len(got) > 5
-
-
 def test_off_grid_boxes_are_empty(spark):
     inst = spark.createDataFrame([(0, -500.0, 5.0, 0.0, 9.0, 4.0, 1.0), (1, 5.0, 900.0, 0.0, 9.0, 4.0, 1.0)], "inst_id int, cx double, cz double, angle double, height double, length double, sigma double")
     assert render.covered(grid.blank(spark, 8), render.boxes(inst, 8, 8)).count() == 0
