@@ -204,15 +204,25 @@ class Arc:
         return (np.hypot(*speed) * WEIGHTS).sum(1) * (b - a) / 2
 
     def parameter(self, arcs: np.ndarray) -> np.ndarray:
-        """Where the curve has run through each arc length, by halving within the step that holds it."""
+        """Where the curve has run through each arc length, by root finding within the step that holds it."""
         k = np.clip(np.searchsorted(self.walked, arcs, side="left") - 1, 0, len(self.edges) - 2)
         start, low, high = self.edges[k], self.edges[k], self.edges[k + 1]
-        left = arcs - self.walked[k]
-        for _ in range(52):
-            middle = (low + high) / 2
-            beyond = self.between(start, middle) > left
-            low, high = np.where(beyond, low, middle), np.where(beyond, middle, high)
-        return np.where(left <= 0, start, (low + high) / 2)
+        left, whole = arcs - self.walked[k], self.walked[k + 1] - self.walked[k]
+        t = start + (high - start) * np.where(whole > 0, left / np.where(whole > 0, whole, 1.0), 0.0)
+        for _ in range(60):  # Newton's steps; those that would leave the bracket become halvings
+            over = self.between(start, t) - left
+            low, high = np.where(over > 0, low, t), np.where(over > 0, t, high)
+            if (np.abs(over) <= 1e-13 * max(1.0, self.walked[-1])).all():
+                break
+            speed = self.speed(t)
+            new = t - over / np.where(speed > 0, speed, 1.0)
+            t = np.where((speed > 0) & (new > low) & (new < high), new, (low + high) / 2)
+        return np.where(left <= 0, start, t)
+
+    def speed(self, t: np.ndarray) -> np.ndarray:
+        k = np.clip(np.searchsorted(self.t0, t, side="right") - 1, 0, len(self.t0) - 1)
+        s = t - self.t0[k]
+        return np.hypot(*(c[k, 1] + s * (2 * c[k, 2] + s * (3 * c[k, 3])) for c in (self.x, self.z)))
 
 
 def spaced_stations(segment_table: DataFrame, spacing: float, jitter: float = 0.25, seed: int = 42) -> DataFrame:

@@ -73,6 +73,27 @@ def stratum(h: Column, strata: list[dict], slope: Column | None = None, value: s
     return out
 
 
+def strata_join(cells: DataFrame, strata: DataFrame, width: int = 16, slope: str | None = None) -> DataFrame:
+    """Adds seq and terrain: the first stratum by seq that holds floor(h), and the slope within its limits if it has any.
+
+    ``strata`` is a table of any size (seq, lo, hi, terrain, and with ``slope`` also slope_lo, slope_hi). Ranges are dealt
+    to the bins of ``width`` levels that they touch, cells to their one bin; they meet by equality, the range
+    is the rest of the condition, and each cell's matches are reduced to the first before they are shuffled. A bin that
+    a third of the cells share is split by the skew join. Cells that none holds keep nulls, as do null and NaN
+    heights; empty ranges hold nothing. A cell must occur once.
+    """
+    level = F.when(~F.isnan("h"), F.floor("h")).alias("level")
+    limits = ["slope_lo", "slope_hi"] if slope else []
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    held = strata.filter("lo <= hi").select("seq", "lo", "hi", "terrain", *limits, bins.alias("bin"))
+    asked = cells.select("z", "x", level, *([F.col(slope).alias("steepness")] if slope else [])).withColumn("bin", F.floor(F.col("level") / width))
+    met = asked.join(held, "bin").filter("level BETWEEN lo AND hi")
+    if slope:
+        met = met.filter("slope_lo IS NULL OR steepness BETWEEN slope_lo AND slope_hi")
+    first = met.groupBy("z", "x").agg(F.min(F.struct("seq", "terrain")).alias("s")).select("z", "x", "s.seq", "s.terrain")
+    return cells.join(first, ["z", "x"], "left")
+
+
 def column_table(world: DataFrame, strata: list[dict], layers: list[str]) -> DataFrame:
     """(z, x, y_top, terrain, layers): what an exporter of voxel columns reads."""
     on = F.filter(F.array(*[F.when(F.col(n) > 0, F.lit(n)) for n in layers]), lambda n: n.isNotNull()) if layers else F.array().cast("array<string>")

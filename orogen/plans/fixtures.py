@@ -112,3 +112,15 @@ def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTROLS = "b AS (SELECT CAST(c_custkey AS INT) AS spline_id, " + ", ".join(f"CAST((c_custkey * {11 + 6 * i} + {13 * j}) % {40 + 8 * i} AS DOUBLE) AS {n}{a}" for i, n in enumerate("pqrs") for j, a in enumerate("xz")) + " FROM customer)"
+
+
+def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, lo, hi, terrain, slope_lo, slope_hi): a stratum a part; every third has a slope limit."""
+    k = F.col("p_partkey")
+    lo = (k * 37) % 384 - 64
+    limit = lambda v: F.when(k % 3 == 0, F.lit(v))
+    return table(spark, sf_dir, "part").select(k.alias("seq"), lo.alias("lo"), (lo + F.col("p_size") % 8).alias("hi"), F.col("p_brand").alias("terrain"), limit(0.0).alias("slope_lo"), limit(30.0).alias("slope_hi"))
+
+
+STRATA = """st AS (SELECT p_partkey AS seq, (p_partkey * 37) % 384 - 64 AS lo, (p_partkey * 37) % 384 - 64 + p_size % 8 AS hi, p_brand AS terrain,
+       CASE WHEN p_partkey % 3 = 0 THEN 0.0 END AS slope_lo, CASE WHEN p_partkey % 3 = 0 THEN 30.0 END AS slope_hi FROM part)"""

@@ -685,6 +685,16 @@ def layer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERRAIN = "CASE WHEN y BETWEEN -64 AND 61 THEN 'Gravel / Sand' WHEN y BETWEEN 62 AND 130 AND slope_deg BETWEEN 0 AND 35 THEN 'Grass / Bare Dirt' WHEN y BETWEEN 131 AND 190 THEN 'Podzol / Coarse' WHEN y BETWEEN 191 AND 250 THEN 'Stone / Cobblestone' WHEN y BETWEEN 251 AND 320 THEN 'Deep Snow' END"
 
 
+@query(
+    f"""WITH {fx.GRID}, {STEEP}, {fx.STRATA}, m AS (SELECT z, x, arg_min(st.seq, st.seq) AS seq, arg_min(terrain, st.seq) AS terrain FROM f JOIN st ON floor(h) BETWEEN lo AND hi AND (slope_lo IS NULL OR slope_deg BETWEEN slope_lo AND slope_hi) GROUP BY z, x)
+SELECT f.z, f.x, CAST(floor(h) AS BIGINT) AS y_top, seq, terrain FROM f LEFT JOIN m ON m.z = f.z AND m.x = f.x"""
+)
+def strata_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell's first stratum of a table of strata, one a part, some with slope limits."""
+    out = world.strata_join(_steep(spark, sf_dir), fx.strata(spark, sf_dir), slope="slope_deg")
+    return out.select("z", "x", F.floor("h").alias("y_top"), "seq", "terrain")
+
+
 @query(f"WITH {fx.GRID}, {STEEP}, y AS (SELECT floor(h) AS y, slope_deg FROM f) SELECT {_TERRAIN} AS terrain, count(*) AS cells FROM y GROUP BY 1")
 def strata_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by stratum with its slope limit; cells that match none stay, as null."""
