@@ -17,7 +17,7 @@ from ..functions import responses
 from ..functions.maths import lattice_noise, normal, smooth_max, uniform
 from ..operators import accumulate, breaching, channels, curves, dither, flood, hydro, points, render, rounds, routing, weather, world
 from ..operators import grid as grids
-from ..sources import config, png
+from ..sources import config, png, tile_source
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -755,6 +755,42 @@ def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return png.decoded_tiles(tiles, 48)
 
 
+def _through_tiles(spark: SparkSession, cells: DataFrame, bands: str, bits: int) -> DataFrame:
+    folder = f"{rounds.Rounds(cells, 'tiles').root}/tiles"
+    tile_source.write(cells, folder, 24, bands, bits)
+    return tile_source.read(spark, folder, 24, bands).select("z", "x", *bands.split(","))
+
+
+@query(f"WITH {_LEVELS} SELECT z, x, v FROM v")
+def height_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels through the data source of 16-bit tiles."""
+    return _through_tiles(spark, _levels(spark, sf_dir).select("z", "x", "v"), "v", 16)
+
+
+@query(f"WITH {_LEVELS} SELECT z, x, CASE WHEN v >= 20000 THEN 255 ELSE 0 END AS v FROM v")
+def mask_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask of the higher ground through the data source of 8-bit tiles."""
+    mask = _levels(spark, sf_dir).select("z", "x", F.when(F.col("v") >= 20000, 255).otherwise(0).alias("v"))
+    return _through_tiles(spark, mask, "v", 8)
+
+
+@query(f"WITH {_LEVELS} SELECT z, x, CAST(v // 256 AS INT) AS r, CAST(v % 256 AS INT) AS g, CAST((z * 7 + x * 3) % 256 AS INT) AS b FROM v")
+def colour_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of the levels through the data source of 8-bit RGB tiles."""
+    v = F.col("v")
+    colour = _levels(spark, sf_dir).select("z", "x", F.floor(v / 256).cast("int").alias("r"), (v % 256).alias("g"), ((F.col("z") * 7 + F.col("x") * 3) % 256).alias("b"))
+    return _through_tiles(spark, colour, "r,g,b", 8)
+
+
+@query(f"WITH {_LEVELS} SELECT z, x, v FROM v WHERE z // 24 = 1 AND x // 24 >= 1")
+def tiles_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of some tiles: only their files are read."""
+    cells = _levels(spark, sf_dir).select("z", "x", "v")
+    folder = f"{rounds.Rounds(cells, 'tiles').root}/tiles"
+    tile_source.write(cells, folder, 24)
+    return tile_source.read(spark, folder, 24, tile_z="1:1", tile_x="1:").select("z", "x", "v")
+
+
 @query()
 def uniform_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and extremes of counter-based uniform draws over all orders."""
