@@ -51,13 +51,40 @@ def product(*responses: Column, moisture: Column | None = None, curvature: Colum
     return out
 
 
-def catalogue(theta: Column, h: Column, sea_level: int = SEA_LEVEL) -> dict[str, Column]:
-    """Suitability by feature."""
-    return {
-        "foliage": product(treeline(h), foliage_slope(theta), above_water(h, sea_level)),
+def moist(moisture: Column) -> Column:
+    """Rises to 1 at half of the greatest moisture. This and the next three are our own forms."""
+    return clamp(2.0 * moisture, 0.0, 1.0)
+
+
+def hollow(curvature: Column) -> Column:
+    """0 on the sharpest ridges, 1 in the deepest hollows."""
+    return 0.5 * (1.0 + curvature)
+
+
+def shaded(aspect: Column) -> Column:
+    """Half to 1: least where the downhill direction's angle is pi."""
+    return 0.75 + 0.25 * F.cos(aspect)
+
+
+def boulder(theta: Column, curvature: Column) -> Column:
+    """Erratic boulders: on gentle, even ground."""
+    return logistic(0.5 * (theta - 30.0)) * (1.0 - F.abs(curvature))
+
+
+def catalogue(theta: Column, h: Column, sea_level: int = SEA_LEVEL, moisture: Column | None = None, curvature: Column | None = None, aspect: Column | None = None, area: Column | None = None) -> dict[str, Column]:
+    """Suitability by feature. Foliage takes the factors that are given; boulders ask for a curvature, riverbed scree for an area."""
+    more = {"moisture": moisture, "curvature": curvature, "aspect": aspect}
+    forms = {"moisture": moist, "curvature": hollow, "aspect": shaded}
+    out = {
+        "foliage": product(treeline(h), foliage_slope(theta), above_water(h, sea_level), **{k: forms[k](v) for k, v in more.items() if v is not None}),
         "rock": rock(theta),
         "snow": snow(h, theta),
     }
+    if curvature is not None:
+        out["boulder"] = boulder(theta, curvature)
+    if area is not None:
+        out["scree"] = riverbed(area, 10.0)
+    return out
 
 
 def suitability(field: DataFrame, features: dict[str, Column] | None = None, digits: int = 9) -> DataFrame:

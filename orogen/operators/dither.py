@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rounds import Rounds
+from .tiles import tiled
+
 
 def gaussian_blur(a: np.ndarray, sigma: float = 1.5, truncate: float = 4.0, wrap: bool = False) -> np.ndarray:
     """Separable Gaussian with mirrored (or periodic) edges."""
@@ -23,6 +26,29 @@ def gaussian_blur(a: np.ndarray, sigma: float = 1.5, truncate: float = 4.0, wrap
     return a
 
 
+def blurred(grid: DataFrame, value: str = "h", sigma: float = 1.5, truncate: float = 4.0, tile: int = 256) -> DataFrame:
+    """(z, x, value, blur): a separable Gaussian of a dense grid's column, mirrored at the world's border.
+
+    Tiles overlap by the kernel's radius, so one exchange serves both passes. A null or NaN value makes the cells in reach NaN.
+    """
+    radius = int(truncate * sigma + 0.5)
+
+    def kernel(a: np.ndarray, own: np.ndarray, z0: int, x0: int) -> dict[str, np.ndarray]:
+        return {value: a, "blur": gaussian_blur(a, sigma, truncate)}
+
+    cells = grid.select("z", "x", F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias(value))
+    return tiled(cells, kernel, [value], f"z int, x int, {value} double, blur double", tile, radius)
+
+
+def highpass(grid: DataFrame, value: str = "h", sigma: float = 1.5, tile: int = 256) -> DataFrame:
+    """(z, x, thr): a grid's column less its blur, scaled to [0, 1] by the least and greatest of all; 0 where all are equal."""
+    keep = Rounds(grid, "highpass")
+    rough = keep.save(blurred(grid, value, sigma, tile=tile).select("z", "x", (F.col(value) - F.col("blur")).alias("rough")), "rough")
+    ends = rough.agg(F.min("rough").alias("low"), F.max("rough").alias("high"))  # one row
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("rough") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    return rough.crossJoin(F.broadcast(ends)).select("z", "x", scaled.alias("thr"))
+
+
 def highpass_matrix(size: int = 64, seed: int = 42, sigma: float = 1.5, wrap: bool = False) -> np.ndarray:
     """Seeded uniform noise less its blur, scaled to [0, 1]. The generator is private."""
     noise = np.random.RandomState(seed).uniform(0.0, 1.0, (size, size))

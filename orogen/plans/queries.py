@@ -80,9 +80,10 @@ def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.density(fx.grid(spark, sf_dir))
 
 
-@query("SELECT CAST(i // 32 AS INT) AS z, CAST(i % 32 AS INT) AS x, CAST(0 AS FLOAT) AS h FROM range(1024) r(i)")
+@query(f"WITH {fx.GRID} SELECT CAST(i // n AS INT) AS z, CAST(i % n AS INT) AS x, CAST(0 AS FLOAT) AS h FROM (SELECT n, unnest(range(n * n)) AS i FROM p)")
 def grid_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.blank(spark, 32)
+    """A blank grid of the side that the facts ask for."""
+    return grids.blank(spark, fx.side(spark, sf_dir))
 
 
 @query(f"WITH {fx.GRID} SELECT z, x, h, lead(h) OVER (PARTITION BY z ORDER BY x) - h AS dx_pos, lead(h) OVER (PARTITION BY x ORDER BY z) - h AS dz_pos FROM g")
@@ -534,6 +535,28 @@ def suitability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.suitability(_steep(spark, sf_dir))
 
 
+_HABITAT = f"""{fx.GRID}, {_neighbour_sql()}, {_area_sql(120)}, da AS (SELECT z, x, area FROM ar WHERE step = 120),
+{STEEP.replace('n AS (', 'ns AS (', 1).replace('FROM n)', 'FROM ns)')},
+hb AS (SELECT f.z, f.x, f.h, slope_deg, area, least(1.0, greatest(0.0, ln(greatest(area, 1.0)) / (SELECT CASE WHEN max(area) > 1 THEN ln(max(area)) ELSE 1.0 END FROM da))) AS m,
+  greatest(-1.0, least(1.0, (coalesce(w, f.h) + coalesce(e, f.h) + coalesce(nn, f.h) + coalesce(ss, f.h) - 4.0 * f.h) / 8.0)) AS c, atan2(-gx, gz) AS a FROM f JOIN da ON da.z = f.z AND da.x = f.x),
+hu AS (SELECT z, x, 'foliage' AS feature, round((CASE WHEN h <= 180 THEN 1.0 WHEN h <= 225 THEN (225.0 - h) / 45.0 ELSE 0.0 END) * (1 / (1 + exp(0.4 * (slope_deg - 32)))) * (CASE WHEN h <= 63 THEN 0.0 ELSE 1.0 END)
+    * least(1.0, 2.0 * m) * (0.5 * (1.0 + c)) * (0.75 + 0.25 * cos(a)), 9) AS p FROM hb
+ UNION ALL SELECT z, x, 'rock', round(1 / (1 + exp(-0.5 * (slope_deg - 38))), 9) FROM hb
+ UNION ALL SELECT z, x, 'snow', round(greatest(0.0, least(1.0, (h - 200) / 40.0)) * (1 - 0.6 * sin(radians(slope_deg))), 9) FROM hb
+ UNION ALL SELECT z, x, 'boulder', round(1 / (1 + exp(0.5 * (slope_deg - 30))) * (1.0 - abs(c)), 9) FROM hb
+ UNION ALL SELECT z, x, 'scree', round(greatest(0.0, least(1.0, (area - 10.0) / 10.0)), 9) FROM hb)"""
+
+
+@query(f"WITH RECURSIVE {_HABITAT} SELECT z, x, feature, p FROM hu")
+def habitat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suitability with all factors: moisture of the drained area, curvature, aspect, boulders and riverbed scree."""
+    directed = hydro.flow(fx.grid(spark, sf_dir).withColumn("w", F.col("h")), fx.SPACING, fx.tile(spark, sf_dir))
+    area = rounds.Rounds(directed, "habitat").save(accumulate.drainage(directed, fx.tile(spark, sf_dir)), "area")
+    field = grids.moisture(_steep(spark, sf_dir).join(area, ["z", "x"]))
+    columns = {c: F.col(c) for c in ("moisture", "curvature", "area")}
+    return responses.suitability(field, responses.catalogue(F.col("slope_deg"), F.col("h"), aspect=F.col("aspect_rad"), **columns))
+
+
 @query(f"WITH {fx.GRID}, {STEEP} SELECT CASE WHEN slope_deg < 35 THEN 'soil' WHEN slope_deg > 45 THEN 'rock' ELSE 'mixed' END AS ground, count(*) AS cells FROM f GROUP BY 1")
 def ground_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steep(spark, sf_dir).groupBy(responses.ground(F.col("slope_deg")).alias("ground")).agg(F.count("*").alias("cells"))
@@ -559,6 +582,24 @@ def _matrix_sql(matrix: np.ndarray) -> str:
     return f"t AS (SELECT CAST(i // {matrix.shape[1]} AS INT) AS tz, CAST(i % {matrix.shape[1]} AS INT) AS tx, list_extract(v, i + 1) AS thr FROM range({matrix.size}) r(i), (SELECT [{values}] AS v))"
 
 
+_TAPS = ", ".join(f"({k}, {math.exp(-0.5 * (k / 1.5) ** 2) / sum(math.exp(-0.5 * (j / 1.5) ** 2) for j in range(-6, 7))!r})" for k in range(-6, 7))
+
+
+def _blur_sql(axis: str, table: str, name: str) -> str:
+    other = "x" if axis == "z" else "z"
+    return f"""{name} AS (SELECT o.z, o.x, any_value(o.h) AS h, sum(wt * t.v) AS v FROM {table} o JOIN (VALUES {_TAPS}) k(d, wt) ON true JOIN {table} t
+  ON t.{other} = o.{other} AND t.{axis} = CASE WHEN o.{axis} + d < 0 THEN -o.{axis} - d - 1 WHEN o.{axis} + d >= (SELECT n FROM p) THEN 2 * (SELECT n FROM p) - 1 - o.{axis} - d ELSE o.{axis} + d END GROUP BY o.z, o.x)"""
+
+
+@query(
+    f"""WITH {fx.GRID}, b0 AS (SELECT z, x, h, h AS v FROM g), {_blur_sql('z', 'b0', 'b1')}, {_blur_sql('x', 'b1', 'b2')}, ro AS (SELECT z, x, h - v AS r FROM b2)
+SELECT z, x, round((r - (SELECT min(r) FROM ro)) / (SELECT max(r) - min(r) FROM ro), 9) AS thr FROM ro"""
+)
+def grid_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid less its Gaussian blur, scaled to [0, 1]: thresholds that follow the ground."""
+    return dither.highpass(fx.grid(spark, sf_dir), tile=fx.tile(spark, sf_dir)).select("z", "x", F.round("thr", 9).alias("thr"))
+
+
 @query(f"WITH {_SUIT}, {_matrix_sql(_BLUE)} SELECT z, x, feature, CAST(CASE WHEN NOT isnan(p) AND p >= thr THEN 255 ELSE 0 END AS SMALLINT) AS v FROM u JOIN t ON tz = z % 64 AND tx = x % 64")
 def blue_noise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of every feature by the high-passed noise matrix, tiled over the grid."""
