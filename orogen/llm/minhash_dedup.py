@@ -15,9 +15,11 @@ Inverted lists. s shared hashes are s common retained values at least, so in any
 linked sketches share l of their first |sketch| - s + l. Lists are kept of those first values only, rarest first
 as counted over all sketches, so a value that a third of all sketches retain makes a list only of those that
 consist of such values. Lists are split by bands of set size. Overlaps are counted per
-pair of a list's member and its leader; lists with several components left are compared in blocks, as in
-``ngram_join``, whose jobs this module uses with sketches in the place of whole sets: no pairs
-are expanded within a group, copies of a set enter once a batch, and there is no cap.
+pair of a list's member and its leader, and each set is judged with the leader it meets most often; lists with several
+components left are compared in blocks by parity maps of their retained values. Linked sets share many lists, so a share
+of the lists is asked, such that a link is in none of them with a chance of MISS. The jobs are those of ``ngram_join``, with
+sketches in the place of whole sets: no pairs are expanded within a group, copies of a set enter once a batch, and
+there is no cap.
 
 Links are confirmed on full sets. Cases are those of ``ngram_join``; ``kept`` is true for a null doc_id,
 which is linked with nothing.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .kit import U64, Workspace, mix
 from .ngram_join import Bands, similarity_components
 
-K, ESTIMATE, MISS, SHORT_WORDS = 512, 128, 1e-7, 8
+K, ESTIMATE, MISS, SHORT_WORDS = 512, 128, 1e-7, 16
 
 
 def shared_quantile(population: int, common: int, draws: int, miss: float) -> int:
@@ -64,7 +66,7 @@ class SketchBands(Bands):
         # by the sum of sizes; the larger the population, the wider the spread, and the last entry serves for all beyond
         self.listed, self.estimated = (np.array([self._least(n, d, miss) for n in (*range(8 * d), *range(8 * d, 64 * d, 64), 1 << 22)]) for d in (k, estimate))
         self.listed, self.estimated = (self._every(t, d) for t, d in ((self.listed, k), (self.estimated, estimate)))
-        self.shared = [1, *(min(2 + min(n, k) // 40, self._lowest(n, n)) for n in self.least[1:])]
+        self.shared = [1, *(min(2 + min(n, k) // 10, self._lowest(n, n)) for n in self.least[1:])]
 
     @staticmethod
     def _every(table: np.ndarray, draws: int) -> np.ndarray:
@@ -93,12 +95,14 @@ class SketchBands(Bands):
     def retained(self, elements: np.ndarray) -> np.ndarray:
         return elements[: self.k]  # sets are sorted by hash
 
-    def bits(self, elements: np.ndarray) -> np.ndarray:
-        return (elements[: self.estimate] >> U64(32)).astype(np.uint32)
+    def maps(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = elements[: self.k]
+        count = np.bincount((mix(some + U64(11)) & U64(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS)
+        return (elements[: self.estimate] >> U64(32)).astype(np.uint32), np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
 
-    def short(self, bits: np.ndarray) -> np.ndarray:
-        count = np.bincount((mix(bits.astype(np.uint64)) & U64(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS)
-        return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
+    def asked_share(self, band: int) -> float:
+        # linked sets share that many lists: the chance that none of them is asked is MISS
+        return 1.0 - MISS ** (1.0 / self.shared[band])
 
     def possible(self, n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         # two values of one set may have the same 32 bits: one is allowed for
@@ -110,8 +114,8 @@ class SketchBands(Bands):
         return int((times[: self.estimate] == 2).sum())
 
     def block_fits(self, n: np.ndarray, of: int, differ: np.ndarray) -> np.ndarray:
-        both = np.minimum(n, self.estimate) + min(of, self.estimate) - differ
-        return both >= 2 * self.at_least(n + of)
+        both = np.minimum(n, self.k) + min(of, self.k) - differ
+        return both >= 2 * self.listed[np.minimum(n + of, len(self.listed) - 1)]
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, num: int = 8, den: int = 10, k: int = K, store: Workspace | None = None) -> DataFrame:

@@ -65,7 +65,8 @@ class Bands:
 
     ``shared[i]`` is how many tiles of band i linked sets share at least. Band 0 holds
     sets of one shingle, which have no tiles; its number serves for one shared tile.
-    ``one_first``: a set's pair with the leader of most of its tiles is judged before its others.
+    ``one_first``: a set is judged with the leader of most of its tiles only; its other pairs are left to the tiles
+    that then still hold several components.
     """
 
     one_first, bits_type = False, np.uint64
@@ -99,13 +100,14 @@ class Bands:
         """What of a set tiles are made of."""
         return elements
 
-    def bits(self, elements: np.ndarray) -> np.ndarray:
-        """What a pair is judged by before its exact intersection."""
-        return parity_bits(elements)
+    def maps(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a pair is judged by before its exact intersection, and what members of a block are judged by."""
+        bits = parity_bits(elements)
+        return bits, folded(bits, max(8, len(bits) // 4))
 
-    def short(self, bits: np.ndarray) -> np.ndarray:
-        """What members of a block are judged by."""
-        return folded(bits, max(8, len(bits) // 4))
+    def asked_share(self, band: int) -> float:
+        """The share of a band's tiles whose members are compared, where leaders leave several components."""
+        return 1.0
 
     def possible(self, n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         """Which pairs with ``n`` shingles in sum may link by their bits."""
@@ -269,9 +271,8 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
         levels = np.frombuffer(zlib.decompress(packed_levels), np.uint8)
         parts, size = [], 0
         for ids, sets in _sets(batches, k):
-            bits = [bands.bits(s) for s in sets]
-            short = pa.array([bands.short(b).tobytes() for b in bits], pa.binary())
-            bits = pa.array([b.tobytes() for b in bits], pa.binary())
+            maps = [bands.maps(s) for s in sets]
+            bits, short = (pa.array([m[i].tobytes() for m in maps], pa.binary()) for i in (0, 1))
             k1, k2 = (np.array([mix(s ^ U64(c)).sum(dtype=np.uint64) for s in sets], np.uint64) for c in (0x51ED270B, 0xB5297A4D))
             yield plain(doc_id=ids, n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(as_long(k1)), k2=pa.array(as_long(k2)), bits=bits, short=short)
             for doc, s, content in zip(ids.to_pylist(), sets, k1, strict=True):
@@ -464,7 +465,6 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
     pairs = pairs.filter(F.col("n") >= need)
     if bands.one_first:
-        pairs = store.save(pairs, "leads")
         first = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     else:
         first = pairs.select("a", "b").distinct()
@@ -474,19 +474,16 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int =
     several = copies.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
     own = members.select(F.explode(F.array("doc_id", "leader")).alias("b")).unionByName(reps.select(F.col("rep").alias("b"))).unionByName(several)
     parts = components(first.unionByName(copies.join(own.distinct(), "b", "left_semi")), store, "parts")
-    if bands.one_first:
-        apart = pairs
-        for side in ("a", "b"):
-            apart = apart.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-        found = verified(apart.filter("a_in <> b_in").select("a", "b").distinct(), sketch, docs, k, bands, store, "others")
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), store, "parts-others")
-        store.drop("leads")
-
     heads = members.select("tile", F.col("leader").alias("doc_id"), "band").distinct()
     shared = members.select("tile", "doc_id", "band").unionByName(heads)
     # a set that shares too few tiles with all others together is linked with none of them
     able = shared.groupBy("doc_id", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("doc_id", "band")
-    shared = store.save(shared.join(able, ["doc_id", "band"], "left_semi").select("tile", "doc_id"), "shared")
+    shared = shared.join(able, ["doc_id", "band"], "left_semi")
+    shares = [bands.asked_share(j) for j in range(len(bands.shared))]
+    if min(shares) < 1:
+        share = F.element_at(F.array(*map(F.lit, shares)), F.col("band").cast("int") + 1)
+        shared = shared.filter(F.pmod(F.xxhash64("tile"), F.lit(1 << 20)) < share * (1 << 20))
+    shared = store.save(shared.select("tile", "doc_id"), "shared")
     for turn in ("cross", "held"):
         placed = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))

@@ -186,8 +186,8 @@ def test_linked_sketches_share_lists_and_pass_the_estimate(n, seed):
     both = len(np.intersect1d(x, y))
     if both * 10 < (len(x) + len(y) - both) * 8:
         return
-    assert bands.possible(np.array([len(x) + len(y)]), [bands.bits(x)], [bands.bits(y)]).all()
-    differ = np.bitwise_count(bands.short(bands.bits(x)) ^ bands.short(bands.bits(y))).sum(dtype=np.int64)
+    assert bands.possible(np.array([len(x) + len(y)]), [bands.maps(x)[0]], [bands.maps(y)[0]]).all()
+    differ = np.bitwise_count(bands.maps(x)[1] ^ bands.maps(y)[1]).sum(dtype=np.int64)
     assert bands.block_fits(np.array([len(y)]), len(x), np.array([differ])).all()
     if both < len(x) or both < len(y):
         a, b = (dict(ngram_join.tiles_of(v, bands, levels)) for v in (x, y))
