@@ -823,13 +823,13 @@ def colour_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_tiles(spark, colour, "r,g,b", 8)
 
 
-@query(f"WITH {_LEVELS} SELECT z, x, v FROM v WHERE z // 24 = 1 AND x // 24 >= 1")
+@query(f"WITH {_LEVELS} SELECT z, x, v FROM v, (SELECT greatest(4, least(256, n // 4)) AS t FROM p) WHERE z // t = 1 AND x // t >= 1")
 def tiles_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of some tiles: only their files are read."""
     cells = _levels(spark, sf_dir).select("z", "x", "v")
-    folder = f"{rounds.Rounds(cells, 'tiles').root}/tiles"
-    tile_source.write(cells, folder, 24)
-    return tile_source.read(spark, folder, 24, tile_z="1:1", tile_x="1:").select("z", "x", "v")
+    folder, side = f"{rounds.Rounds(cells, 'tiles').root}/tiles", fx.tile(spark, sf_dir)
+    tile_source.write(cells, folder, side)
+    return tile_source.read(spark, folder, side, tile_z="1:1", tile_x="1:").select("z", "x", "v")
 
 
 @query()
