@@ -626,6 +626,45 @@ def threshold_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("cells"), F.min("thr").alias("low"), F.max("thr").alias("high"), F.round(F.avg("thr"), 9).alias("mean"))
 
 
+def _whole_sql() -> str:
+    """Every stage's SQL in a row, each on the surface of the one before."""
+    box = _BOX.format(r="length", s="sigma", t="i").replace("c AS (SELECT CAST(i // 64 AS INT) AS z, CAST(i % 64 AS INT) AS x FROM range(4096) r(i))", "c AS (SELECT z, x, h FROM g0)").replace("least(64, ", "least((SELECT n FROM p), ")
+    ridges = f"""{fx.GRID.replace("g AS (SELECT", "g0 AS (SELECT")}, {fx.INSTANCES}, {box},
+l AS (SELECT z, x, inst_id, height * greatest(0.0, least(1.0, 1.0 - ((dx * cos(angle) + dz * sin(angle)) / (length / 2.0)) * ((dx * cos(angle) + dz * sin(angle)) / (length / 2.0)))) * exp(-abs(dz * cos(angle) - dx * sin(angle)) / sigma) AS layer FROM m),
+fo AS (SELECT z, x, list(layer ORDER BY inst_id) AS hs FROM l GROUP BY z, x),
+r0 AS (SELECT c.z, c.x, CAST(coalesce(list_reduce(list_prepend(CAST(CAST(c.h AS FLOAT) AS DOUBLE), fo.hs), lambda a, h: CAST(CAST(0.5 * (a + h + sqrt((a - h) * (a - h) + 12.0)) AS FLOAT) AS DOUBLE)), c.h) AS FLOAT) AS h FROM c LEFT JOIN fo USING (z, x))"""
+    steps = _physical_sql(4)
+    weathered = "s0 AS (SELECT z, x, CAST(h AS DOUBLE) AS h FROM r0),\n" + steps[steps.index("a0 AS (") : steps.rindex(" SELECT z, x, round(h, 6)")]
+    slope = STEEP.replace("FROM g)", "FROM bd)")
+    for name in ("n", "d", "f"):
+        slope = slope.replace(f"{name} AS (", f"{name}_2 AS (", 1).replace(f"FROM {name})", f"FROM {name}_2)")
+    return f"""WITH RECURSIVE {ridges}, {weathered}, g AS (SELECT z, x, h FROM s4), {_FILLED}, {_area_sql(600)},
+o AS (SELECT z, x, area, sqrt(gx * gx + gz * gz) AS s FROM ar JOIN pr USING (z, x) WHERE step = 600), {_nearest_sql('o')},
+bd AS (SELECT z, x, fw.h - 0.01 * sqrt(o.area) * s + cut AS h FROM o JOIN fw USING (z, x) JOIN cu USING (z, x)), {slope},
+{fx.STRATA}, sj AS (SELECT z, x, arg_min(terrain, st.seq) AS terrain FROM f_2 JOIN st ON floor(h) BETWEEN lo AND hi AND (slope_lo IS NULL OR slope_deg BETWEEN slope_lo AND slope_hi) GROUP BY z, x),
+hs AS (SELECT z, x, 'rock' AS feature, round(1 / (1 + exp(-0.5 * (slope_deg - 38))), 9) AS p FROM f_2
+ UNION ALL SELECT z, x, 'snow', round(greatest(0.0, least(1.0, (h - 200) / 40.0)) * (1 - 0.6 * sin(radians(slope_deg))), 9) FROM f_2
+ UNION ALL SELECT z, x, 'scree', round(greatest(0.0, least(1.0, (area - 10.0) / 10.0)), 9) FROM o), {fx.THRESHOLDS},
+mk AS (SELECT z, x, string_agg(feature, ',' ORDER BY feature) AS layers FROM hs JOIN t ON tz = z % 64 AND tx = x % 64 WHERE p >= thr GROUP BY z, x)
+SELECT f_2.z, f_2.x, CAST(floor(f_2.h) AS BIGINT) AS y_top, sj.terrain, coalesce(mk.layers, '') AS layers FROM f_2 LEFT JOIN sj ON sj.z = f_2.z AND sj.x = f_2.x LEFT JOIN mk ON mk.z = f_2.z AND mk.x = f_2.x"""
+
+
+@query(_whole_sql())
+def whole_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row: ridges, weathering, rivers and their beds, suitability, masks, strata and columns."""
+    n, tile = fx.side(spark, sf_dir), fx.tile(spark, sf_dir)
+    ridged = render.render_ridges(fx.grid(spark, sf_dir), fx.instances(spark, sf_dir), n, n)
+    keep = rounds.Rounds(ridged, "whole")
+    low = weather.weather(ridged.withColumn("h", F.col("h").cast("double")), iterations=4, tile=tile)
+    rivers = keep.save(routing.routed(keep.save(low, "low"), fx.SPACING, tile=tile, least_area=CHANNEL_AREA).select("z", "x", F.col("bed").alias("h"), "area"), "rivers")
+    field = keep.save(grids.derived(rivers.select("z", "x", "h"), 8.0).join(rivers.select("z", "x", "area"), ["z", "x"]), "field")
+    features = responses.catalogue(F.col("slope_deg"), F.col("h"), area=F.col("area"))
+    masks = dither.mask(responses.suitability(field, {k: features[k] for k in ("rock", "snow", "scree")}), fx.thresholds(spark, sf_dir))
+    layers = masks.filter("v = 255").groupBy("z", "x").agg(F.array_join(F.array_sort(F.collect_set("feature")), ",").alias("layers"))
+    columns = world.strata_join(field.select("z", "x", "h", "slope_deg"), fx.strata(spark, sf_dir), slope="slope_deg").join(layers, ["z", "x"], "left")
+    return columns.select("z", "x", F.floor("h").alias("y_top"), "terrain", F.coalesce("layers", F.lit("")).alias("layers"))
+
+
 @query(
     f"""WITH {_SUIT} SELECT z, x, feature, 0.5 * p AS density, round(CASE WHEN 0.5 * p > 0 THEN 1.5 / sqrt(0.5 * p) END, 9) AS r, CAST(round({0.5 * math.hypot(9, 9)!r}, 9) AS DOUBLE) AS box FROM u"""
 )
