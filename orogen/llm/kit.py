@@ -9,7 +9,8 @@ Workspace
 
 Manifest
     A small written table that names the parts of a store. Each version is written whole
-    before it counts, so a reader sees the last complete one after a broken-off write.
+    before it counts, so a reader sees the last complete one after a broken-off write. The
+    last KEPT_VERSIONS are kept.
 
 Text views
     ``TextView`` exposes the UTF-8 bytes of a slice of an Arrow string column
@@ -38,6 +39,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U64 = np.uint64
+KEPT_VERSIONS = 3
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -98,8 +100,10 @@ class Manifest:
         try:
             found = store.spark.read.schema(self.SCHEMA).parquet(store.path(self.name))
             self.version = found.agg(F.max("version")).first()[0]
-        except AnalysisException:  # no store yet
-            return
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return  # no store yet
         if self.version is None:  # only a first write that broke off
             self.version = -1
         self.rows = [(r["kind"], r["name"]) for r in found.filter(F.col("version") == self.version).collect() if r["name"]]
@@ -112,6 +116,8 @@ class Manifest:
         self.version, self.rows = self.version + 1, list(rows)
         frame = self.store.spark.createDataFrame([*rows, ("", "")], "kind string, name string").coalesce(1)
         frame.write.mode("overwrite").parquet(f"{self.store.path(self.name)}/version={self.version}")
+        if self.version >= KEPT_VERSIONS:
+            self.store.drop(f"{self.name}/version={self.version - KEPT_VERSIONS}")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,18 +5,20 @@ case. A key found in at least ``least`` documents is frequent, and all its lines
 go, in every document.
 
 Documents arrive in batches. The state is a set of written runs, each a table of keys and
-counts bucketed and sorted by key, and a manifest that names them; a store is opened by its
-folder and goes on where it stopped, and an ``add`` that broke off left no trace.
-``LineRuns.add`` counts a batch's keys and merge-joins them with the runs on their order: keys
-of the frequent runs are anti-joined away, counts of the other runs are added, keys that reach
-the threshold become a frequent run, and the rest is the batch's own new run. When a level
-holds ``fanout`` runs, they are compacted into one of the next level, without the keys that
-have become frequent since.
-
-Only digests (two hashes of 64 bits over different bytes) and counts are shuffled, after a
-partial sum, so a line that a third of all documents share costs one row a task. Texts move
-once, to meet their own document's frequent digests; those are found by a join that
-Spark may broadcast if the frequent run is small enough, and deals by key otherwise.
+counts bucketed and sorted by key, and a manifest that names them and the number of buckets; a
+store is opened by its folder and goes on where it stopped, and an ``add`` that broke off left no trace.
+``LineRuns.add`` counts a batch's keys and merge-joins them with the runs on their order, each read
+as it lies, without exchange or sort: keys of the frequent runs are anti-joined away, counts of
+the other runs are added, keys that reach the threshold become a frequent run, and the rest is the
+batch's own new run. When a level holds ``fanout`` runs, they are compacted into one of the next
+level, without the keys that have become frequent since. There are as many buckets as keep
+BUCKET_KEYS keys in each, up to Spark's own limit for bucketed tables.
+
+Only digests (two hashes of 64 bits over different bytes), counts and places are shuffled, after a
+partial sum where they are counted, so a line that a third of all documents share costs one row a task. Texts move
+once, to meet their own document's flags, one a line, which say what stays; a line's flag is found by
+its place, so a document costs time in proportion to its lines, however many of them are frequent.
+Frequent lines are found by a join that Spark may broadcast if the frequent run is small enough, and deals by key otherwise.
 
 Cases: null or empty text is one empty line; empty lines are never dropped.
 Repeated rows are counted as documents of their own. Null doc_ids are
@@ -26,7 +28,9 @@ whole. An empty table gives an empty one. Nothing is ordered, so there are no ti
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +41,8 @@ from .kit import Manifest, Workspace
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+BUCKET_KEYS, MOST_BUCKETS = 500_000, 100_000
+SCAN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -53,9 +59,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def distinct_digests(text: Column) -> Column:
-    keys = F.array_distinct(F.transform(lines_of(text), line_key))
-    return F.transform(F.filter(keys, lambda k: k != ""), digest)
+def line_digests(keys: Column) -> Column:
+    """A digest for each line, null for an empty one."""
+    return F.transform(keys, lambda k: F.when(k != "", digest(k)))
+
+
+def distinct_digests(keys: Column) -> Column:
+    return F.transform(F.filter(F.array_distinct(keys), lambda k: k != ""), digest)
 
 
 class LineRuns:
@@ -64,12 +74,24 @@ class LineRuns:
     SCHEMA = "h1 long, h2 long, n long"
 
     def __init__(self, spark: SparkSession, store: Workspace, least: int = 10, fanout: int = 3, buckets: int = 16):
-        self.spark, self.store, self.least, self.fanout, self.buckets = spark, store, least, fanout, buckets
+        self.spark, self.store, self.least, self.fanout = spark, store, least, fanout
         self.manifest = Manifest(store, "runs")
+        self.buckets = int(*self.manifest.names("buckets") or [buckets])
+        self.runs = [(k, n) for k, n in self.manifest.rows if k != "buckets"]
         self.made: list[str] = []
 
     def _table(self, name: str) -> str:
-        return f"run_{zlib.crc32(self.store.root.encode()):08x}_{name.replace('-', '_')}"
+        return f"run_{hashlib.sha256(self.store.root.encode()).hexdigest()[:24]}_{name.replace('-', '_')}"
+
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Queries that run meanwhile trust the order of a bucket's single file."""
+        before = self.spark.conf.get(SCAN_ORDER)
+        self.spark.conf.set(SCAN_ORDER, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(SCAN_ORDER, before)
 
     def _write(self, run: DataFrame, name: str) -> DataFrame:
         table = self._table(name)
@@ -85,27 +107,34 @@ class LineRuns:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name)} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return self.spark.table(self._table(name))
 
-    def add(self, digests: DataFrame) -> None:
-        """One batch: a row (h1, h2) for each distinct key of each document."""
-        v = self.manifest.version + 1
-        batch = self._write(digests.groupBy(*KEY).agg(F.count("*").alias("n")), f"batch-{v}")
-        for name in self.manifest.names("frequent"):
-            batch = batch.join(self._run(name).hint("merge"), KEY, "left_anti")
+    def _met(self, batch: DataFrame) -> DataFrame:
+        """The batch's keys that are not frequent yet, with their counts in it and in all."""
+        for kind, name in self.runs:
+            if kind == "frequent":
+                batch = batch.join(self._run(name).hint("merge"), KEY, "left_anti")
         batch = batch.withColumn("total", F.col("n"))
-        for kind, name in self.manifest.rows:
+        for kind, name in self.runs:
             if kind != "frequent":
                 run = self._run(name).withColumnRenamed("n", "before").hint("merge")
                 batch = batch.join(run, KEY, "left").select(*KEY, "n", (F.col("total") + F.coalesce("before", F.lit(0))).alias("total"))
-        batch = self.store.save(batch, f"met-{v}")
-        rows = list(self.manifest.rows)
+        return batch
+
+    def add(self, digests: DataFrame) -> None:
+        """One batch: a row (h1, h2) for each distinct key of each document."""
+        v = self.manifest.version + 1
+        batch = self._write(digests.groupBy(*KEY).agg(F.count("*").alias("n")), f"batch-{v}")
+        with self._in_order():
+            batch = self.store.save(self._met(batch), f"met-{v}")
+        rows = list(self.runs)
         for kind, test in (("frequent", F.col("total") >= self.least), ("0", F.col("total") < self.least)):
             self._write(batch.filter(test), f"{kind}-{v}")
             rows.append((kind, f"{kind}-{v}"))
         rows, level = self._compacted(rows, "frequent", "frequent", v), 0
         while sum(k == str(level) for k, _ in rows) >= self.fanout:
             rows, level = self._compacted(rows, str(level), str(level + 1), v), level + 1
-        gone = {n for _, n in self.manifest.rows} - {n for _, n in rows}
-        self.manifest.save(rows)
+        gone = {n for _, n in self.runs} - {n for _, n in rows}
+        self.runs = rows
+        self.manifest.save([("buckets", str(self.buckets)), *rows])
         self._drop([f"batch-{v}", *gone])
         self.store.drop(f"met-{v}")
 
@@ -132,7 +161,7 @@ class LineRuns:
 
     def frequent_keys(self) -> DataFrame:
         """Every key in at least ``least`` documents of all batches so far."""
-        runs = [self._run(n).select(*KEY) for n in self.manifest.names("frequent")]
+        runs = [self._run(n).select(*KEY) for k, n in self.runs if k == "frequent"]
         return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long")
 
 
@@ -142,27 +171,42 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, batches: int = 4, fano
     store = store or Workspace(spark)
     row = [F.xxhash64("doc.doc_id", "doc.text").alias("r1"), F.xxhash64(F.concat(F.lit("2"), "doc.text"), "doc.doc_id").alias("r2")]
     rows = docs.select(F.struct("*").alias("doc")).select("doc", *row)
-    keyed = rows.select("r1", "r2", distinct_digests(F.col("doc.text")).alias("keys"), F.pmod("r1", F.lit(batches)).cast("int").alias("batch"))
+    keyed = rows.select("r1", "r2", F.transform(lines_of(F.col("doc.text")), line_key).alias("keys"))
+    keyed = keyed.select("r1", "r2", line_digests(F.col("keys")).alias("all"), distinct_digests(F.col("keys")).alias("keys"))
+    repeats = F.size(F.filter("all", lambda d: d.isNotNull())) > F.size("keys")
+    keyed = keyed.select("r1", "r2", "all", F.when(repeats, F.col("keys")).alias("keys"), F.pmod("r1", F.lit(batches)).cast("int").alias("batch"))
     keyed = store.save(keyed, "keyed", by=["batch"])
 
-    runs = LineRuns(spark, store, least, fanout)
+    n_keys = keyed.agg(F.sum(F.size("all").cast("long"))).first()[0] or 0
+    runs = LineRuns(spark, store, least, fanout, min(MOST_BUCKETS, max(4, n_keys // BUCKET_KEYS)))
     for k in range(batches):
-        runs.add(keyed.filter(F.col("batch") == k).select(F.explode("keys").alias("k")).select("k.*"))
+        own = keyed.filter(F.col("batch") == k).select(F.explode(F.coalesce("keys", "all")).alias("k"))
+        runs.add(own.filter("k is not null").select("k.*"))
     frequent = runs.frequent_keys()
 
-    hits = keyed.select("r1", "r2", F.explode("keys").alias("k")).select("r1", "r2", "k.*").join(frequent, KEY, "left_semi")
-    hits = store.save(hits.groupBy("r1", "r2").agg(F.collect_set(F.struct(*KEY)).alias("gone")), "hits")
+    placed = keyed.select("r1", "r2", F.posexplode("all").alias("place", "k")).filter("k is not null")
+    hits = placed.select("r1", "r2", "place", "k.*").join(frequent, KEY, "left_semi")
+    hits = hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    hits = store.save(hits, "hits").select("r1", "r2", stays(F.col("places")).alias("stays"))
+    hits = store.save(hits, "flags")
     runs.close()
     store.drop("keyed")
+    store.drop("hits")
     store.release()
-    lines, gone = lines_of(F.col("doc.text")), F.col("gone")
-    kept = F.filter(lines, lambda x: ~F.array_contains(gone, digest(line_key(x))) | (line_key(x) == ""))
-    out = rows.join(hits, ["r1", "r2"], "left").select("doc", F.size(lines).cast("long").alias("n_lines"), F.when(gone.isNotNull(), kept).alias("some"))
+    lines = lines_of(F.col("doc.text"))
+    kept = F.filter(lines, lambda x, i: F.coalesce(F.get("stays", i), F.lit(True)))
+    out = rows.join(hits, ["r1", "r2"], "left").select("doc", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("stays").isNotNull(), kept).alias("some"))
     dropped = F.when(F.col("some").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("some")).cast("long")
     text = F.coalesce(F.array_join("some", "\n"), "doc.text", F.lit(""))
     return out.select("doc", "n_lines", dropped.alias("n_dropped"), text.alias("kept"))
 
 
+def stays(places: Column) -> Column:
+    """Flags of the lines up to the last dropped one, from the ascending places of those that go."""
+    gaps = F.transform(places, lambda p, j: F.array_append(F.array_repeat(F.lit(True), p - F.coalesce(F.get(places, j - 1), F.lit(-1)) - 1), F.lit(False)))
+    return F.flatten(gaps)
+
+
 ORACLE = """
 WITH r AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM r),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kit import Workspace
+from .kit import Workspace, slices
 from .tokens import Encoder
 
 SIZE, END = 2048, 0
@@ -49,13 +49,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part, texts in slices(batch):
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, text in zip(part.column(0).to_pylist(), texts.to_pylist(), strict=True):
                     ids = np.append(encoder.ids(text or ""), np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b] if with_ids else None) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=False)]

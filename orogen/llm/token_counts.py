@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kit import Manifest, TextView, Workspace
+from .kit import Manifest, TextView, Workspace, slices
 from .tokens import Encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -79,11 +79,10 @@ def counted(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                view = TextView(part.column(3))
+            for part, texts in slices(batch):
+                view = TextView(texts)
                 view.words()
-                bpe = [encoder.count(t or "") for t in part.column(3).to_pylist()]
+                bpe = [encoder.count(t or "") for t in texts.to_pylist()]
                 words = (view.first[1:] - view.first[:-1]).astype("int64")
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(words), pa.array(bpe, pa.int64())], names=["doc_id", "source", "lang", "words", "bpe"])
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -277,9 +278,36 @@ def test_line_runs_go_on_after_reopening(spark):
         want = {k for k, n in counts.items() if n >= 11}
         assert {tuple(r) for r in runs.frequent_keys().collect()} == want
     assert want
-    plan = runs._run(runs.manifest.rows[0][1]).join(runs._run(runs.manifest.rows[-1][1]).hint("merge"), line_dedup.KEY)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in text and "Broadcast" not in text and "Exchange" not in text
+    assert line_dedup.LineRuns(spark, kit.Workspace(spark, root), buckets=9).buckets == 4
+    with runs._in_order():
+        plan = runs._met(runs._run(runs.runs[0][1]))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin") == len(runs.runs) > 1
+    assert "Broadcast" not in text and "Exchange" not in text and "Sort [" not in text
+
+
+def test_line_dedup_of_many_frequent_lines(spark):
+    """Time in proportion to a document's lines, all of them frequent but each third, some twice."""
+    n = 20_000
+    texts = ["\n".join(f"own {d} {i}" if i % 3 == 0 else f" Common {i % 15_000}" for i in range(n)) for d in range(10)]
+    out = line_dedup.drop_frequent_lines(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4))
+    began = time.monotonic()
+    out = out.collect()
+    assert time.monotonic() - began < 10
+    for r in out:
+        want = [x for x in r["doc"]["text"].split("\n") if x.startswith("own")]
+        assert r["kept"] == "\n".join(want) and (r["n_lines"], r["n_dropped"]) == (n, n - len(want))
+
+
+def test_manifest_keeps_its_last_versions(spark):
+    store = kit.Workspace(spark)
+    manifest = kit.Manifest(store, "m")
+    for k in range(5):
+        manifest.save([("a", str(j)) for j in range(k)])
+    again = kit.Manifest(store, "m")
+    assert again.version == 4 and again.names("a") == ["0", "1", "2", "3"]
+    versions = spark.read.schema(kit.Manifest.SCHEMA).parquet(store.path("m-manifest")).select("version").distinct()
+    assert {r["version"] for r in versions.collect()} == {2, 3, 4}
 
 
 def test_line_digest_has_two_hashes(spark):
