@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.maths import clamp
+from .rounds import Rounds
 
 
 def quantise(h: Column, low: float = -64.0, high: float = 320.0, most: int = 65535) -> Column:
@@ -73,24 +75,38 @@ def stratum(h: Column, strata: list[dict], slope: Column | None = None, value: s
     return out
 
 
+def strata_by_level(strata: DataFrame, levels: DataFrame, width: int = 16, limits: tuple[str, ...] = ()) -> DataFrame:
+    """(level, limits, s): the strata that can be first somewhere on one of ``levels`` (level, distinct); s holds seq and terrain.
+
+    Ranges are dealt to the bins of ``width`` levels that they touch and meet the levels there. Of a level's strata with the
+    same limits only the first can be a cell's, and none after the first without limits.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    held = strata.filter("lo <= hi").select("seq", "lo", "hi", "terrain", *(F.when(F.col(limits[0]).isNotNull(), F.col(c)).alias(c) for c in limits), bins.alias("bin"))
+    held = held.join(levels.withColumn("bin", F.floor(F.col("level") / width)), "bin").filter("level BETWEEN lo AND hi")
+    held = held.groupBy("level", *limits).agg(F.min(F.struct("seq", "terrain")).alias("s"))
+    if not limits:
+        return held
+    last = F.min(F.when(F.col(limits[0]).isNull(), F.col("s"))).over(Window.partitionBy("level"))
+    return held.withColumn("last", last).filter("last IS NULL OR s <= last").drop("last")
+
+
 def strata_join(cells: DataFrame, strata: DataFrame, width: int = 16, slope: str | None = None) -> DataFrame:
     """Adds seq and terrain: the first stratum by seq that holds floor(h), and the slope within its limits if it has any.
 
-    ``strata`` is a table of any size (seq, lo, hi, terrain, and with ``slope`` also slope_lo, slope_hi). Ranges are dealt
-    to the bins of ``width`` levels that they touch, cells to their one bin; they meet by equality, the range
-    is the rest of the condition, and each cell's matches are reduced to the first before they are shuffled. A bin that
-    a third of the cells share is split by the skew join. Cells that none holds keep nulls, as do null and NaN
-    heights; empty ranges hold nothing. A cell must occur once.
+    ``strata`` is a table of any size (seq, lo, hi, terrain, and with ``slope`` also slope_lo, slope_hi). It is reduced to
+    each level's first strata before cells meet it by equality of levels: a cell meets a row for each pair of limits at
+    most, however many strata hold its level. A level that a third of the cells share is split by the skew join. Cells that
+    none holds keep nulls, as do null and NaN heights; empty ranges hold nothing. A cell must occur once.
     """
+    cells = Rounds(cells, "strata").save(cells, "cells")
     level = F.when(~F.isnan("h"), F.floor("h")).alias("level")
-    limits = ["slope_lo", "slope_hi"] if slope else []
-    bins = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-    held = strata.filter("lo <= hi").select("seq", "lo", "hi", "terrain", *limits, bins.alias("bin"))
-    asked = cells.select("z", "x", level, *([F.col(slope).alias("steepness")] if slope else [])).withColumn("bin", F.floor(F.col("level") / width))
-    met = asked.join(held, "bin").filter("level BETWEEN lo AND hi")
+    asked = cells.select("z", "x", level, *([F.col(slope).alias("steepness")] if slope else []))
+    held = strata_by_level(strata, asked.filter("level IS NOT NULL").select("level").distinct(), width, ("slope_lo", "slope_hi") if slope else ())
+    met = asked.join(held, "level")
     if slope:
         met = met.filter("slope_lo IS NULL OR steepness BETWEEN slope_lo AND slope_hi")
-    first = met.groupBy("z", "x").agg(F.min(F.struct("seq", "terrain")).alias("s")).select("z", "x", "s.seq", "s.terrain")
+    first = met.groupBy("z", "x").agg(F.min("s").alias("s")).select("z", "x", "s.seq", "s.terrain")
     return cells.join(first, ["z", "x"], "left")
 
 
