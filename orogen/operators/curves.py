@@ -8,7 +8,7 @@ table, and evaluation is a join on the segment number and Horner's rule.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,76 +174,123 @@ def jittered(stations: DataFrame, seed: int = 42, base_altitude: float = 240.0,
 NODES, WEIGHTS = np.polynomial.legendre.leggauss(12)
 
 
-class Arc:
-    """Arc length along one spline, from its segments (t0, t1 and the coefficients of x and z)."""
+class Arcs:
+    """Arc length along many splines at once, from their segments (t0, t1 and the coefficients of x and z), spline by spline."""
 
-    def __init__(self, t0: np.ndarray, t1: np.ndarray, x: np.ndarray, z: np.ndarray):
+    def __init__(self, first: np.ndarray, t0: np.ndarray, t1: np.ndarray, x: np.ndarray, z: np.ndarray):
         self.t0, self.x, self.z = t0, x, z
-        low, high = t0, np.append(t0[1:], t1[-1])
-        whole, done = self.between(low, high), []
-        near = 1e-11 * max(1.0, float(whole.sum()))
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t0))))
+        last = np.append(first[1:], len(t0)) - 1
+        k, low, high = np.arange(len(t0)), t0, np.append(t0[1:], t1[-1])
+        high[last] = t1[last]
+        whole, done = self.between(k, low, high), []
+        near = 1e-11 * np.maximum(1.0, np.add.reduceat(whole, first))
         for _ in range(40):  # steps whose halves disagree with them are halved
             middle = (low + high) / 2
-            first, second = self.between(low, middle), self.between(middle, high)
-            holds = np.abs(first + second - whole) <= near
-            done += [(low[holds], first[holds]), (middle[holds], second[holds])]
-            low, high = np.append(low[~holds], middle[~holds]), np.append(middle[~holds], high[~holds])
-            whole = np.append(first[~holds], second[~holds])
+            before, after = self.between(k, low, middle), self.between(k, middle, high)
+            holds = np.abs(before + after - whole) <= near[own[k]]
+            done += [(k[holds], low[holds], before[holds]), (k[holds], middle[holds], after[holds])]
+            k, low, high = np.append(k[~holds], k[~holds]), np.append(low[~holds], middle[~holds]), np.append(middle[~holds], high[~holds])
+            whole = np.append(before[~holds], after[~holds])
             if holds.all():
                 break
-        starts, lengths = (np.concatenate(v) for v in zip(*done, (low, whole), strict=True))
-        order = np.argsort(starts, kind="stable")
-        self.edges, self.walked = np.append(starts[order], t1[-1]), np.append(0.0, np.cumsum(lengths[order]))
-
-    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of pieces [a, b], each within one segment, by quadrature."""
-        t = (a + b)[:, None] / 2 + (b - a)[:, None] / 2 * NODES
-        k = np.clip(np.searchsorted(self.t0, (a + b) / 2, side="right") - 1, 0, len(self.t0) - 1)
-        s = t - self.t0[k][:, None]
+        self.k, self.starts, lengths = (np.concatenate(v) for v in zip(*done, (k, low, whole), strict=True))
+        order = np.lexsort((self.starts, self.k))
+        self.k, self.starts, lengths = self.k[order], self.starts[order], lengths[order]
+        self.first = np.flatnonzero(np.append(True, np.diff(own[self.k]) > 0))
+        self.ends = np.append(self.starts[1:], 0.0)
+        self.ends[np.append(self.first[1:], len(lengths)) - 1] = t1[last]
+        self.walked = [np.append(0.0, np.cumsum(part)) for part in np.split(lengths, self.first[1:])]
+        self.length = np.array([w[-1] for w in self.walked])
+
+    def between(self, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of pieces [a, b] of segments k, by quadrature."""
+        s = (a + b)[:, None] / 2 + (b - a)[:, None] / 2 * NODES - self.t0[k][:, None]
         speed = [c[k, 1][:, None] + s * (2 * c[k, 2][:, None] + s * (3 * c[k, 3][:, None])) for c in (self.x, self.z)]
         return (np.hypot(*speed) * WEIGHTS).sum(1) * (b - a) / 2
 
-    def parameter(self, arcs: np.ndarray) -> np.ndarray:
-        """Where the curve has run through each arc length, by root finding within the step that holds it."""
-        k = np.clip(np.searchsorted(self.walked, arcs, side="left") - 1, 0, len(self.edges) - 2)
-        start, low, high = self.edges[k], self.edges[k], self.edges[k + 1]
-        left, whole = arcs - self.walked[k], self.walked[k + 1] - self.walked[k]
+    def parameters(self, arcs: list[np.ndarray]) -> np.ndarray:
+        """Where each spline has run through each of its arc lengths, by root finding within the steps that hold them."""
+        own = np.repeat(np.arange(len(arcs)), [len(v) for v in arcs])
+        found = [np.clip(np.searchsorted(w, v, side="left") - 1, 0, len(w) - 2) for w, v in zip(self.walked, arcs, strict=True)]
+        left = np.concatenate([v - w[i] for w, v, i in zip(self.walked, arcs, found, strict=True)])
+        whole = np.concatenate([w[i + 1] - w[i] for w, i in zip(self.walked, found, strict=True)])
+        step = np.concatenate(found) + self.first[own]
+        k, start, low, high = self.k[step], self.starts[step], self.starts[step], self.ends[step]
         t = start + (high - start) * np.where(whole > 0, left / np.where(whole > 0, whole, 1.0), 0.0)
+        near, live = 1e-13 * np.maximum(1.0, self.length[own]), np.arange(len(t))
         for _ in range(60):  # Newton's steps; those that would leave the bracket become halvings
-            over = self.between(start, t) - left
-            low, high = np.where(over > 0, low, t), np.where(over > 0, t, high)
-            if (np.abs(over) <= 1e-13 * max(1.0, self.walked[-1])).all():
+            over = self.between(k[live], start[live], t[live]) - left[live]
+            low[live], high[live] = np.where(over > 0, low[live], t[live]), np.where(over > 0, t[live], high[live])
+            far = np.bincount(own[live], np.abs(over) > near[live], len(arcs))[own[live]] > 0  # a spline's stations end together
+            live, over = live[far], over[far]
+            if not len(live):
                 break
-            speed = self.speed(t)
-            new = t - over / np.where(speed > 0, speed, 1.0)
-            t = np.where((speed > 0) & (new > low) & (new < high), new, (low + high) / 2)
+            speed = self.speed(k[live], t[live])
+            new = t[live] - over / np.where(speed > 0, speed, 1.0)
+            t[live] = np.where((speed > 0) & (new > low[live]) & (new < high[live]), new, (low[live] + high[live]) / 2)
         return np.where(left <= 0, start, t)
 
-    def speed(self, t: np.ndarray) -> np.ndarray:
-        k = np.clip(np.searchsorted(self.t0, t, side="right") - 1, 0, len(self.t0) - 1)
+    def speed(self, k: np.ndarray, t: np.ndarray) -> np.ndarray:
         s = t - self.t0[k]
         return np.hypot(*(c[k, 1] + s * (2 * c[k, 2] + s * (3 * c[k, 3])) for c in (self.x, self.z)))
 
 
+AT_ONCE = 4096  # segments whose splines are worked on together; one longer spline is taken whole
+
+
 def spaced_stations(segment_table: DataFrame, spacing: float, jitter: float = 0.25, seed: int = 42) -> DataFrame:
     """(spline_id, inst_id, t): stations along each spline, from its start.
 
     A station lies the spacing, stretched by its draw of up to ``jitter``, beyond the one before it along the curve. Arc
     lengths come from quadrature and are inverted by root finding, so no station is lost however long the curve is.
+    Splines come sorted and are worked on by the thousand.
     """
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("seg")
-        spline = key[0].as_py()
+    def along(spline: int | None, length: float) -> np.ndarray:
+        at, end = [0.0], length * (1 + 1e-9)
+        gap = (lambda i: 1.0 + jitter * uniform_of(seed, "gap", spline, i)) if jitter else lambda _: 1.0
+        while (ahead := at[-1] + spacing * gap(len(at) - 1)) <= end:
+            at.append(min(ahead, length))
+        return np.array(at)
+
+    def stations(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
         of = lambda *names: np.stack([table.column(n).to_numpy() for n in names], 1)
-        arc = Arc(table.column("t0").to_numpy(), table.column("t1").to_numpy(), of("ax", "bx", "cx", "dx"), of("az", "bz", "cz", "dz"))
-        at, end = [0.0], arc.walked[-1] * (1 + 1e-9)
-        while (ahead := at[-1] + spacing * (1.0 + jitter * uniform_of(seed, "gap", spline, len(at) - 1))) <= end:
-            at.append(min(ahead, arc.walked[-1]))
-        t = arc.parameter(np.array(at))
-        return pa.table({"spline_id": pa.array([spline] * len(t), pa.int32()), "inst_id": pa.array(range(len(t)), pa.int32()), "t": t})
-
-    return segment_table.groupBy("spline_id").applyInArrow(run, "spline_id int, inst_id int, t double")
+        arcs = Arcs(first, table.column("t0").to_numpy(), table.column("t1").to_numpy(), of("ax", "bx", "cx", "dx"), of("az", "bz", "cz", "dz"))
+        splines = table.column("spline_id").take(pa.array(first))
+        at = [along(*v) for v in zip(splines.to_pylist(), arcs.length.tolist(), strict=True)]
+        count = [len(v) for v in at]
+        ids = splines.combine_chunks().take(pa.array(np.repeat(np.arange(len(first)), count)))
+        number = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in count]))
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int32()), number, pa.array(arcs.parameters(at))], names=["spline_id", "inst_id", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def whole(table: pa.Table, end: bool) -> Iterator[pa.RecordBatch]:
+            """Stations of the splines that have ended; the last one waits for more unless it is the end."""
+            null = table.column("spline_id").is_null().to_numpy()
+            key = table.column("spline_id").fill_null(0).to_numpy()
+            first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(null.astype(int)) != 0)))
+            bounds = np.append(first, len(key)) if end else first
+            lo = 0
+            while lo < len(bounds) - 1:
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + AT_ONCE, side="right")) - 1)
+                yield stations(table.slice(bounds[lo], bounds[hi] - bounds[lo]), bounds[lo:hi] - bounds[lo])
+                lo = hi
+            waiting[:] = [] if end else table.slice(bounds[-1]).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                if sum(b.num_rows for b in waiting) > AT_ONCE:
+                    yield from whole(pa.Table.from_batches(waiting), False)
+        if waiting:
+            yield from whole(pa.Table.from_batches(waiting), True)
+
+    # a number of tasks of its own: by bytes, many splines' small rows would be one task's
+    tasks = int(segment_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segment_table.repartition(tasks, "spline_id").sortWithinPartitions("spline_id", "seg").mapInArrow(run, "spline_id int, inst_id int, t double")
 
 
 def tangent_frame(angle: Column, dx: Column, dz: Column) -> tuple[Column, Column]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from orogen.operators import world
+from orogen.operators import curves, world
 
 
 def test_cells_meet_few_of_many_strata(spark):
@@ -18,3 +20,21 @@ def test_cells_meet_few_of_many_strata(spark):
     got = {r["x"]: (r["seq"], r["terrain"]) for r in world.strata_join(cells, strata, slope="s").collect()}
     # level 2 is held by remainders 0, 1, 2; level 0 by 0 only; level 3 by 1, 2, 3
     assert got == {0: (1, "t1"), 1: (0, "t0"), 2: (0, "t0"), 3: (5, "t5"), 4: (None, None), 5: (None, None), 6: (1, "t1")}
+
+
+def test_splines_are_worked_on_together(spark):
+    """Stations of thousands of short splines cost no Python group each, and a long spline is not cut."""
+    rows = [(s, g, float(g), g + 1.0, 3.0 * g, 3.0, 0.0, 0.0, 0.0, 0.5 * (s % 4), 0.0, 0.0) for s in range(900) for g in range(1 + (s % 450 == 7) * 6000)]
+    table = spark.createDataFrame([(None, *r[1:]) if r[0] == 3 else r for r in rows], curves.SEGMENT).repartition(5)
+    out = curves.spaced_stations(table, 1.0, jitter=0.0)
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    at = {}
+    for r in out.collect():
+        at.setdefault(r["spline_id"], []).append((r["inst_id"], r["t"]))
+    assert len(at) == 900
+    for s, got in at.items():
+        of = 3 if s is None else s
+        speed = math.hypot(3.0, 0.5 * (of % 4))
+        n = int((1 + (of % 450 == 7) * 6000) * speed * (1 + 1e-9)) + 1
+        assert [i for i, _ in sorted(got)] == list(range(n))
+        assert max(abs(t - i / speed) for i, t in got) < 1e-8
