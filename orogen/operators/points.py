@@ -15,7 +15,9 @@ sample of that size, is settled by one task at once, with the same result.
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,15 +100,44 @@ def _struck(live: DataFrame, taken: DataFrame, k: int, keep: Rounds, name: str)
     return out
 
 
+class _Buckets:
+    """Points by class of radius, for a task that holds them all: (class, bucket) to (x, z, r, own class, number)."""
+
+    def __init__(self, classes: list[int]):
+        self.classes = sorted(set(classes))
+        self.upto: dict[tuple[int, int, int], list[tuple]] = {}  # of a class and finer ones
+        self.only: dict[tuple[int, int, int], list[tuple]] = {}
+
+    def add(self, k: int, x: float, z: float, r: float, number: int) -> None:
+        point = x, z, r, k, number
+        for m in self.classes[bisect.bisect_left(self.classes, k) :]:
+            self.upto.setdefault((m, int(x // 2.0**m), int(z // 2.0**m)), []).append(point)
+        self.only.setdefault((k, int(x // 2.0**k), int(z // 2.0**k)), []).append(point)
+
+    def near(self, k: int, x: float, z: float, r: float, coarser: bool = False) -> Iterator[tuple]:
+        """Points closer than the greater of both radii: of the class and finer ones, or of coarser ones."""
+        for m in self.classes[bisect.bisect_right(self.classes, k) :] if coarser else [k]:
+            held, bx, bz = self.only if coarser else self.upto, int(x // 2.0**m), int(z // 2.0**m)
+            for a in (0, -1, 1):
+                for b in (0, -1, 1):
+                    for point in held.get((m, bx + a, bz + b), ()):
+                        dx, dz = point[0] - x, point[1] - z
+                        far = r if r > point[2] else point[2]
+                        # the sum of squares settles all but a hair's breadth, which is asked as elsewhere
+                        square = dx * dx + dz * dz
+                        if square < far * far * 1.000001 and (square < far * far * 0.999999 or np.hypot(dx, dz) < far):
+                            yield point
+
+
 def _in_order(table: pa.Table) -> pa.Table:
     """The sample of candidates that one task holds."""
     names = ("class", "priority", "id", "px", "pz", "r")
     rows = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True))
-    at, radius, taken = np.zeros((len(rows), 2)), np.zeros(len(rows)), []
+    held, taken = _Buckets([row[0] for row in rows]), []
     for row in rows:
-        n, (x, z, r) = len(taken), row[3:]
-        if not n or (np.hypot(at[:n, 0] - x, at[:n, 1] - z) >= np.maximum(radius[:n], r)).all():
-            at[n], radius[n] = (x, z), r
+        k, at = row[0], row[3:]
+        if next(held.near(k, *at), None) is None:
+            held.add(k, *at, len(taken))
             taken.append(row)
     columns = dict(zip(names, zip(*taken, strict=True), strict=True)) if taken else {}
     return table.schema.empty_table() if not taken else pa.table({f.name: pa.array(columns[f.name], f.type) for f in table.schema})
@@ -153,13 +184,18 @@ def poisson_disk(points: DataFrame, small: int | None = None) -> DataFrame:
 
 def _counted(table: pa.Table) -> pa.Table:
     """``gaps`` of the candidates that one task holds; ``mark`` tells the taken ones."""
-    at, r = np.stack([table.column(c).to_numpy() for c in ("px", "pz")], 1), table.column("r").to_numpy()
-    mark = table.column("mark").to_numpy(zero_copy_only=False).astype(bool)
-    own, own_r, close, free = at[mark], r[mark], 0, 0
-    for point, radius, is_taken in zip(at, r, mark, strict=True):
-        near = int((np.hypot(*(own - point).T) < np.maximum(own_r, radius)).sum())
-        close, free = (close + near - 1, free) if is_taken else (close, free + (near == 0))
-    return pa.table({"candidates": [len(r)], "taken": [int(mark.sum())], "too_close": [close // 2], "uncovered": [free]})
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("class", "px", "pz", "r", "mark")), strict=True))
+    held, close, free = _Buckets([row[0] for row in rows]), 0, 0
+    for number, row in enumerate(rows):
+        if row[4]:
+            held.add(*row[:4], number)
+    for number, row in enumerate(rows):
+        at = row[:4]
+        if row[4]:  # a pair counts at its coarser point
+            close += sum(k < row[0] or other < number for _, _, _, k, other in held.near(*at))
+        else:
+            free += next(held.near(*at), None) is None and next(held.near(*at, coarser=True), None) is None
+    return pa.table({"candidates": [len(rows)], "taken": [sum(row[4] for row in rows)], "too_close": [close], "uncovered": [free]})
 
 
 def gaps(points: DataFrame, taken: DataFrame, small: int | None = None) -> DataFrame:
@@ -170,7 +206,7 @@ def gaps(points: DataFrame, taken: DataFrame, small: int | None = None) -> DataF
     are checked by one task. All points taken are candidates.
     """
     keep = Rounds(points, "gaps")
-    marked = keep.save(points.select("id", "px", "pz", "r").join(taken.select("id", F.lit(True).alias("mark")), "id", "left").fillna(False, ["mark"]), "marked")
+    marked = keep.save(points.select("id", "px", "pz", "r", radius_class().alias("class")).join(taken.select("id", F.lit(True).alias("mark")), "id", "left").fillna(False, ["mark"]), "marked")
     if 0 < marked.limit((small := rounds.SMALL if small is None else small) + 1).count() <= small:
         return marked.groupBy().applyInArrow(_counted, "candidates long, taken long, too_close long, uncovered long")
     points, taken = points.withColumn("class", radius_class()), keep.save(taken.withColumn("class", radius_class()), "taken")
