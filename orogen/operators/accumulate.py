@@ -24,7 +24,7 @@ from . import rounds
 from .rounds import DIRECTIONS, Rounds, cell_id, rows_by_tile
 from .tiles import tiled
 
-ENTRIES = 128  # unit inflows carried at a time
+ENTRIES = 32  # unit inflows carried at a time: 17 MB of a tile of 256
 _RECEIVERS = ["k1", "p1", "k2", "p2"]
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from orogen.operators import curves, points, world
+from orogen.operators import accumulate, curves, points, world
 
 
 def test_cells_meet_few_of_many_strata(spark):
@@ -68,3 +69,17 @@ def test_a_task_of_many_candidates_does_not_compare_all(spark):
     x, z, s = (part.column(c).to_numpy() for c in ("px", "pz", "r"))
     pairs = (np.hypot(x[:, None] - x, z[:, None] - z) < np.maximum(s[:, None], s)).sum() - len(part)
     assert every["too_close"] == pairs // 2 and every["uncovered"] == 0
+
+
+def test_unit_inflows_of_a_tile_stay_small():
+    """The largest tile's links hold some tens of MB at once, whatever flows in along its edge."""
+    n = 258
+    k1 = np.full((n, n), 1.0)  # all flow along the diagonal, so two edges receive
+    own = np.zeros((n, n), bool)
+    own[1:-1, 1:-1] = True
+    tracemalloc.start()
+    parts = accumulate._links(k1, np.ones((n, n)), np.full((n, n), -1.0), np.zeros((n, n)), own, 0, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert sum(len(p["to"]) for p in parts if "from" in p) == 2 * 256 - 1
