@@ -41,36 +41,52 @@ class Ground:
         return self.low[0] <= z < self.high[0] and self.low[1] <= x < self.high[1]
 
     def search(self, pit: tuple[float, int, int], sources: list[tuple[float, int, int, int, int]], most: float, want: tuple[int, int] | None = None):  # noqa: ANN201
-        """Cells settled in the tile with (cost, cell before), the cheapest outlet, and labels beyond; stops at ``want``."""
+        """Cells settled in the tile with (cost, cell before), the cheapest outlet, and labels beyond; stops at ``want``.
+
+        All sources are searched from at once: a cell is settled once, whatever their number. An outlet is
+        (cost, z, x, number of its source), a label beyond (cost, number of its source).
+        """
         floor, done, beyond, outlet = pit[0], {}, {}, None
-        queue = [(cost, z, x, None, None) for cost, z, x, _, _ in sources]
+        queue = [(cost, z, x, number, None, None) for number, (cost, z, x, *_) in enumerate(sources)]
         heapq.heapify(queue)
+        reached: dict[tuple[int, int], float] = {}
         top, bottom, left, right = self.ends
         while queue:
-            cost, z, x, before_z, before_x = heapq.heappop(queue)
+            cost, z, x, source, before_z, before_x = heapq.heappop(queue)
             if cost > most or outlet is not None and cost > outlet[0]:
                 break
             if (z, x) in done:
                 continue
             if not self.own(z, x):
                 if (z, x) not in beyond:
-                    beyond[z, x] = cost
+                    beyond[z, x] = cost, source
                 continue
             done[z, x] = cost, before_z, before_x
             if (z, x) == want:
                 break
             here = self.height[z, x]
             if (here, z, x) < pit or ((z in (top, bottom) or x in (left, right)) and (z, x) != pit[1:]):
-                outlet = outlet or (cost, z, x)
+                outlet = outlet or (cost, z, x, source)
                 continue
             for dz, dx in self.steps:
                 a, b = z + dz, x + dx
                 there = self.height.get((a, b))
                 if there is not None and (a, b) not in done:
                     # an outlet is not cut, save one of the border that is higher than the pit
-                    heapq.heappush(queue, (cost + max(0.0, there - floor), a, b, z, x))
+                    there = cost + max(0.0, there - floor)
+                    if there <= reached.get((a, b), most):
+                        reached[a, b] = there
+                        heapq.heappush(queue, (there, a, b, source, z, x))
         return done, outlet, beyond
 
+    def widen(self, pit: tuple[float, int, int], sources: list[tuple[float, int, int, int, int]], most: float) -> list[tuple]:
+        """(kind, cost, z, x, source's z, source's x): the tile's outlet, and labels beyond it that are cheaper."""
+        sources = sorted(sources, key=lambda s: s[:3])
+        _, outlet, beyond = self.search(pit, sources, most)
+        best = min(most, outlet[0]) if outlet else most
+        rows = [("outlet", *outlet[:3], *sources[outlet[3]][1:3])] if outlet else []
+        return rows + [("open", cost, z, x, *sources[number][1:3]) for (z, x), (cost, number) in beyond.items() if cost < best]
+
 
 def _by_tile(cells: DataFrame, labels: DataFrame, tile: int, kernel: Callable[[pa.Table, pa.Table, int, int], pa.Table], schema: str) -> DataFrame:
     """Runs a kernel on the tiles that have labels."""
@@ -130,19 +146,8 @@ def breach(grid: DataFrame, tile: int = 256, eight: bool = False) -> tuple[DataF
     def widen(table: pa.Table, asks: pa.Table, tz: int, tx: int) -> pa.Table:
         ground, rows = Ground(table, tz, tx, tile, ends, eight), []
         for (number, height), sources in _grouped(asks).items():
-            # each source in turn, so that what leaves the tile knows its label
-            best, found = min(s[5] for s in sources), {}
-            for source in sorted(sources, key=lambda s: s[:3]):
-                _, outlet, beyond = ground.search(_pit(number, height), [source[:5]], best)
-                if outlet and outlet[0] < found.get("outlet", (np.inf,))[0]:
-                    found["outlet"] = (*outlet, source[1], source[2])
-                    best = min(best, outlet[0])
-                for (z, x), cost in beyond.items():
-                    if cost < found.get((z, x), (np.inf,))[0]:
-                        found[z, x] = cost, z, x, source[1], source[2]
-            for name, (cost, z, x, from_z, from_x) in found.items():
-                if name == "outlet" or cost < best:
-                    rows.append(("outlet" if name == "outlet" else "open", number, height, z, x, cost, from_z, from_x))
+            for kind, cost, z, x, from_z, from_x in ground.widen(_pit(number, height), [s[:5] for s in sources], min(s[5] for s in sources)):
+                rows.append((kind, number, height, z, x, cost, from_z, from_x))
         return _table(rows, _FOUND)
 
     pits = keep.save(cells.groupBy("tile_z", "tile_x").applyInArrow(pits_of, _LABEL), "pits")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from orogen.operators import accumulate, curves, points, world
+from orogen.operators import accumulate, breaching, curves, points, world
 
 
 def test_cells_meet_few_of_many_strata(spark):
@@ -83,3 +83,32 @@ def test_unit_inflows_of_a_tile_stay_small():
     tracemalloc.stop()
     assert peak < 60e6
     assert sum(len(p["to"]) for p in parts if "from" in p) == 2 * 256 - 1
+
+
+def test_labels_of_a_pit_search_a_tile_at_once():
+    """A pit's labels enter a tile along its whole edge: each cell is settled once, not once a label, with the same costs."""
+    side, asked = 40, []
+
+    class Counted(breaching.Ground):
+        def own(self, z, x):
+            asked.append((z, x))
+            return super().own(z, x)
+
+    rng = np.random.default_rng(8)
+    z, x = (v.ravel() for v in np.mgrid[39 : 39 + side + 2, 39 : 39 + side + 2])
+    cells = pa.table({"z": z, "x": x, "h": rng.integers(3, 30, len(z)).astype(float)})
+    ground = Counted(cells, 1, 1, side, (0, 999, 0, 999), False)
+    sources = [(float(rng.integers(0, 60)), 40, 40 + k, 39, 40 + k) for k in range(side)]
+    got = ground.widen((0.0, 7, 7), sources, np.inf)
+    assert len(asked) <= 5 * len(z)
+    want = {}
+    for s in sources:
+        for at, (cost, _) in ground.search((0.0, 7, 7), [s], np.inf)[2].items():
+            want[at] = min(want.get(at, np.inf), cost)
+    assert {r[2:4]: r[1] for r in got} == want and len(want) >= 4 * side - 4
+    # each label names a source that it can be reached from at its cost
+    for _, cost, a, b, from_z, from_x in got[::7]:
+        source = next(s for s in sources if s[1:3] == (from_z, from_x))
+        assert ground.search((0.0, 7, 7), [source], np.inf)[2][a, b][0] == cost
+    lower = ground.widen((20.0, 7, 7), sources, np.inf)
+    assert [r[0] for r in lower].count("outlet") == 1 and lower[0][1] == min(s[0] for s in sources if ground.height[s[1:3]] < 20.0)
