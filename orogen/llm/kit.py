@@ -25,6 +25,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ LOWER[65:91] += 32
 U64 = np.uint64
 KEPT_VERSIONS = 3
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BROADCAST, SMALL_TABLE = "spark.sql.autoBroadcastJoinThreshold", "256k"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -89,6 +91,22 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark broadcasts of its own accord only what it takes for SMALL_TABLE at most.
+
+    It judges a written table by its compressed files and leaves out what an explode multiplies, so
+    under the default of 10 MB the driver may have to hold a hundred times that.
+    """
+    was = spark.conf.get(BROADCAST)
+    if not was.startswith("-"):  # else nothing is broadcast anyway
+        spark.conf.set(BROADCAST, SMALL_TABLE)
+    try:
+        yield
+    finally:
+        spark.conf.set(BROADCAST, was)
+
+
 class Manifest:
     """The latest complete list of (kind, name) of a store, kept in versions under ``name``."""
 

@@ -54,10 +54,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import PARTS, components
-from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices
+from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices, small_broadcasts
 
 BLOCK, BATCH_TILES, GROUP_TILES = 4096, 500_000, 250_000
-BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS, MOST_ASKED = 20, 16, 4096, 1 << 15, 32, 1_000_000
+BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS, MOST_ASKED, ID_BITS = 20, 16, 4096, 1 << 15, 32, 1_000_000, 1 << 24
 
 
 class Bands:
@@ -334,14 +334,29 @@ def _bounded(pairs: DataFrame, bands: Bands) -> DataFrame:
     return pairs.select("a", "b", "a_n_shingles", "b_n_shingles", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
 
 
-def _beside(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
-    """Pairs with the columns of ``table`` for one side; a document in many pairs is joined by parts."""
-    other = "b" if side == "a" else "a"
-    hot = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPLIT).alias("parts")).filter("parts > 1")
-    split = pairs.join(hot, side, "left").withColumn("split", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
-    table = _side(table, side).join(hot, side, "left")
-    table = table.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return split.join(table, [side, "split"]).drop("split")
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``table`` for both sides; a document in many pairs is joined by parts.
+
+    Parts are given while the pairs are narrow, so what is wide moves once for each side. Documents in more than SPLIT
+    pairs are few, a row for SPLIT pairs at most.
+    """
+    many = {side: F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / SPLIT).alias("parts")).filter("parts > 1")) for side in "ab"}
+    out = pairs
+    for side, other in ("ab", "ba"):
+        out = out.join(many[side], side, "left").withColumn(f"{side}_split", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    for side in "ba":
+        rows = _side(table, side).join(many[side], side, "left")
+        rows = rows.withColumn(f"{side}_split", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        out = out.join(rows, [side, f"{side}_split"])
+    return out.drop("a_split", "b_split")
+
+
+def _about(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents of ``ids`` and a few others, without moving texts: marks of a fixed size are looked up in place."""
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(ID_BITS)).cast("long")
+    marks = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("mask"))
+    near = docs.withColumn("at", at).withColumn("word", F.shiftright("at", 6)).join(F.broadcast(marks), "word")
+    return near.filter("shiftrightunsigned(mask, cast(at & 63 AS int)) & 1 = 1").select("doc_id", "text")
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, bands: Bands, store: Workspace, name: str) -> DataFrame:
@@ -349,11 +364,11 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, bands
     num, den = bands.num, bands.den
     bits = sketch.select("doc_id", "n_shingles", "bits")
     pairs = store.save(pairs, f"{name}-pairs")
-    near = _bounded(_beside(_beside(pairs, bits, "b"), bits, "a"), bands).distinct()
+    near = _bounded(_beside(pairs, bits), bands).distinct()
     near = store.save(near, f"{name}-near")
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    arrays = store.save(shingle_arrays(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), f"{name}-arrays")
-    full = _beside(_beside(near, arrays, "b"), arrays, "a").select("a", "b", "a_elements", "b_elements")
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b"))
+    arrays = store.save(shingle_arrays(_about(docs.select("doc_id", "text"), ids), k), f"{name}-arrays")
+    full = _beside(near, arrays).select("a", "b", "a_elements", "b_elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,8 +463,12 @@ def _cross_pairs(members: DataFrame, bands: Bands, last: bool) -> DataFrame:
 
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None, bands: Bands | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module's docstring."""
-    store = store or Workspace(docs.sparkSession)
-    bands = bands or Bands(num, den)
+    with small_broadcasts(docs.sparkSession):
+        return _linked(docs, k, bands or Bands(num, den), store or Workspace(docs.sparkSession))
+
+
+def _linked(docs: DataFrame, k: int, bands: Bands, store: Workspace) -> DataFrame:
+    num, den = bands.num, bands.den
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, size * (den - num) // (2 * (den + num) * GROUP_TILES) + 1)
     whole = _dealt(docs, k, bands, commonness(docs, k, bands), groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)

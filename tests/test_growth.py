@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from orogen.llm import kit, ngram_join
 from orogen.operators import accumulate, breaching, curves, points, world
 
 
@@ -112,3 +113,39 @@ def test_labels_of_a_pit_search_a_tile_at_once():
         assert ground.search((0.0, 7, 7), [source], np.inf)[2][a, b][0] == cost
     lower = ground.widen((20.0, 7, 7), sources, np.inf)
     assert [r[0] for r in lower].count("outlet") == 1 and lower[0][1] == min(s[0] for s in sources if ground.height[s[1:3]] < 20.0)
+
+
+def test_texts_are_not_moved_to_find_those_of_pairs(spark):
+    docs = spark.createDataFrame([(i if i != 7 else None, f"text {i}") for i in range(300)], "doc_id int, text string")
+    ids = spark.createDataFrame([(i,) for i in (3, 3, 64, 65, 250, 10**9)], "doc_id long")
+    out = ngram_join._about(docs, ids)
+    got = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert {(i, f"text {i}") for i in (3, 64, 65, 250)} <= got and len(got) < 10
+    moved = [line for line in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert moved and not any("doc_id" in line for line in moved)
+
+
+def test_sides_of_pairs_move_once(spark, monkeypatch):
+    """Both sides' columns beside each pair, also where a document is joined by parts; each wide side has one exchange of its own."""
+    monkeypatch.setattr(ngram_join, "SPLIT", 3)
+    rows = [(1, b) for b in range(2, 12)] + [(b, 20) for b in range(2, 12)] + [(30, 31)]
+    pairs = spark.createDataFrame(rows, "a long, b long")
+    table = spark.createDataFrame([(i, f"x{i}") for i in range(40)], "doc_id long, wide string")
+    with kit.small_broadcasts(spark):
+        out = ngram_join._beside(pairs, table)
+        assert sorted(tuple(r) for r in out.select("a", "b", "a_wide", "b_wide").collect()) == sorted((a, b, f"x{a}", f"x{b}") for a, b in rows)
+
+
+def test_the_driver_is_not_sent_what_files_hide(spark):
+    """A small file of many rows, times 16 by an explode, is not broadcast while components are found."""
+    was, seen = spark.conf.get(kit.BROADCAST), []
+
+    class Seen(kit.Workspace):
+        def save(self, df, name, by=None):
+            seen.append(self.spark.conf.get(kit.BROADCAST))
+            return super().save(df, name, by)
+
+    docs = spark.createDataFrame([(i, f"one two three {i // 2} four five six") for i in range(40)], "doc_id long, text string")
+    out = ngram_join.similarity_components(docs, 3, 9, 10, Seen(spark))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i // 2 * 2 for i in range(40)}
+    assert set(seen) == {kit.SMALL_TABLE} and spark.conf.get(kit.BROADCAST) == was
