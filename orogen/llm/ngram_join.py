@@ -24,13 +24,15 @@ arrays intersected.
 Links within a tile. A task pairs the members of a tile with the smallest of its batch, and a
 tile's group pairs these leaders with the smallest of all: the pairs are few, and a
 tile that a third of all documents share costs its group one row a batch. Most tiles,
-even hot ones, become one component this way. In tiles that still hold several
-components, members are compared by shorter maps in blocks of bounded size, pairs
-of one component being skipped. A block gives all its pairs of components within the bound;
-where that is more than 32 a member, each member gives only its nearest other,
-which joins what edits had parted, and the tile is asked once more for all
-pairs that then remain. Components therefore equal those of the full join, while pairs
-inside a group are never expanded. A document in very many pairs is joined by parts.
+even hot ones, become one component this way.
+
+Tiles that still hold several components. A family of edited texts shares many tiles, each with a few members less, so those
+with one leader are laid together where their comparisons do not grow by more than four times: a document then
+is in a few blocks, however many tiles and relatives it has. Members of a block of bounded size are compared by shorter maps, and the
+block gives a forest of the pairs of components within the bound, not the pairs. The components of all forests hold
+every such pair. Whole sets are dealt by them, each document's once, and compared exactly unless the block has joined the
+two already. So nothing that is written or moved grows with the pairs of a family; comparisons in memory do.
+Components equal those of the full join. A document in very many pairs with leaders is joined by parts.
 
 Cases: null or empty text, or text without words: an empty set, linked with
 nothing, its own component. Fewer words than k: one shingle of all words.
@@ -44,7 +46,7 @@ go to the smallest doc_id.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,8 @@ from pyspark.sql import functions as F
 from .graph import PARTS, components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices, small_broadcasts
 
-BLOCK, BATCH_TILES, GROUP_TILES = 4096, 500_000, 250_000
-BUCKET_BITS, SLICES, SPLIT, MANY, MANY_PAIRS, MOST_ASKED, ID_BITS = 20, 16, 4096, 1 << 15, 32, 1_000_000, 1 << 24
+BLOCK, BLOCK_SHINGLES, BATCH_TILES, GROUP_TILES = 4096, 4_000_000, 500_000, 250_000
+BUCKET_BITS, SLICES, SPLIT, MANY, ID_BITS = 20, 16, 4096, 1 << 15, 1 << 24
 
 
 class Bands:
@@ -196,12 +198,16 @@ def apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
+def _text_sets(text: pa.Array, k: int) -> list[np.ndarray]:
+    view = TextView(text, lower=True)
+    words = view.word_hashes()
+    return [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(view.first[:-1], view.first[1:], strict=True)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
         for rows, text in slices(batch):
-            view = TextView(text, lower=True)
-            words = view.word_hashes()
-            yield rows.column(0), [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(view.first[:-1], view.first[1:], strict=True)]
+            yield rows.column(0), _text_sets(text, k)
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -386,81 +392,163 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, bands
     return links
 
 
-def _cross_pairs(members: DataFrame, bands: Bands, last: bool) -> DataFrame:
-    """Pairs of different components within the blocks of a tile, by bit counts.
+class _Block:
+    """Members of a block and their maps; maps of one length lie together and are folded once for each shorter length."""
+
+    def __init__(self, t: pa.Table, bands: Bands):
+        self.bands = bands
+        self.ids, self.own, self.n = (t.column(c).to_numpy() for c in ("doc_id", "own", "n_shingles"))
+        self.part = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
+        self.i, self.j = (t.column(c)[0].as_py() for c in ("i", "j"))
+        self.maps = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
+        self.length, self.row = np.array([len(m) for m in self.maps]), np.zeros(len(t), np.int64)
+        self.stacks = {}
+        for length in np.unique(self.length):
+            at = np.flatnonzero(self.length == length)
+            self.row[at] = np.arange(len(at))
+            self.stacks[length, length] = np.stack([self.maps[i] for i in at])
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with those that it is to be compared with."""
+        if self.i == self.j:
+            yield from ((x, np.arange(x + 1, len(self.ids))) for x in range(len(self.ids)))
+        else:
+            other = np.flatnonzero(self.own == self.j)
+            yield from ((x, other) for x in np.flatnonzero(self.own == self.i))
+
+    def _folded(self, length: int, words: int) -> np.ndarray:
+        if (length, words) not in self.stacks:
+            self.stacks[length, words] = np.ascontiguousarray(folded(self.stacks[length, length].T, words).T)
+        return self.stacks[length, words]
+
+    def near(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Those of ``ys`` that may link with ``x`` by their bits, fewest differing ones first."""
+        differ = np.zeros(len(ys), np.int64)
+        for length in np.unique(self.length[ys]):
+            at, words = np.flatnonzero(self.length[ys] == length), min(length, self.length[x])
+            rows = self._folded(length, words)[self.row[ys[at]]]
+            differ[at] = np.bitwise_count(rows ^ folded(self.maps[x], words)).sum(1, dtype=np.int64)
+        fits = self.bands.block_fits(self.n[ys], self.n[x], differ)
+        return ys[fits][np.argsort(differ[fits], kind="stable")]
+
+
+def _likely(b: _Block, t: pa.Table) -> list[tuple[int, int]]:
+    """A forest whose trees hold every pair of different components that may link by its bits."""
+    label, out = np.arange(len(b.ids)), []
+    for x, ys in b.asked():
+        ys = b.near(x, ys[(b.part[ys] != b.part[x]) & (label[ys] != label[x])])
+        hit, first = np.unique(label[ys], return_index=True)
+        if len(hit):
+            out += [(b.ids[x], b.ids[y]) for y in ys[first]]
+            label[np.isin(label, hit)] = label[x]
+    return out
+
+
+def _linking(b: _Block, t: pa.Table) -> list[tuple[int, int]]:
+    """A forest of links that joins all components of a block that links join, by exact intersection."""
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("elements")]
+    num, den, label, out = b.bands.num, b.bands.den, b.part.copy(), []
+    for x, ys in b.asked():
+        for y in b.near(x, ys[label[ys] != label[x]]):
+            if label[y] != label[x]:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both > 0 and both * den >= (len(sets[x]) + len(sets[y]) - both) * num:
+                    out.append((b.ids[x], b.ids[y]))
+                    label[label == label[y]] = label[x]
+    return out
+
+
+def _within_blocks(members: DataFrame, bands: Bands, pairs: Callable[[_Block, pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Distinct (a, b) that ``pairs`` finds in the blocks of ``members`` (tile, blocks, doc_id, component, n_shingles, bits, ...).
 
-    A block of more than MANY_PAIRS a member gives, unless ``last``, only each member's pair with
-    the fewest differing bits, and a row (tile, null) for what it holds back.
-    A tile of more than BLOCK members is cut into blocks by a hash; each pair of
-    blocks is one unit of work, so memory stays bounded however hot the tile.
+    A tile is cut into ``blocks`` by a hash; each pair of blocks is one unit of work, so memory stays bounded
+    however hot the tile.
     """
-    size = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    units = members.join(size, "tile").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    units = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "bits")
+    units = units.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
     units = units.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, part, own = (t.column(c).to_numpy() for c in ("doc_id", "component", "own"))
-        n = t.column("n_shingles").to_numpy()
-        bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
-        words = min(map(len, bits))
-        bits = np.stack([folded(b, words) for b in bits])
-        diagonal = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = np.arange(len(ids)) if diagonal else np.flatnonzero(own == t.column("i")[0].as_py())
-        a, b, near, held = [], [], [], 0
-        for x in left:
-            ys = np.arange(x + 1, len(ids)) if diagonal else np.flatnonzero(own != own[x])
-            ys = ys[part[ys] != part[x]]
-            differ = np.bitwise_count(bits[ys] ^ bits[x]).sum(1, dtype=np.int64)
-            fits = bands.block_fits(n[ys], n[x], differ)
-            ys, differ = ys[fits], differ[fits]
-            near += [(ids[x], ids[ys[differ.argmin()]])] if len(ys) else []
-            held += len(ys)
-            if last or held <= MANY_PAIRS * len(ids):
-                a.append(np.minimum(ids[x], ids[ys]))
-                b.append(np.maximum(ids[x], ids[ys]))
-        if not last and held > MANY_PAIRS * len(ids):
-            a, b = np.sort(np.array(near, np.int64), 1).T
-            return np.append(a, t.column("tile")[0].as_py()), np.append(b, -1), np.append(np.ones(len(a), bool), False)
-        a, b = (np.concatenate(x) if x else ids[:0] for x in (a, b))
-        return a, b, np.ones(len(a), bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            """What the blocks so far ask, each pair once: many tiles ask the same."""
-            a, b, given = (np.concatenate(x) for x in zip(*asked, strict=True))
-            asked.clear()
-            order = np.lexsort((b, a, given))
-            a, b, given = a[order], b[order], given[order]
-            first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (given[1:] != given[:-1])) if len(a) else given
-            return pa.RecordBatch.from_arrays([pa.array(a[first], pa.int64()), pa.array(b[first], pa.int64(), mask=~given[first])], names=["a", "b"])
-
-        rest, size = None, 0
+        found: list[tuple[int, int]] = []
+
+        def ask(t: pa.Table) -> None:
+            if len(t) > 1:
+                found.extend(pairs(_Block(t, bands), t))
+
+        rest: list[pa.Table] = []
+        key = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             keys = [t.column(c).to_numpy() for c in ("tile", "i", "j")]
             cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
-            edges = [0, *cut.tolist()]
+            edges = [0, *cut.tolist(), len(t)]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1:
-                    asked.append(compare(t.slice(lo, hi - lo)))
-                    size += len(asked[-1][0])
-                if size > MOST_ASKED:
-                    yield out()
-                    size = 0
-            rest = t.slice(edges[-1])
-        if rest is not None and len(rest) > 1:
-            asked.append(compare(rest))
-        if asked:
-            yield out()
+                if lo < hi:
+                    now = tuple(x[lo] for x in keys)
+                    if rest and now != key:
+                        ask(pa.concat_tables(rest))
+                        rest.clear()
+                    key = now
+                    rest.append(t.slice(lo, hi - lo))
+        if rest:
+            ask(pa.concat_tables(rest))
+        a, b = np.sort(np.array(found, np.int64).reshape(-1, 2), 1).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def _laid_together(shared: DataFrame, parts: DataFrame, store: Workspace) -> DataFrame:
+    """(tile, doc_id, component, blocks): members of tiles of several components, tiles with one leader as one.
+
+    Where the union of a leader's tiles costs more than four times the comparisons of its tiles, they stay apart.
+    """
+    placed = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # tiles with the same members ask the same question: they count once
+    same = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(i)), 28)).alias(f"s{i}") for i in (1, 2)]
+    tiles = placed.groupBy("tile").agg((F.min("component") < F.max("component")).alias("mixed"), F.min("doc_id").alias("lead"), F.count("*").alias("n"), *same)
+    tiles = store.save(tiles, "tiles")
+    met = shared.join(tiles.select("tile", "lead", "mixed"), "tile").groupBy("lead", "doc_id").agg(F.max("mixed").alias("mixed"))
+    met = store.save(met.filter("mixed").drop("mixed"), "met")
+    union = met.groupBy("lead").agg(F.count("*").cast("double").alias("u"))
+    squares = tiles.filter("mixed").select("lead", "n", "s1", "s2").distinct().groupBy("lead").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    apart = store.save(union.join(squares, "lead").filter("u * u > 4 * squares").select("lead"), "apart")
+    rest = met.join(apart, "lead", "left_anti").select((-1 - F.col("lead")).alias("tile"), "doc_id")
+    if apart.limit(1).count():
+        alone = tiles.filter("mixed").join(apart, "lead", "left_semi").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile"))
+        rest = rest.unionByName(shared.join(alone.select("tile"), "tile", "left_semi").select("tile", "doc_id"))
+    rest = rest.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = store.save(rest.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component")), "rest")
+    size = rest.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return rest.join(size, "tile")
+
+
+def _joined(edges: DataFrame, parts: DataFrame, sketch: DataFrame, docs: DataFrame, k: int, bands: Bands, store: Workspace) -> DataFrame:
+    """Links (a, b) that join all components that links within the components of ``edges`` join."""
+    near = components(edges, store, "near").select(F.col("node").alias("doc_id"), F.col("component").alias("tile"))
+    near = near.join(sketch.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id")
+    size = near.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    near = near.join(size, "tile").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    near = store.save(near.select("doc_id", "tile", "blocks", F.coalesce("component", "doc_id").alias("component")), "near")
+    members = _about(docs.select("doc_id", "text"), near).withColumn("doc_id", F.col("doc_id").cast("long")).join(near, "doc_id")
+    kept = ["doc_id", "tile", "blocks", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, text in slices(batch):
+                sets = _text_sets(text, k)
+                maps = pa.array([bands.maps(s)[1].tobytes() for s in sets], pa.binary())
+                columns = [*(rows.column(c) for c in kept), pa.array([len(s) for s in sets], pa.int64()), maps, pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_shingles", "bits", "elements"])
+
+    members = members.select(*kept, "text").mapInArrow(run, "doc_id long, tile long, blocks int, component long, n_shingles long, bits binary, elements binary")
+    links = store.save(_within_blocks(members.filter("n_shingles > 0"), bands, _linking), "cross-links")
+    store.drop("near")
+    return links
+
+
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, store: Workspace | None = None, bands: Bands | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module's docstring."""
     with small_broadcasts(docs.sparkSession):
@@ -503,32 +591,22 @@ def _linked(docs: DataFrame, k: int, bands: Bands, store: Workspace) -> DataFram
         share = F.element_at(F.array(*map(F.lit, shares)), F.col("band").cast("int") + 1)
         shared = shared.filter(F.pmod(F.xxhash64("tile"), F.lit(1 << 20)) < share * (1 << 20))
     shared = store.save(shared.select("tile", "doc_id"), "shared")
-    for turn in ("cross", "held"):
-        placed = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        placed = placed.select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        # tiles with the same members ask the same question: one of them stays
-        same = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(i)), 28)).alias(f"s{i}") for i in (1, 2)]
-        mixed = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *same)
-        mixed = mixed.filter("lo <> hi").groupBy("n", "s1", "s2").agg(F.min("tile").alias("tile")).select("tile")
-        rest = placed.join(mixed, "tile", "left_semi").join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
-        cross = store.save(_cross_pairs(store.save(rest, f"{turn}-rest"), bands, turn == "held"), f"{turn}-all")
-        found = verified(cross.filter("b is not null"), sketch, docs, k, bands, store, turn)
-        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        parts = components(links.unionByName(found), store, f"parts-{turn}")
-        held = store.save(cross.filter("b is null").select(F.col("a").alias("tile")), f"{turn}-tiles")
-        store.drop(f"{turn}-rest")
-        store.drop(f"{turn}-all")
-        store.release()
-        if not held.limit(1).count():
-            break
-        shared = shared.join(held, "tile", "left_semi")
+    rest = _laid_together(shared, parts, store).join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
+    edges = store.save(_within_blocks(rest, bands, _likely), "likely")
+    for name in ("tiles", "met", "apart", "rest", "shared"):
+        store.drop(name)
+    store.release()
+    found = _joined(edges, parts, sketch, docs, k, bands, store)
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = components(links.unionByName(found), store, "parts-cross")
+    store.release()
     of = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first"))
     placed = every.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     # a third of all rows may be copies of one text: its component is looked up by parts
     final = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(final, ["node", "part"], "left")
     out = store.save(placed.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), "components")
-    for name in ("sketch", "reps", "copies", "shared", "cross-tiles", "held-tiles"):
+    for name in ("sketch", "reps", "copies", "likely", "cross-links"):
         store.drop(name)
     store.release()
     return out

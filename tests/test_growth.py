@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
 import tracemalloc
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from orogen.llm import kit, ngram_join
+from orogen.llm import kit, minhash_dedup, ngram_join
 from orogen.operators import accumulate, breaching, curves, points, world
 
 
@@ -149,3 +150,38 @@ def test_the_driver_is_not_sent_what_files_hide(spark):
     out = ngram_join.similarity_components(docs, 3, 9, 10, Seen(spark))
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i // 2 * 2 for i in range(40)}
     assert set(seen) == {kit.SMALL_TABLE} and spark.conf.get(kit.BROADCAST) == was
+
+
+def test_rows_and_links_of_a_family_of_edits_grow_with_its_members(spark):
+    """A family of texts that are alike but mostly do not link: blocks and what they give grow no faster than the family."""
+
+    def sizes(m):
+        rng, rows = np.random.default_rng(3), {}
+
+        class Seen(kit.Workspace):
+            def save(self, df, name, by=None):
+                out = super().save(df, name, by)
+                rows[name] = out.count()
+                return out
+
+        base = [f"w{i}" for i in range(120)]
+        texts = []
+        for i in range(m):
+            words = list(base)
+            for at in rng.choice(120, 2 + i % 9, replace=False):
+                words[at] = f"x{rng.integers(10**9)}"
+            texts.append((i, " ".join(words)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = minhash_dedup.near_duplicates(docs, store=Seen(spark))
+        sets = [{(a, b) for a, b in itertools.pairwise(t.split())} for _, t in texts]
+        root = list(range(m))
+        for x in range(m):
+            for y in range(x):
+                if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]) and root[x] != root[y]:
+                    lo, hi = sorted((root[x], root[y]))
+                    root = [lo if r == hi else r for r in root]
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(root))
+        return max(n for name, n in rows.items() if name not in ("sketch", "shared", "tiles"))
+
+    small, large = sizes(30), sizes(180)
+    assert large <= 12 * small and large < 8 * 180
