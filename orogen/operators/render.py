@@ -11,7 +11,7 @@ folds the primitives into it as they come, however many they are. There is no li
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +120,20 @@ class _Tile:
         return pa.RecordBatch.from_arrays(columns, names=["z", "x", "h"])
 
 
-def composite(grid: DataFrame, boxed: DataFrame, layer: Layer, params: list[str], k: float = 12.0, tile: int = TILE) -> DataFrame:
+def cell_layer(p: dict[str, float], x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """A layer's own height in the one cell of its box."""
+    return np.full((len(z), x.shape[1]), p["layer"])
+
+
+def composite(grid: DataFrame, boxed: DataFrame, layer: Layer = cell_layer, params: Sequence[str] = ("layer",), k: float = 12.0, tile: int = TILE) -> DataFrame:
     """(z, x, h): folds boxed primitives (inst_id, the box, params) into the grid in order, rounding to float at each.
 
+    Without boxes, ``boxed`` holds heights of single cells: (z, x, inst_id, layer).
     Cells that no box holds keep their height, null heights stay null. Primitives of one inst_id follow each other by
     their parameters. A cell must occur once.
     """
+    if "x_min" not in boxed.columns:
+        boxed = boxed.withColumns({f"{a}_{end}": F.col(a) + (end == "max") * 1 for a in "xz" for end in ("min", "max")})
     keys, numbers = ["tile_z", "tile_x"], [*_BOX, *params]
     at = {"tile_z": F.floor(F.col("z") / tile).cast("int"), "tile_x": F.floor(F.col("x") / tile).cast("int")}
     cells = grid.select("z", "x", F.col("h").cast("float").alias("h")).withColumns(at)
