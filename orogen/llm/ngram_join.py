@@ -9,8 +9,12 @@ order: first by how common they are, then by hash. Of two sets with an overlap o
 the first |x| - o + l and |y| - o + l shingles in that order share l or more, whatever the
 order. A tile is (band, shingle), and a set enters the tiles of its first shingles only. Common
 ones come last, so a passage that a third of all documents hold makes a tile only of sets
-that are nearly made of it. A set that shares fewer than l tiles of a band with all others
-together has no link there and is left out.
+that are nearly made of it.
+
+Chance meetings. Other sets fall into 64 buckets by content. Of a set's tiles of a band, only those stay that hold a bucket
+met in l of them or more: a linked set's bucket is, so no link is lost, while chance meetings are spread
+over the buckets. A tile of which one batch has several members counts for every bucket. This comes first of all, since what
+sets meet by chance grows with the square of the corpus.
 
 How common a shingle is, is read from counts of all documents' shingles in 2^20 buckets, as the
 number of binary digits by which its bucket exceeds twice the mean. The counts
@@ -58,7 +62,7 @@ from pyspark.sql import functions as F
 from .graph import PARTS, components
 from .kit import U64, TextView, Workspace, as_long, mix, shingle_hashes, slices, small_broadcasts
 
-BLOCK, BLOCK_SHINGLES, BATCH_TILES, GROUP_TILES = 4096, 4_000_000, 500_000, 250_000
+BLOCK, BLOCK_SHINGLES, BATCH_TILES, GROUP_TILES, MET_ROWS = 4096, 4_000_000, 500_000, 250_000, 100_000
 BUCKET_BITS, SLICES, SPLIT, MANY, ID_BITS = 20, 16, 4096, 1 << 15, 1 << 24
 
 
@@ -229,7 +233,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(tile, dtype=np.uint64), doc.view(np.int64), content, flags.view(np.int64)
 
 
-_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "short": "binary", "tile": "long", "leader": "long", "band": "long"}
+_PLAIN = {"doc_id": "long", "n_shingles": "long", "k1": "long", "k2": "long", "bits": "binary", "short": "binary", "tile": "long", "leader": "long", "band": "long", "mask": "long"}
 _ARROW = {c: pa.binary() if t == "binary" else pa.int64() for c, t in _PLAIN.items()}
 _PLAIN_SCHEMA = ", ".join(f"{c} {t}" for c, t in _PLAIN.items())
 
@@ -296,24 +300,88 @@ def _dealt(docs: DataFrame, k: int, bands: Bands, levels: np.ndarray, groups: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def others(content: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each of a tile's members, the buckets of the other contents in it as bits; a tile's contents are sorted."""
+    at = content >> U64(58)
+    bit = U64(1) << at
+    again = (content[1:] != content[:-1]) & (at[1:] == at[:-1])
+    again[first[1:] - 1] = False  # another tile
+    twice = np.repeat(np.bitwise_or.reduceat(np.where(np.append(False, again), bit, U64(0)), first), size)
+    return np.repeat(np.bitwise_or.reduceat(bit, first), size) & ~(bit & ~twice)
+
+
 def _gathered(table: pa.Table) -> pa.Table:
-    """A group's plain rows as they are, and its tiles' batch leaders paired with the smallest of them."""
+    """A group's plain rows as they are, and its tiles' batch leaders with the smallest of them and a mask of the others' buckets.
+
+    A tile of which a batch has several members has a full mask: those are not all here.
+    """
     out = table.filter(pc.is_null(table.column("body"))).select(list(_PLAIN))
     bodies = [x for x in table.column("body").to_pylist() if x is not None]
     if bodies:
         tile, doc, content, flags = (np.concatenate(x) for x in zip(*map(_unpack, bodies), strict=True))
-        order = np.lexsort((doc, tile))
+        order = np.lexsort((content, tile))
         tile, doc, content, flags = tile[order], doc[order], content[order], flags[order]
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
-        several = np.logical_or.reduceat(flags >= MANY, first) | (np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first))
-        leader = np.repeat(doc[first], size)
-        rows = np.repeat(several, size) & (doc != leader)
-        found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows]), "band": pa.array(flags[rows] % MANY)}
+        many = np.logical_or.reduceat(flags >= MANY, first)
+        rows = np.repeat(many | (content[first] != content[first + size - 1]), size)
+        leader = np.repeat(np.minimum.reduceat(doc, first), size)
+        mask = np.where(np.repeat(many, size), ~U64(0), others(content, first, size))
+        found = {"doc_id": pa.array(doc[rows]), "tile": pa.array(as_long(tile[rows])), "leader": pa.array(leader[rows]), "band": pa.array(flags[rows] % MANY), "mask": pa.array(as_long(mask[rows]))}
         out = pa.concat_tables([out, pa.table({c: found.get(c, pa.nulls(int(rows.sum()), t)) for c, t in _ARROW.items()})])
     return out
 
 
+def frequent(key: tuple[np.ndarray, ...], mask: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which rows hold a bit that ``need`` or more rows of their key hold; rows are sorted by key."""
+    first = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], axis=0)))
+    bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1)
+    enough = np.add.reduceat(bits, first, axis=0, dtype=np.int32) >= need[first][:, None]
+    of = np.packbits(enough, axis=1).view(np.uint64).ravel()
+    return (mask & np.repeat(of, np.diff(np.append(first, len(mask))))) != 0
+
+
+def _often_met(members: DataFrame, bands: Bands) -> DataFrame:
+    """(tile, doc_id, leader, band): of a document's tiles, those with a bucket of other sets that it meets as often as a link must.
+
+    Other sets fall into 64 buckets by content. A linked set's bucket is met in each of the tiles that both are in, so these rows
+    all stay. Chance meetings are spread over the buckets, so documents that have only those go.
+    """
+    rows = members.select("tile", "doc_id", "leader", F.col("band").cast("int").alias("band"), F.coalesce("mask", F.lit(-1)).alias("mask"))
+    rows = rows.repartition("doc_id", "band").sortWithinPartitions("doc_id", "band")
+    need, kept = np.array(bands.shared), ["tile", "doc_id", "leader", "band"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, passed = [], 0, None
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            """Rows that stay; those of the last key wait for more, unless one document id has so many texts that it passes unasked."""
+            nonlocal waiting, size, passed
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            doc, band, mask = (t.column(c).to_numpy() for c in ("doc_id", "band", "mask"))
+            end = len(t) if last else int(np.flatnonzero((doc != doc[-1]) | (band != band[-1])).max(initial=-1)) + 1
+            keep = np.zeros(len(t), bool)
+            if end:
+                keep[:end] = frequent((doc[:end], band[:end]), mask[:end].view(np.uint64), need[band[:end]])
+            if passed:
+                keep |= (doc == passed[0]) & (band == passed[1])
+            if end == 0:
+                passed, end = (doc[-1], band[-1]), len(t)
+                keep[:] = True
+            yield from t.select(kept).filter(pa.array(keep)).to_batches()
+            waiting, size = t.slice(end).to_batches(), len(t) - end
+
+        for batch in batches:
+            waiting.append(batch)
+            size += len(batch)
+            if size >= MET_ROWS:
+                yield from settled(False)
+        if size:
+            yield from settled(True)
+
+    return rows.mapInArrow(run, "tile long, doc_id long, leader long, band int")
+
+
 def shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, elements): sorted 64-bit shingle hashes, as bytes."""
 
@@ -562,14 +630,14 @@ def _linked(docs: DataFrame, k: int, bands: Bands, store: Workspace) -> DataFram
     whole = _dealt(docs, k, bands, commonness(docs, k, bands), groups).groupBy("group").applyInArrow(_gathered, _PLAIN_SCHEMA)
     whole = store.save(whole, "sketch")
     store.release()
-    every = whole.filter("tile is null").drop("tile", "leader", "band")
+    every = whole.filter("tile is null").drop("tile", "leader", "band", "mask")
     sketch = every.filter("doc_id is not null and n_shingles > 0")
-    members = whole.filter("tile is not null").select("tile", "doc_id", "leader", "band")
-    need = F.element_at(F.array(*map(F.lit, bands.shared)), F.col("band").cast("int") + 1)
+    members = store.save(_often_met(whole.filter("tile is not null"), bands), "shared")
+    need = F.element_at(F.array(*map(F.lit, bands.shared)), F.col("band") + 1)
     reps = store.save(sketch.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     copies = sketch.join(reps, ["n_shingles", "k1", "k2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    pairs = members.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
+    pairs = members.filter("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "band").agg(F.count("*").alias("n"))
     pairs = pairs.filter(F.col("n") >= need)
     if bands.one_first:
         first = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
@@ -581,16 +649,12 @@ def _linked(docs: DataFrame, k: int, bands: Bands, store: Workspace) -> DataFram
     several = copies.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
     own = members.select(F.explode(F.array("doc_id", "leader")).alias("b")).unionByName(reps.select(F.col("rep").alias("b"))).unionByName(several)
     parts = components(first.unionByName(copies.join(own.distinct(), "b", "left_semi")), store, "parts")
-    heads = members.select("tile", F.col("leader").alias("doc_id"), "band").distinct()
-    shared = members.select("tile", "doc_id", "band").unionByName(heads)
-    # a set that shares too few tiles with all others together is linked with none of them
-    able = shared.groupBy("doc_id", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("doc_id", "band")
-    shared = shared.join(able, ["doc_id", "band"], "left_semi")
+    shared = members
     shares = [bands.asked_share(j) for j in range(len(bands.shared))]
     if min(shares) < 1:
-        share = F.element_at(F.array(*map(F.lit, shares)), F.col("band").cast("int") + 1)
+        share = F.element_at(F.array(*map(F.lit, shares)), F.col("band") + 1)
         shared = shared.filter(F.pmod(F.xxhash64("tile"), F.lit(1 << 20)) < share * (1 << 20))
-    shared = store.save(shared.select("tile", "doc_id"), "shared")
+    shared = shared.select("tile", "doc_id")
     rest = _laid_together(shared, parts, store).join(sketch.select("doc_id", "n_shingles", F.col("short").alias("bits")), "doc_id")
     edges = store.save(_within_blocks(rest, bands, _likely), "likely")
     for name in ("tiles", "met", "apart", "rest", "shared"):

@@ -185,3 +185,41 @@ def test_rows_and_links_of_a_family_of_edits_grow_with_its_members(spark):
 
     small, large = sizes(30), sizes(180)
     assert large <= 12 * small and large < 8 * 180
+
+
+def test_buckets_of_others_bound_what_a_set_shares():
+    """A tile's masks hold every other content's bucket, and rows of a set that is met often enough all stay."""
+    rng = np.random.default_rng(6)
+    some = np.concatenate([rng.integers(0, 1 << 63, 40, np.uint64) * np.uint64(2), np.arange(5, dtype=np.uint64)])  # the last share a bucket
+    tile, content = np.repeat(np.arange(300), 6), some[rng.integers(0, 45, 1800)]
+    order = np.lexsort((content, tile))
+    tile, content = tile[order], content[order]
+    first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    mask = ngram_join.others(content, first, np.diff(np.append(first, 1800)))
+    for i in range(0, 1800, 7):
+        of = {int(c) >> 58 for c in content[tile == tile[i]] if c != content[i]}
+        assert int(mask[i]) == sum(1 << b for b in of)
+    order = np.argsort(content, kind="stable")
+    keep = ngram_join.frequent((content[order],), mask[order], np.full(1800, 9))
+    for c in some:
+        rows = content[order] == c
+        often = {b for b in range(64) if ((mask[order][rows] >> np.uint64(b)) & np.uint64(1)).sum() >= 9}
+        assert [bool(k) for k in keep[rows]] == [any(int(m) >> b & 1 for b in often) for m in mask[order][rows]]
+
+
+def test_chance_meetings_do_not_reach_the_blocks(spark):
+    """Texts of a small vocabulary share values with many others, a few with each: they are not compared, and links stay."""
+    rows, rng = {}, np.random.default_rng(9)
+
+    class Seen(kit.Workspace):
+        def save(self, df, name, by=None):
+            out = super().save(df, name, by)
+            rows[name] = out.count()
+            return out
+
+    texts = [[f"w{j}" for j in rng.integers(0, 60, 120)] for _ in range(160)]
+    texts += [[*texts[i][:-3], "x", "y", "z"] for i in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(48)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, store=Seen(spark)).collect()}
+    assert got == {i: i % 160 for i in range(164)}
+    assert rows["rest"] < 2 * len(texts)  # 20 a document if chance meetings count
